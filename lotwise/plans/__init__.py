@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["verdicts"]
+MODULES = ["verdicts", "rules"]
 
 
 def load_all():
