@@ -9,7 +9,7 @@ Nothing is sampled away: approximate quantiles only choose the bucket edges, and
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
@@ -71,6 +71,11 @@ def hash_rank(df: DataFrame, keys: list[str], digest: str, out: str = "rn", char
     )
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct column (a scalar subquery), to be used beside every row of another table."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def hot_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Groups larger than ``limit`` (there can be at most rows / limit of them), or None when there are none."""
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
@@ -86,7 +91,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
     def plain(d: DataFrame) -> DataFrame:
-        return d.groupBy(*keys).agg(*[F.percentile("_v", F.lit(q)).alias(n) for n, q in probs.items()])
+        all_at_once = F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs.values()]))
+        return d.groupBy(*keys).agg(all_at_once.alias("_q")).select(*keys, *[F.get("_q", i).alias(n) for i, n in enumerate(probs)])
 
     if not keys:
         if rows.count() <= hot_rows:

@@ -17,10 +17,10 @@ def script_digits(x: Column) -> Column:
     return F.translate(x.cast("string"), "0123456789", C.ARABIC_DIGITS)
 
 
-def slip_text(day: Column, total: Column, defects: Column, unsure: Column, is_unsure: Column) -> Column:
+def slip_text(day: Column, total: Column, defects: Column, unsure: Column, is_unsure: Column, prefix: str = "") -> Column:
     """Longest wording that fits the message; an unsure lot carries no counts at all."""
-    long_day = script_digits(F.date_format(day, "d/M/yy"))
-    short_day = script_digits(F.date_format(day, "d/M"))
+    long_day = F.concat(F.lit(prefix), script_digits(F.date_format(day, "d/M/yy")))
+    short_day = F.concat(F.lit(prefix), script_digits(F.date_format(day, "d/M")))
     n = script_digits(total)
     none = F.concat(F.lit(f": {C.SLIP_UNSURE}، "), n, F.lit(f" حبة. {C.SLIP_TAG}"))
     bad = F.when(defects > 0, F.concat(script_digits(defects), F.lit(" فيها عيب"))).otherwise("ما فيه عيوب")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["verdicts", "rules"]
+MODULES = ["verdicts", "rules", "metrics", "thresholds"]
 
 
 def load_all():

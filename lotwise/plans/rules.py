@@ -142,12 +142,11 @@ def rgb_hsv(t):
  SELECT p_partkey, {r6('greatest(0.0e0,least(255.0e0,r*(235.0e0/greatest(rr,1.0e0))))')} AS r, {r6('greatest(0.0e0,least(255.0e0,g*(235.0e0/greatest(rg,1.0e0))))')} AS g,
  {r6('greatest(0.0e0,least(255.0e0,b*(235.0e0/greatest(rb,1.0e0))))')} AS b FROM items, ref""")
 def white_balance(t):
-    from lotwise.functions.scale import exact_quantiles
+    from lotwise.functions.scale import exact_quantiles, one_row
 
     c = part_colours(t)
-    ref = [exact_quantiles(c, [], ch, {f"ref_{ch}": 0.9}) for ch in "rgb"]
-    one = ref[0].join(ref[1]).join(ref[2])  # three one-row tables
-    return c.join(F.broadcast(one)).select("p_partkey", *[fn.r6(fn.white_balance(ch, f"ref_{ch}")).alias(ch) for ch in "rgb"])
+    ref = {ch: one_row(exact_quantiles(c, [], ch, {"q": 0.9}))["q"] for ch in "rgb"}
+    return c.select("p_partkey", *[fn.r6(fn.white_balance(ch, ref[ch])).alias(ch) for ch in "rgb"])
 
 
 @query("colour_gate", f"WITH {ITEMS}, {PH.COLOUR} SELECT photo, colour_reason, not_green, used, {r6('frac_pale')} AS frac_pale, {r6('frac_dark')} AS frac_dark, {r6('frac_white')} AS frac_white, {r6('frac_off')} AS frac_off, {r6('largest_blob')} AS largest_blob FROM colour")
@@ -237,12 +236,13 @@ UNFAM_Q = [0.90, 0.95, 0.99]
  SELECT CAST(pct AS INTEGER) AS pct, band, reason, count(*) AS lots, CAST(sum(unsure) AS BIGINT) AS unsure FROM v GROUP BY 1, 2, 3""")
 def unfamiliar_to_unsure(t):
     """Items farther out than a quantile of the distances become unsure, then the lot rule decides again."""
-    from lotwise.functions.scale import exact_quantiles
+    from lotwise.functions.scale import exact_quantiles, one_row
 
     lots = t.lots()
     q = exact_quantiles(lots, [], "price", {f"q{int(x * 100)}": x for x in UNFAM_Q})
-    tau = q.select(F.explode(F.array(*[F.struct(F.lit(int(x * 100)).alias("pct"), F.col(f"q{int(x * 100)}").alias("tau")) for x in UNFAM_Q])).alias("s")).select("s.*")
-    x = lots.select("lot", "code", "price").join(F.broadcast(tau)).withColumn("code", F.when(F.col("price") > F.col("tau"), 2).otherwise(F.col("code")))
+    one = one_row(q)
+    tau = F.explode(F.array(*[F.struct(F.lit(int(x * 100)).alias("pct"), one[f"q{int(x * 100)}"].alias("tau")) for x in UNFAM_Q]))
+    x = lots.select("lot", "code", "price", tau.alias("s")).select("lot", "price", "s.*", F.when(F.col("price") > F.col("s.tau"), 2).otherwise(F.col("code")).alias("code"))
     v = V.lot_verdict(x, ["pct", "lot"])
     return v.groupBy("pct", "band", "reason").agg(F.count(F.lit(1)).alias("lots"), F.sum("unsure").alias("unsure"))
 
@@ -278,13 +278,13 @@ def slip_text(t):
 
 @query("spatial_half", f"""WITH {ITEMS}, g AS (SELECT item, (x0+x1)/2/114.0e0 AS cxn, (y0+y1)/2/114.0e0 AS cyn, CAST(floor(greatest(x1-x0, y1-y0)) AS BIGINT) AS side FROM items)
  SELECT item, {r6('cxn')} AS cx_norm, {r6('cyn')} AS cy_norm, side, 2*(side//2 + CAST(round_even(0.18e0*side, 0) AS BIGINT)) AS src_px, least(128, 2*(side//2 + CAST(round_even(0.18e0*side, 0) AS BIGINT))) AS eff_px,
- CASE WHEN cxn < 0.5e0 THEN 1 ELSE 2 END AS test_fold FROM g""")
+ CASE WHEN cxn >= 0.5e0 THEN 1 ELSE 2 END AS test_fold FROM g""")
 def spatial_half(t):
     side = F.floor(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     src = 2 * (F.floor(side / 2) + F.bround(side * 0.18).cast("long"))
     cx, cy = (F.col("x0") + F.col("x1")) / 2 / PH.FRAME, (F.col("y0") + F.col("y1")) / 2 / PH.FRAME
     return t.items().select("item", fn.r6(cx).alias("cx_norm"), fn.r6(cy).alias("cy_norm"), side.alias("side"), src.alias("src_px"),
-                            F.least(F.lit(128).cast("long"), src).alias("eff_px"), F.when(cx < 0.5, 1).otherwise(2).alias("test_fold"))
+                            F.least(F.lit(128).cast("long"), src).alias("eff_px"), F.when(cx >= 0.5, 1).otherwise(2).alias("test_fold"))
 
 
 _PERT = [("none", 1.0, 1.0, 1.0, 1.0)] + [(k, *v, 1.0) for k, v in C.PERTURBATIONS.items()] + [("exposure", *C.EXPOSURE_GAIN, C.EXPOSURE_GAMMA)]

@@ -167,18 +167,16 @@ def gate_compare(t):
  {r6('avg(CASE WHEN p <= 0.6e0 THEN 1.0e0 ELSE 0.0e0 END)')} AS share_below, {r6('avg(CASE WHEN p > 0.5e0 AND p <= 0.6e0 THEN 1.0e0 ELSE 0.0e0 END)')} AS share_close FROM m""")
 def rule_margin(t):
     """How far the groups the unsure rule would pass are from the implausible rule."""
-    from lotwise.functions.scale import exact_quantiles
+    from lotwise.functions.scale import exact_quantiles, one_row
 
     v = V.lot_verdict(t.lots(), ["lot", "line"])
     pass_ = (F.col("unsure_frac") <= 0.15) & (F.col("answered") > 0)
     q = exact_quantiles(v.where(pass_), [], "p", {"p5": 0.05, "p25": 0.25, "p50": 0.5})
-    flag = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     pp = F.when(pass_, F.col("p"))
     agg = v.agg(F.count_if(pass_).alias("n"), F.count(F.lit(1)).alias("of_groups"), F.min(pp).alias("min_p"),
                 F.avg(F.when(pass_, F.when(F.col("p") <= 0.6, 1.0).otherwise(0.0))).alias("share_below"),
                 F.avg(F.when(pass_, F.when((F.col("p") > 0.5) & (F.col("p") <= 0.6), 1.0).otherwise(0.0))).alias("share_close"))
-    out = agg.join(q)
-    return out.select("n", "of_groups", *[fn.r6(c).alias(c) for c in ("min_p", "p5", "p25", "p50", "share_below", "share_close")])
+    return agg.withColumn("_q", one_row(q)).select("*", "_q.*").select("n", "of_groups", *[fn.r6(c).alias(c) for c in ("min_p", "p5", "p25", "p50", "share_below", "share_close")])
 
 
 @query("extreme_rates", f"""WITH {LOTS}, v AS ({verdict('lots', 'lot, line')}), w AS (SELECT *, CASE WHEN answered=0 OR unsure_frac > 0.15e0 THEN 'unsure' WHEN {band('lo')}={band('hi')} THEN {band('lo')} ELSE 'unsure' END AS old_band FROM v)
