@@ -30,13 +30,13 @@ def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_b")
     return Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(tmp).drop("_v")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int = BUCKETS, bucket: Column | None = None) -> DataFrame:
     """Adds ``cum_<s>``: the inclusive running total of every ``s`` by ``order`` within ``keys``.
 
-    ``df`` holds one row per (keys, order): aggregate before calling.
+    ``df`` holds one row per (keys, order): aggregate before calling. ``bucket`` may be any expression that
+    never falls as ``order`` grows (a digest's first digits, say); by default it comes from quantile edges.
     """
-    edges = quantile_edges(df, order, buckets)
-    rows = with_bucket(df, order, edges)
+    rows = with_bucket(df, order, quantile_edges(df, order, buckets)) if bucket is None else df.withColumn("_b", bucket)
     cells = rows.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
@@ -49,6 +49,12 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], buc
     return out.drop("_b", *[f"_o_{s}" for s in sums])
 
 
+def dense_index(df: DataFrame, value: str, out: str = "idx") -> DataFrame:
+    """Distinct values of a numeric column with their zero-based position in natural order."""
+    one = df.select(value).distinct().withColumn("_one", F.lit(1))
+    return prefix_sums(one, [], value, ["_one"]).select(value, (F.col("cum__one") - 1).alias(out))
+
+
 def hash_rank(df: DataFrame, keys: list[str], digest: str, out: str = "rn", chars: int = 2, tie: list | None = None) -> DataFrame:
     """Row number within ``keys`` by a hexadecimal digest, plus the group's size as ``<out>_n``.
 

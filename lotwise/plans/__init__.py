@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["verdicts", "rules", "metrics", "thresholds"]
+MODULES = ["verdicts", "rules", "metrics", "thresholds", "scans", "curation"]
 
 
 def load_all():
