@@ -118,7 +118,8 @@ def similar_pairs(df: DataFrame, min_cos: float, *, pivots: int = 16, chunk: int
             ang = np.arccos(np.clip(u @ piv.T, -1, 1))
             yield pd.DataFrame({"id": pdf["id"], "vec": list(u), "home": ang.argmin(1).astype("int64"), "ang": list(ang)})
 
-    placed = df.select("id", "vec").mapInPandas(assign, f"id {id_type}, vec array<double>, home long, ang array<double>")
+    # written once: four passes read it
+    placed = cut_lineage(df.select("id", "vec").mapInPandas(assign, f"id {id_type}, vec array<double>, home long, ang array<double>"))
     p = len(pick)
     stats = {r["home"]: r for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("ang", F.col("home").cast("int"))).alias("r")).collect()}
     reach = F.array(*[F.lit(float(stats[c]["r"]) + tau + 1e-9 if c in stats else -1.0) for c in range(p)])
@@ -129,8 +130,9 @@ def similar_pairs(df: DataFrame, min_cos: float, *, pivots: int = 16, chunk: int
     homes_of, probes_of = parts({c: r["n"] for c, r in stats.items()}), parts(load)
     seq = lambda arr, c: F.explode(F.sequence(F.lit(0).cast("long"), F.get(arr, F.col(c).cast("int")) - 1))
     part = lambda arr, c, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.get(arr, F.col(c).cast("int")))
-    home = placed.select("id", "vec", F.col("home").alias("cell"), part(homes_of, "home", 1).alias("hc"), seq(probes_of, "home").alias("pc"))
-    probe = probes.select("id", "vec", "cell", part(probes_of, "cell", 2).alias("pc"), seq(homes_of, "cell").alias("hc"))
+    fresh = [F.col("id").alias("id"), F.col("vec").alias("vec")]  # both sides come from one table
+    home = placed.select(*fresh, F.col("home").alias("cell"), part(homes_of, "home", 1).alias("hc"), seq(probes_of, "home").alias("pc"))
+    probe = probes.select(*fresh, F.col("cell").alias("cell"), part(probes_of, "cell", 2).alias("pc"), seq(homes_of, "cell").alias("hc"))
     key = ["cell", "hc", "pc"]
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
