@@ -170,36 +170,33 @@ def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float,
     """Greedy near-duplicate removal in key order: a row is dropped when an earlier kept row of another group is similar.
 
     Rows with one vector and one group share their fate, so the pass runs on (vector, group) entries. Each round
-    every vector hears from its similar vectors only the two earliest entries of different groups (kept, and not
-    yet dropped): enough to decide, and independent of how many copies stand behind a vector."""
+    every vector hears from its similar vectors only their two earliest entries of different groups that are not
+    dropped: enough to decide, and independent of how many copies stand behind a vector."""
     rows = df.withColumn("_k", vector_key(vec))
     nodes = rows.groupBy("_k").agg(F.min(key).alias("id"), F.first(vec).alias("vec"))
     entries = rows.groupBy("_k", group).agg(F.min(key).alias("seq")).join(nodes.select("_k", F.col("id").alias("node")), "_k")
-    entries = entries.select("_k", "node", F.col(group).alias("grp"), "seq", F.lit(0).alias("_st"))
+    entries = entries.select("_k", "node", F.col(group).alias("grp"), "seq", F.lit(0).alias("st"))
     half = cut_lineage(similar_pairs(nodes.select("id", "vec"), min_cos, **kw).select("a", "b"))
     self_ = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
     edges = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(self_)
 
-    def two_first(x: DataFrame, by: str, name: str) -> DataFrame:
-        """Earliest (seq, grp) per ``by`` and the earliest one of another group."""
-        one = x.groupBy(by).agg(F.min(F.struct("seq", "grp")).alias("_1"))
-        two = x.join(one, by).where(F.col("grp") != F.col("_1.grp")).groupBy(by).agg(F.min(F.struct("seq", "grp")).alias("_2"))
-        return one.join(two, by, "left").select(by, F.col("_1").alias(f"{name}1"), F.col("_2").alias(f"{name}2"))
-
-    def heard(e: DataFrame, name: str) -> DataFrame:
-        own = two_first(e, "node", "o").select(F.col("node").alias("b"), F.explode(F.filter(F.array("o1", "o2"), lambda s: s.isNotNull())).alias("_m"))
-        return two_first(edges.join(own, "b").select("a", "_m.*"), "a", name).withColumnRenamed("a", "node")
+    def two_first(x: DataFrame, by: str) -> DataFrame:
+        """The earliest entry per ``by`` and the earliest one of another group, as a short array."""
+        per_group = x.groupBy(by, "grp").agg(F.min(F.struct("seq", "st")).alias("m"))
+        two = first_k(per_group.select(by, "grp", "m.seq", "m.st"), [by], [F.col("seq")], 2)
+        return two.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "grp", "st"))).alias("two"))
 
     def step(e: DataFrame) -> DataFrame:
-        kept, alive = heard(e.where("_st = 1"), "k"), heard(e.where("_st < 2"), "v")
-        x = e.join(kept, "node", "left").join(alive, "node", "left")
-        other = lambda n: F.when(F.col(f"{n}1.grp") != F.col("grp"), F.col(f"{n}1.seq")).otherwise(F.col(f"{n}2.seq"))
-        st = (F.when(F.col("_st") > 0, F.col("_st")).when(F.coalesce(other("k") < F.col("seq"), F.lit(False)), 2)
-              .when(~F.coalesce(other("v") < F.col("seq"), F.lit(False)), 1).otherwise(0))
-        return x.select("_k", "node", "grp", "seq", st.alias("_st"))
-
-    done = rounds_until(entries, step, F.col("_st") == 0)
-    fate = done.select("_k", F.col("grp").alias(group), (F.col("_st") == 1).alias("keep"))
+        alive = e.where("st < 2").select(F.col("node").alias("b"), "grp", "seq", "st")
+        said = edges.join(two_first(alive, "b"), "b").select(F.col("a").alias("node"), F.explode("two").alias("m")).select("node", "m.*")
+        x = e.join(two_first(said, "node"), "node", "left")
+        rival = F.try_element_at(F.filter("two", lambda m: m["grp"] != F.col("grp")), F.lit(1))
+        ahead = F.coalesce(rival["seq"] < F.col("seq"), F.lit(False))
+        st = F.when(F.col("st") > 0, F.col("st")).when(~ahead, 1).when(rival["st"] == 1, 2).otherwise(0)
+        return x.select("_k", "node", "grp", "seq", st.alias("st"))
+
+    done = rounds_until(entries, step, F.col("st") == 0)
+    fate = done.select("_k", F.col("grp").alias(group), (F.col("st") == 1).alias("keep"))
     return rows.join(fate, ["_k", group]).drop("_k")
 
 
