@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["verdicts", "rules", "metrics", "thresholds", "scans", "curation", "vectors"]
+MODULES = ["verdicts", "rules", "metrics", "thresholds", "scans", "curation", "vectors", "sampling"]
 
 
 def load_all():
