@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 BUCKETS = 256
+CHECK = object()  # "look for oversized groups yourself"
 
 
 def quantile_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
@@ -82,16 +83,18 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
-def hot_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
     """Groups larger than ``limit`` (there can be at most rows / limit of them), or None when there are none."""
+    limit = HOT_ROWS if limit is None else limit
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
     return None if hot.isEmpty() else hot
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot_rows: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot_rows: int | None = None, hot=CHECK) -> DataFrame:
     """Linear-interpolated quantiles per group, exact for any group size.
 
     Ordinary groups use Spark's ``percentile``; groups over ``hot_rows`` go through two counting passes.
+    A caller that already knows the oversized groups (of this table or of one that contains it) passes them as ``hot``.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -104,7 +107,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         if rows.count() <= hot_rows:
             return plain(rows)
         return _refined(rows, keys, probs)
-    hot = hot_groups(rows, keys, hot_rows)
+    hot = hot_groups(rows, keys, hot_rows) if hot is CHECK else hot
     if hot is None:
         return plain(rows)
     return plain(rows.join(F.broadcast(hot), keys, "left_anti")).unionByName(
@@ -112,12 +115,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     )
 
 
-def exact_medians(df: DataFrame, keys: list[str], values: list[str], suffix: str = "_med", hot_rows: int | None = None) -> DataFrame:
+def exact_medians(df: DataFrame, keys: list[str], values: list[str], suffix: str = "_med", hot_rows: int | None = None, hot=CHECK) -> DataFrame:
     """Exact median of several columns per group in one shuffle; oversized groups as in ``exact_quantiles``."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     rows = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
     plain = lambda d: d.groupBy(*keys).agg(*[F.median(v).alias(f"{v}{suffix}") for v in values])
-    hot = hot_groups(rows, keys, hot_rows)
+    hot = hot_groups(rows, keys, hot_rows) if hot is CHECK else hot
     if hot is None:
         return plain(rows)
     big = rows.join(F.broadcast(hot), keys, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import exact_quantiles
+from lotwise.functions.scale import exact_medians, exact_quantiles, hot_groups
 
 
 def too_many(n_touch, n) -> Column:
@@ -27,9 +27,10 @@ def photo_checks(df: DataFrame) -> DataFrame:
 
 def component_filter(df: DataFrame, photo: str, width: float, height: float) -> DataFrame:
     """Items of a component table: specks and cut-off pieces dropped, merged pieces flagged."""
-    p90 = exact_quantiles(df, [photo], "area", {"p90": 0.9})
+    hot = hot_groups(df, [photo])
+    p90 = exact_quantiles(df, [photo], "area", {"p90": 0.9}, hot=hot)
     big = df.join(p90, photo).where(F.col("area") >= F.greatest(F.lit(float(C.MIN_AREA)), C.BIG_P90_FRAC * F.col("p90")))
-    med = exact_quantiles(big, [photo], "area", {"med": 0.5})
+    med = exact_quantiles(big, [photo], "area", {"med": 0.5}, hot=hot)
     kept = df.join(med, photo).where(
         (F.col("area") >= C.SMALL_MED_FRAC * F.col("med"))
         & (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < width) & (F.col("y1") < height)
@@ -75,14 +76,13 @@ def dark_lot(df: DataFrame, colour: DataFrame, photo: str) -> DataFrame:
     """Is a photo the colour gate calls too dark made of item-shaped, even-sized, brownish pieces?"""
     k = C.DARK_LOT
     dark = fn.with_hsv(df).where(F.col("v") < k["dark_v"])
-    hue = exact_quantiles(dark, [photo], "h", {"dark_hue": 0.5})
-    sat = exact_quantiles(dark, [photo], "s", {"dark_sat": 0.5})
+    tone = exact_medians(dark, [photo], ["h", "s"], hot=hot_groups(df, [photo])).select(photo, F.col("h_med").alias("dark_hue"), F.col("s_med").alias("dark_sat"))
     shaped = ~F.col("touching") & F.col("elong").between(k["elong_min"], k["elong_max"])
     agg = df.groupBy(photo).agg(
         (F.count_if(shaped) / F.count(F.lit(1))).alias("shaped"),
         fn.ratio(F.stddev_pop("area"), F.avg("area")).alias("area_cv"),
     )
-    out = colour.select(photo, "colour_reason").join(agg, photo, "left").join(hue, photo, "left").join(sat, photo, "left")
+    out = colour.select(photo, "colour_reason").join(agg, photo, "left").join(tone, photo, "left")
     why = (
         F.when(F.col("colour_reason") != "too_dark_items", "not_dark")
         .when(F.col("shaped").isNull(), "no_blobs")
@@ -97,12 +97,13 @@ def dark_lot(df: DataFrame, colour: DataFrame, photo: str) -> DataFrame:
 def touching_rule(df: DataFrame, photo: str) -> DataFrame:
     """The first rule that marks a piece as several items, with the one-item area it was judged by."""
     k = C.TOUCH_RULE
-    med = exact_quantiles(df, [photo], "area", {"median_area": 0.5})
+    hot = hot_groups(df, [photo])
+    med = exact_quantiles(df, [photo], "area", {"median_area": 0.5}, hot=hot)
     single = (
         (F.col("solidity") >= k["single_solidity"]) & (F.col("fill") >= k["single_fill"]) & (F.col("elong") <= k["max_elong"])
     )
     singles = df.where(single)
-    one = exact_quantiles(singles, [photo], "area", {"single_med": 0.5})
+    one = exact_quantiles(singles, [photo], "area", {"single_med": 0.5}, hot=hot)
     n_one = singles.groupBy(photo).agg(F.count(F.lit(1)).alias("n_single"))
     stats = (
         med.join(one, photo, "left").join(n_one, photo, "left")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["verdicts", "rules", "metrics", "thresholds", "scans", "curation", "vectors", "sampling"]
+MODULES = ["verdicts", "rules", "metrics", "thresholds", "scans", "curation", "vectors", "sampling", "robust", "lots", "heads", "streams"]
 
 
 def load_all():

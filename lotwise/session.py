@@ -28,19 +28,22 @@ def build_session(app: str = "lotwise", cores: str | None = None, shuffle: int |
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``: survives lost executors, stops plans growing with every round.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because there every task sees the same disk.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local master may fall back to a temporary
+    folder, because there every task sees the same disk."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+    have = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or (have.get() if have.isDefined() else None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+    if have.isEmpty():
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df``: survives lost executors, stops plans growing with every round."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
