@@ -90,6 +90,18 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> Data
     return None if hot.isEmpty() else hot
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Rows joined with one line of statistics per group.
+
+    Rows of oversized groups (``hot``, from ``hot_groups``) meet their few lines by broadcast, where they are; all
+    others by an ordinary join. So no task receives a whole hot group, whatever is computed on top."""
+    if hot is None:
+        return df.join(stats, keys, how)
+    few = F.broadcast(stats.join(F.broadcast(hot), keys, "left_semi"))  # at most rows / limit lines
+    cold = df.join(F.broadcast(hot), keys, "left_anti").join(stats, keys, how)
+    return cold.unionByName(df.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot_rows: int | None = None, hot=CHECK) -> DataFrame:
     """Linear-interpolated quantiles per group, exact for any group size.
 

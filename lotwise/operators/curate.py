@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.scale import attach, hot_groups
 from lotwise.session import cut_lineage
 
 
@@ -29,8 +30,9 @@ def precedence_dedupe(df: DataFrame, reference: DataFrame | None, *, source: str
     number of sources.
     """
     s, m, c = source, src_hash, crop_hash
+    hot_file, hot_m, hot_c = hot_groups(df, [s, m]), hot_groups(df, [m]), hot_groups(df, [c])
     first_path = df.groupBy(s, m).agg(F.min_by(path, order).alias("_p0"))
-    rows = df.join(first_path, [s, m]).withColumn("_other", F.col(path) != F.col("_p0"))
+    rows = attach(df, first_path, [s, m], hot_file).withColumn("_other", F.col(path) != F.col("_p0"))
     cells = rows.where(~F.col("_other")).groupBy(s, m, c).agg(F.min(order).alias("_pos"))
     if reference is not None:
         cells = cells.join(reference.select(F.col(m), F.lit(True).alias("_rm")).distinct(), m, "left")
@@ -45,7 +47,7 @@ def precedence_dedupe(df: DataFrame, reference: DataFrame | None, *, source: str
         alive, kept = F.col("_st") < 2, F.col("_st") == 1
         by_c = cells.groupBy(c).agg(F.min(F.when(alive, at)).alias("_ca"), F.min(F.when(kept, at)).alias("_ck"))
         by_m = cells.groupBy(m).agg(F.min(F.when(alive, F.col(s))).alias("_ma"), F.min(F.when(kept, F.col(s))).alias("_mk"))
-        x = cells.join(by_c, c).join(by_m, m)
+        x = attach(attach(cells, by_c, [c], hot_c), by_m, [m], hot_m)
         lost = F.coalesce(F.col("_ck") < at, F.lit(False)) | F.coalesce(F.col("_mk") < F.col(s), F.lit(False))
         free = (F.col("_ca") == at) & (F.col("_ma") == F.col(s))
         new = F.when(F.col("_st") > 0, F.col("_st")).when(lost, 2).when(free, 1).otherwise(0)
@@ -57,11 +59,11 @@ def precedence_dedupe(df: DataFrame, reference: DataFrame | None, *, source: str
     km = kept.groupBy(m).agg(F.min(s).alias("_ms"))
     kc = kept.groupBy(c).agg(F.min(F.struct(F.col(s), F.col("_pos"))).alias("_cs"))
     # crop hash kept in this source: the earliest position per (source, crop hash)
-    out = rows.join(km, m, "left").join(kc, c, "left")
     if reference is not None:
-        out = out.join(reference.select(F.col(m), F.lit(True).alias("_rm")).distinct(), m, "left")
-        out = out.join(reference.select(F.col(c), F.lit(True).alias("_rc")).distinct(), c, "left")
-    else:
+        km = km.join(reference.select(F.col(m), F.lit(True).alias("_rm")).distinct(), m, "full_outer")
+        kc = kc.join(reference.select(F.col(c), F.lit(True).alias("_rc")).distinct(), c, "full_outer")
+    out = attach(attach(rows, km, [m], hot_m, "left"), kc, [c], hot_c, "left")
+    if reference is None:
         out = out.withColumns({"_rm": F.lit(None).cast("boolean"), "_rc": F.lit(None).cast("boolean")})
     yes = lambda x: F.coalesce(x, F.lit(False))
     reason = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import exact_medians, exact_quantiles, hot_groups
+from lotwise.functions.scale import attach, exact_medians, exact_quantiles, hot_groups
 
 
 def too_many(n_touch, n) -> Column:
@@ -29,9 +29,9 @@ def component_filter(df: DataFrame, photo: str, width: float, height: float) ->
     """Items of a component table: specks and cut-off pieces dropped, merged pieces flagged."""
     hot = hot_groups(df, [photo])
     p90 = exact_quantiles(df, [photo], "area", {"p90": 0.9}, hot=hot)
-    big = df.join(p90, photo).where(F.col("area") >= F.greatest(F.lit(float(C.MIN_AREA)), C.BIG_P90_FRAC * F.col("p90")))
+    big = attach(df, p90, [photo], hot).where(F.col("area") >= F.greatest(F.lit(float(C.MIN_AREA)), C.BIG_P90_FRAC * F.col("p90")))
     med = exact_quantiles(big, [photo], "area", {"med": 0.5}, hot=hot)
-    kept = df.join(med, photo).where(
+    kept = attach(df, med, [photo], hot).where(
         (F.col("area") >= C.SMALL_MED_FRAC * F.col("med"))
         & (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < width) & (F.col("y1") < height)
     )
@@ -40,11 +40,12 @@ def component_filter(df: DataFrame, photo: str, width: float, height: float) ->
 
 def item_qc(df: DataFrame, photo: str, width: float, height: float) -> DataFrame:
     """Keeps items near their photo's median area and clear of the frame; dark-sheet photos are rejected whole."""
-    med = exact_quantiles(df, [photo], "area", {"med": 0.5})
+    hot = hot_groups(df, [photo])
+    med = exact_quantiles(df, [photo], "area", {"med": 0.5}, hot=hot)
     rel = fn.ratio("area", "med")
     e = C.EDGE_PX
     inside = (F.col("x0") > e) & (F.col("y0") > e) & (F.col("x1") < width - e) & (F.col("y1") < height - e)
-    return df.join(med, photo).withColumns({
+    return attach(df, med, [photo], hot).withColumns({
         "rejected": F.col("sheet_luma") < C.MIN_SHEET_LUMA,
         "ok": F.coalesce(rel.between(*C.AREA_REL), F.lit(False)) & inside,
     })
@@ -52,8 +53,9 @@ def item_qc(df: DataFrame, photo: str, width: float, height: float) -> DataFrame
 
 def colour_gate(df: DataFrame, photo: str, frame_area: float) -> DataFrame:
     """Area share per colour class of the components large enough to count, and the first rule that fires."""
-    med = exact_quantiles(df, [photo], "area", {"median_area": 0.5})
-    big = df.join(med, photo).where(F.col("area") >= F.greatest(F.lit(30.0), 0.25 * F.col("median_area")))
+    hot = hot_groups(df, [photo])
+    med = exact_quantiles(df, [photo], "area", {"median_area": 0.5}, hot=hot)
+    big = attach(df, med, [photo], hot).where(F.col("area") >= F.greatest(F.lit(30.0), 0.25 * F.col("median_area")))
     used = fn.with_hsv(big).withColumn("cls", fn.colour_class("h", "s", "v"))
     share = lambda c: F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("area"))), F.lit(0.0)) / F.sum("area")
     k = C.COLOUR_RULE
@@ -116,7 +118,7 @@ def touching_rule(df: DataFrame, photo: str) -> DataFrame:
         .when(F.col("fill") < k["min_fill"], "fill")
         .otherwise("")
     )
-    return df.join(stats, photo).withColumn("why", why)
+    return attach(df, stats, [photo], hot).withColumn("why", why)
 
 
 def hidden_items(marked: DataFrame, photo: str) -> DataFrame:

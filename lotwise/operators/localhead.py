@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import exact_quantiles
+from lotwise.functions.scale import attach, exact_quantiles, hot_groups
 
 
 def proto_fit(df: DataFrame, keys: list[str], vec: str, defect: str, min_per_class: int = C.HEAD_PER_CLASS, max_error: float = C.HEAD_MAX_LOO_ERROR) -> DataFrame:
     """One head per group: unit mean vectors, margin m_hi from leave-one-out scores, error count, refusal.
 
     The class sums are vector aggregates with map-side combine; leaving one item out is the sum minus its own vector."""
+    hot = hot_groups(df, keys)
     cell = df.groupBy(*keys, defect).agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("s"))
     d = F.col(defect) == 1
     head = cell.groupBy(*keys).agg(
         F.max(F.when(~d, F.col("n"))).alias("n_good"), F.max(F.when(d, F.col("n"))).alias("n_defect"),
         F.first(F.when(~d, F.col("s")), ignorenulls=True).alias("sg"), F.first(F.when(d, F.col("s")), ignorenulls=True).alias("sd"))
     head = head.withColumns({"n_good": F.coalesce("n_good", F.lit(0)), "n_defect": F.coalesce("n_defect", F.lit(0)), "mu_good": fn.unit("sg", 1e-12), "mu_defect": fn.unit("sd", 1e-12)})
-    x = df.join(head.where("sg is not null and sd is not null"), keys)
+    x = attach(df, head.where("sg is not null and sd is not null"), keys, hot)
     rest = lambda s: fn.unit(F.zip_with(s, F.col(vec), lambda a, b: a - b), 1e-12)
     score = F.when(F.col(defect) == 1, fn.dot(vec, rest(F.col("sd"))) - fn.dot(vec, "mu_good")).otherwise(fn.dot(vec, "mu_defect") - fn.dot(vec, rest(F.col("sg"))))
     loo = x.select(*keys, defect, score.alias("_s")).withColumns({"_a": F.abs("_s"), "_wrong": (F.col("_s") >= 0) != (F.col(defect) == 1)})
-    med = exact_quantiles(loo, keys, "_a", {"med": 0.5})
+    med = exact_quantiles(loo, keys, "_a", {"med": 0.5}, hot=hot)
     err = loo.groupBy(*keys).agg(F.count_if("_wrong").alias("loo_errors"), F.count(F.lit(1)).alias("loo_n"), F.coalesce(F.max(F.when(F.col("_wrong"), F.col("_a"))), F.lit(0.0)).alias("worst"))
     out = head.drop("sg", "sd").join(err, keys, "left").join(med, keys, "left")
     refused = (F.when((F.col("n_good") < min_per_class) | (F.col("n_defect") < min_per_class), "too_few")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
+from lotwise.functions.scale import CHECK, attach, exact_medians, exact_quantiles, hot_groups, one_row
 from lotwise.session import cut_lineage
-from lotwise.functions.scale import CHECK, exact_medians, exact_quantiles, hot_groups, one_row
 
 MAD = 1.4826
 
@@ -23,10 +23,10 @@ def robust_z(df: DataFrame, keys: list[str], features: list[str], floors: Column
     """Adds z_<f> = (x - median) / max(1.4826 MAD, floor) per group."""
     hot = hot_groups(df, keys) if hot is CHECK else hot
     med = exact_medians(df, keys, features, hot=hot)
-    x = df.join(med, keys)
+    x = attach(df, med, keys, hot)
     dev = x.select(*keys, *[F.abs(F.col(f) - F.col(f"{f}_med")).alias(f) for f in features])
     mad = exact_medians(dev, keys, features, suffix="_mad", hot=hot)
-    x = x.join(mad, keys)
+    x = attach(x, mad, keys, hot)
     z = {f"z_{f}": (F.col(f) - F.col(f"{f}_med")) / F.greatest(MAD * F.col(f"{f}_mad"), floors[f]) for f in features}
     return x.withColumns(z).drop(*[f"{f}{s}" for f in features for s in ("_med", "_mad")])
 
@@ -41,9 +41,9 @@ def final_z(df: DataFrame, keys: list[str], scores: dict[str, str], hot=CHECK) -
     """Robust z of finished scores per group: ``scores`` maps a score column to its output name."""
     cols = list(scores)
     hot = hot_groups(df, keys) if hot is CHECK else hot
-    x = df.join(exact_medians(df, keys, cols, hot=hot), keys)
+    x = attach(df, exact_medians(df, keys, cols, hot=hot), keys, hot)
     dev = x.select(*keys, *[F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in cols])
-    x = x.join(exact_medians(dev, keys, cols, suffix="_mad", hot=hot), keys)
+    x = attach(x, exact_medians(dev, keys, cols, suffix="_mad", hot=hot), keys, hot)
     z = {}
     for c, out in scores.items():
         m = F.col(f"{c}_med")

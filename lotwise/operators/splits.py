@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.scale import hash_rank, prefix_sums
+from lotwise.functions.scale import attach, hash_rank, hot_groups, prefix_sums
 
 
 def seeded(key, seed: str) -> Column:
@@ -42,7 +42,8 @@ def cell_weights(df: DataFrame, source: str, defect: str) -> DataFrame:
     """Every source weighs 1 in total, split evenly over its non-empty good / defect cells."""
     cells = df.groupBy(source, defect).agg(F.count(F.lit(1)).alias("_n"))
     w = cells.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(source)))
-    return df.join(w.select(source, defect, (1.0 / (F.col("_c") * F.col("_n"))).alias("w")), [source, defect])
+    w = w.select(source, defect, (1.0 / (F.col("_c") * F.col("_n"))).alias("w"))
+    return attach(df, w, [source, defect], hot_groups(df, [source, defect]))
 
 
 def cap_per_group(df: DataFrame, keys: list[str], key, seed: str, cap: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Similarity joins and nearest neighbours over vector columns.
 
 Vectors are compared in tiles: both sides are cut into chunks of bounded size, each pair of chunks is one small
-matrix product in one task, and a tile returns only what the caller asked for (pairs over a threshold, or k
-neighbours per row). No row pair is ever materialised, and no group has to fit into a task.
+matrix product in one task, and a tile returns only what the caller asked for (a few numbers or k neighbours per
+row). No list of pairs is ever written, and no group has to fit into a task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.scale import attach, hot_groups
 from lotwise.operators.curate import rounds_until
 from lotwise.operators.splits import first_k
 from lotwise.session import cut_lineage
@@ -96,100 +97,140 @@ def knn_distance(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] |
     return near.groupBy(*(by or []), "qid").agg(F.avg(1 - F.col("sim")).alias("distance"))
 
 
-# ---------------------------------------------------------------- pairs over a threshold
-
-def similar_pairs(df: DataFrame, min_cos: float, *, pivots: int = 16, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a < b, cos) of rows (id, vec) with cosine >= ``min_cos``; exact.
-
-    Rows live in the cell of their nearest pivot. A row visits a cell only when the triangle inequality on angles
-    leaves room for a partner there, so a tight threshold touches few cells and a loose one degrades to all tiles."""
-    tau = math.acos(max(-1.0, min(1.0, min_cos)))
-    pick = df.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()  # a fixed number of vectors
-    if not pick:
-        return df.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos"))
-    piv = _unit(np.array([r["vec"] for r in pick], dtype=np.float64))
-    id_type = dict(df.dtypes)["id"]
-
-    def assign(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            u = _unit(_matrix(pdf["vec"]))
-            ang = np.arccos(np.clip(u @ piv.T, -1, 1))
-            yield pd.DataFrame({"id": pdf["id"], "vec": list(u), "home": ang.argmin(1).astype("int64"), "ang": list(ang)})
-
-    # written once: four passes read it
-    placed = cut_lineage(df.select("id", "vec").mapInPandas(assign, f"id {id_type}, vec array<double>, home long, ang array<double>"))
-    p = len(pick)
-    stats = {r["home"]: r for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("ang", F.col("home").cast("int"))).alias("r")).collect()}
-    reach = F.array(*[F.lit(float(stats[c]["r"]) + tau + 1e-9 if c in stats else -1.0) for c in range(p)])
-    visits = F.filter(F.transform(F.arrays_zip(F.col("ang").alias("a"), reach.alias("r")), lambda s, i: F.when(s["a"] <= s["r"], i.cast("long"))), lambda x: x.isNotNull())
-    probes = placed.select("id", "vec", F.explode(visits).alias("cell"))
-    load = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = lambda counts: F.array(*[F.lit(max(1, math.ceil(counts.get(c, 0) / chunk))).cast("long") for c in range(p)])
-    homes_of, probes_of = parts({c: r["n"] for c, r in stats.items()}), parts(load)
-    seq = lambda arr, c: F.explode(F.sequence(F.lit(0).cast("long"), F.get(arr, F.col(c).cast("int")) - 1))
-    part = lambda arr, c, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.get(arr, F.col(c).cast("int")))
-    fresh = [F.col("id").alias("id"), F.col("vec").alias("vec")]  # both sides come from one table
-    home = placed.select(*fresh, F.col("home").alias("cell"), part(homes_of, "home", 1).alias("hc"), seq(probes_of, "home").alias("pc"))
-    probe = probes.select(*fresh, F.col("cell").alias("cell"), part(probes_of, "cell", 2).alias("pc"), seq(homes_of, "cell").alias("hc"))
-    key = ["cell", "hc", "pc"]
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        ida, idb = left["id"].to_numpy(), right["id"].to_numpy()
-        sim = _matrix(left["vec"]) @ _matrix(right["vec"]).T
-        i, j = np.nonzero((sim >= min_cos) & (ida[:, None] < idb[None, :]))
-        return pd.DataFrame({"a": ida[i], "b": idb[j], "cos": sim[i, j]})
-
-    return home.groupBy(*key).cogroup(probe.groupBy(*key)).applyInPandas(tile, f"a {id_type}, b {id_type}, cos double")
+# ---------------------------------------------------------------- similarity over a threshold
+
+class CosineCells:
+    """Vectors (id, vec) placed so that all partners over a cosine threshold meet; exact.
+
+    A row lives in the cell of its nearest pivot. It visits another cell only when the triangle inequality on angles
+    leaves room for a partner there: a tight threshold touches few cells, a loose one degrades to all tiles. Cells are
+    cut into chunks, so a crowded cell is many tasks."""
+
+    def __init__(self, df: DataFrame, min_cos: float, pivots: int = 16, chunk: int = CHUNK):
+        self.min_cos, self.chunk = min_cos, chunk
+        tau = math.acos(max(-1.0, min(1.0, min_cos)))
+        pick = df.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()  # a fixed number of vectors
+        piv = _unit(np.array([r["vec"] for r in pick], dtype=np.float64)) if pick else np.ones((1, 1))
+        self.cells = max(1, len(pick))
+        self.id_type = dict(df.dtypes)["id"]
+
+        def assign(batches):
+            for pdf in batches:
+                if len(pdf):
+                    u = _unit(_matrix(pdf["vec"]))
+                    ang = np.arccos(np.clip(u @ piv.T, -1, 1))
+                    yield pd.DataFrame({"id": pdf["id"], "vec": list(u), "home": ang.argmin(1).astype("int64"), "ang": list(ang)})
+
+        # written once, read by every pass
+        placed = cut_lineage(df.select("id", "vec").mapInPandas(assign, f"id {self.id_type}, vec array<double>, home long, ang array<double>"))
+        radius = {r["home"]: float(r["r"]) for r in placed.groupBy("home").agg(F.max(F.get("ang", F.col("home").cast("int"))).alias("r")).collect()}
+        reach = F.array(*[F.lit(radius[c] + tau + 1e-9 if c in radius else -1.0) for c in range(self.cells)])
+        visits = F.filter(F.transform(F.arrays_zip(F.col("ang").alias("a"), reach.alias("r")), lambda x, i: F.when(x["a"] <= x["r"], i.cast("long"))), lambda x: x.isNotNull())
+        self.homes = placed.select("id", "vec", F.col("home").alias("cell"))
+        self.visits = placed.select("id", "vec", visits.alias("cells"))
+
+    def run(self, reducer, schema: str, homes: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
+        """``reducer(home rows, probe rows, similarity matrix)`` on every tile. ``homes`` and ``probes`` (id, payload...)
+        choose the rows that take part and what they carry; a home row is in one cell, a probe in all it may visit."""
+        home = self.homes if homes is None else self.homes.join(homes, "id")
+        probe = (self.visits if probes is None else self.visits.join(probes, "id")).withColumn("cell", F.explode("cells")).drop("cells")
+        n_home, n_probe = (self._parts(d) for d in (home, probe))
+        at = lambda arr: F.get(arr, F.col("cell").cast("int"))
+        part = lambda arr, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), at(arr))
+        copies = lambda arr: F.explode(F.sequence(F.lit(0).cast("long"), at(arr) - 1))
+        fresh = lambda d: [F.col(c).alias(c) for c in d.columns]  # both sides come from one table
+        home = home.select(*fresh(home), part(n_home, 1).alias("_h"), copies(n_probe).alias("_p"))
+        probe = probe.select(*fresh(probe), part(n_probe, 2).alias("_p"), copies(n_home).alias("_h"))
+        names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+        def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({n: [] for n in names})
+            return reducer(left, right, _matrix(left["vec"]) @ _matrix(right["vec"]).T)
+
+        key = ["cell", "_h", "_p"]
+        return home.groupBy(*key).cogroup(probe.groupBy(*key)).applyInPandas(tile, schema)
+
+    def _parts(self, d: DataFrame) -> Column:
+        n = {r["cell"]: r["n"] for r in d.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one line per cell
+        return F.array(*[F.lit(max(1, math.ceil(n.get(c, 0) / self.chunk))).cast("long") for c in range(self.cells)])
 
 
 def vector_key(vec) -> Column:
     return F.md5(F.to_json(F.struct(vec if isinstance(vec, Column) else F.col(vec))))
 
 
-def near_dup_pairs(df: DataFrame, key: str, vec: str, group: str, min_cos: float, **kw) -> DataFrame:
-    """Similar pairs across groups between distinct vectors; copies of one vector are counted, not paired.
+def near_dup_partners(df: DataFrame, key: str, vec: str, group: str, min_cos: float, **kw) -> DataFrame:
+    """Per distinct vector: how many similar vectors of other groups there are, the first of them, the best cosine.
 
-    Every vector is named by its first row. ``copies_*`` say how many rows stand behind a side; a vector found in
-    several groups is reported once with itself."""
+    A vector is named by its first row. Two vectors found only in one and the same group do not count as partners.
+    One line per vector, never a list of pairs; copies stand behind their vector as a count."""
     v = df.withColumn("_k", vector_key(vec)).groupBy("_k").agg(
-        F.min(key).alias("id"), F.first(vec).alias("vec"), F.count(F.lit(1)).alias("n"), F.min(group).alias("g0"), F.max(group).alias("g1"))
-    pairs = similar_pairs(v.select("id", "vec"), min_cos, **kw)
-    side = lambda s: v.select(F.col("id").alias(s), F.col("n").alias(f"copies_{s}"), F.col("g0").alias(f"g0{s}"), F.col("g1").alias(f"g1{s}"))
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
-    one = (F.col("g0a") == F.col("g1a")) & (F.col("g0b") == F.col("g1b")) & (F.col("g0a") == F.col("g0b"))
-    cross = x.where(~one).select("a", "b", "cos", "copies_a", "copies_b")
-    own = v.where("g0 <> g1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos"), F.col("n").alias("copies_a"), F.col("n").alias("copies_b"))
-    return cross.unionByName(own)
+        F.min(key).alias("id"), F.first(vec).alias("vec"), F.count(F.lit(1)).alias("copies"), F.min(group).alias("g0"), F.max(group).alias("g1"))
+    cells = CosineCells(v.select("id", "vec"), min_cos, **kw)
+    tags = v.select("id", "g0", "g1")
+
+    def count(left, right, sim):
+        ida, idb = left["id"].to_numpy(), right["id"].to_numpy()
+        a0, a1, b0, b1 = left["g0"].to_numpy(), left["g1"].to_numpy(), right["g0"].to_numpy(), right["g1"].to_numpy()
+        one = (a0 == a1)[:, None] & (b0 == b1)[None, :] & (a0[:, None] == b0[None, :])
+        hit = (sim >= min_cos) & (ida[:, None] != idb[None, :]) & ~one
+        cols = np.flatnonzero(hit.any(0))
+        first = [ida[hit[:, c]].min() for c in cols]
+        best = np.where(hit[:, cols], sim[:, cols], -2.0).max(0) if len(cols) else []
+        return pd.DataFrame({"id": idb[cols], "n": hit[:, cols].sum(0), "first": first, "cos": best})
+
+    t = cells.id_type
+    found = cells.run(count, f"id {t}, n long, first {t}, cos double", tags, tags)
+    found = found.groupBy("id").agg(F.sum("n").alias("partners"), F.min("first").alias("first_partner"), F.max("cos").alias("best_cos"))
+    out = v.select("id", "copies", (F.col("g0") != F.col("g1")).alias("spans_groups")).join(found, "id", "left")
+    return out.where("partners is not null or spans_groups").withColumn("partners", F.coalesce("partners", F.lit(0)))
 
 
 def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float, **kw) -> DataFrame:
     """Greedy near-duplicate removal in key order: a row is dropped when an earlier kept row of another group is similar.
 
-    Rows with one vector and one group share their fate, so the pass runs on (vector, group) entries. Each round
-    every vector hears from its similar vectors only their two earliest entries of different groups that are not
-    dropped: enough to decide, and independent of how many copies stand behind a vector."""
+    Rows with one vector and one group share their fate, so the pass runs on (vector, group) entries. Each round every
+    vector hears from its similar vectors only the two earliest entries of different groups that are not dropped: enough
+    to decide, and independent of how many rows or near copies stand behind it. The first entry of a dense cluster is
+    kept in the first round and the rest of the cluster falls in the next, so rounds follow the depth of the chains."""
     rows = df.withColumn("_k", vector_key(vec))
     nodes = rows.groupBy("_k").agg(F.min(key).alias("id"), F.first(vec).alias("vec"))
+    cells = CosineCells(nodes.select("id", "vec"), min_cos, **kw)
     entries = rows.groupBy("_k", group).agg(F.min(key).alias("seq")).join(nodes.select("_k", F.col("id").alias("node")), "_k")
     entries = entries.select("_k", "node", F.col(group).alias("grp"), "seq", F.lit(0).alias("st"))
-    half = cut_lineage(similar_pairs(nodes.select("id", "vec"), min_cos, **kw).select("a", "b"))
-    self_ = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    edges = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(self_)
-
-    def two_first(x: DataFrame, by: str) -> DataFrame:
-        """The earliest entry per ``by`` and the earliest one of another group, as a short array."""
-        per_group = x.groupBy(by, "grp").agg(F.min(F.struct("seq", "st")).alias("m"))
-        two = first_k(per_group.select(by, "grp", "m.seq", "m.st"), [by], [F.col("seq")], 2)
-        return two.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "grp", "st"))).alias("two"))
+    types = dict(entries.dtypes)
+
+    def two_first(x: DataFrame) -> DataFrame:
+        """The earliest entry per node and the earliest one of another group, as a short array."""
+        per_group = x.groupBy("node", "grp").agg(F.min(F.struct("seq", "st")).alias("m"))
+        two = first_k(per_group.select("node", "grp", "m.seq", "m.st"), ["node"], [F.col("seq")], 2)
+        return two.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "grp", "st"))).alias("two"))
+
+    def hear(left, right, sim):
+        owner = np.repeat(np.arange(len(left)), [len(x) for x in left["two"]])
+        said = [e for x in left["two"] for e in x]
+        get = (lambda e, f: e[f]) if isinstance(said[0], dict) else getattr
+        seq = np.array([get(e, "seq") for e in said])
+        grp, st = np.array([get(e, "grp") for e in said]), np.array([get(e, "st") for e in said])
+        near = (sim >= min_cos) | (left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :])
+        order = np.argsort(seq, kind="stable")
+        owner, seq, grp, st = owner[order], seq[order], grp[order], st[order]
+        near = near[owner]
+        one = near.argmax(0)
+        has = near[one, np.arange(near.shape[1])]
+        second = near & (grp[:, None] != grp[one][None, :])
+        two = second.argmax(0)
+        has2 = second[two, np.arange(near.shape[1])]
+        ids = right["id"].to_numpy()
+        i = np.concatenate([one[has], two[has2]])
+        return pd.DataFrame({"node": np.concatenate([ids[has], ids[has2]]), "seq": seq[i], "grp": grp[i], "st": st[i]})
 
     def step(e: DataFrame) -> DataFrame:
-        alive = e.where("st < 2").select(F.col("node").alias("b"), "grp", "seq", "st")
-        said = edges.join(two_first(alive, "b"), "b").select(F.col("a").alias("node"), F.explode("two").alias("m")).select("node", "m.*")
-        x = e.join(two_first(said, "node"), "node", "left")
+        alive = two_first(e.where("st < 2")).select(F.col("node").alias("id"), "two")
+        asking = e.where("st = 0").select(F.col("node").alias("id")).distinct()
+        said = cells.run(hear, f"node {cells.id_type}, seq {types['seq']}, grp {types['grp']}, st int", alive, asking)
+        x = e.join(two_first(said), "node", "left")
         rival = F.try_element_at(F.filter("two", lambda m: m["grp"] != F.col("grp")), F.lit(1))
         ahead = F.coalesce(rival["seq"] < F.col("seq"), F.lit(False))
         st = F.when(F.col("st") > 0, F.col("st")).when(~ahead, 1).when(rival["st"] == 1, 2).otherwise(0)
@@ -197,29 +238,34 @@ def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float,
 
     done = rounds_until(entries, step, F.col("st") == 0)
     fate = done.select("_k", F.col("grp").alias(group), (F.col("st") == 1).alias("keep"))
-    return rows.join(fate, ["_k", group]).drop("_k")
+    return attach(rows, fate, ["_k", group], hot_groups(rows, ["_k", group])).drop("_k")
 
 
 # ---------------------------------------------------------------- binary hashes
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, max_bits: int = 8, bands: int = 4, width: int = 16, hot: int = 4096) -> DataFrame:
-    """Pairs of distinct hashes that share a band and differ in at most ``max_bits`` places.
+def hamming_partners(df: DataFrame, key: str, bits: str, max_bits: int = 8, bands: int = 4, width: int = 16, hot: int = 4096) -> DataFrame:
+    """Per distinct hash: partners that share a band and differ in at most ``max_bits`` places, the first of them and
+    the smallest distance.
 
-    Equal hashes are collapsed first and reported as one line with their count. Bands that many hashes share are cut
-    into salted blocks, so no band is one task. A pair is reported by its first shared band only."""
-    h = df.groupBy(bits).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n"))
+    Equal hashes are collapsed first and stand behind their hash as a count. Bands that many hashes share are cut into
+    salted blocks, so no band is one task; a pair is counted by its first shared band only, and counted where it is
+    found, never written out."""
+    h = df.groupBy(bits).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("copies"))
     num = lambda c, i: F.conv(F.substring(c, 1 + i * width, width), 2, 10).cast("long")
     h = h.withColumn("_w", F.array(*[num(bits, i) for i in range(bands)]))
-    x = h.select("id", "n", "_w", F.posexplode("_w").alias("band", "val"))
+    x = h.select("id", "_w", F.posexplode("_w").alias("band", "val"))
     size = x.groupBy("band", "val").agg(F.count(F.lit(1)).alias("_c"))
-    x = x.join(size.where("_c > 1"), ["band", "val"]).withColumn("_s", F.ceil(F.col("_c") / hot).cast("long")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_s")))
+    big = size.where(F.col("_c") > hot).select("band", "val")
+    x = attach(x, size.where("_c > 1"), ["band", "val"], None if big.isEmpty() else big)
+    x = x.withColumn("_s", F.ceil(F.col("_c") / hot).cast("long")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_s")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))
-    a = x.select("band", "val", F.col("id").alias("a"), F.col("n").alias("copies_a"), F.col("_w").alias("_wa"), F.col("_own").alias("_sa"), other.alias("_sb"))
-    b = x.select("band", "val", F.col("id").alias("b"), F.col("n").alias("copies_b"), F.col("_w").alias("_wb"), F.col("_own").alias("_sb"), other.alias("_sa"))
+    a = x.select("band", "val", F.col("id").alias("a"), F.col("_w").alias("_wa"), F.col("_own").alias("_sa"), other.alias("_sb"))
+    b = x.select("band", "val", F.col("id").alias("b"), F.col("_w").alias("_wb"), F.col("_own").alias("_sb"), other.alias("_sa"))
     dist = sum((F.bit_count(F.get("_wa", i).bitwiseXOR(F.get("_wb", i))) for i in range(bands)), F.lit(0))
     earlier = F.lit(False)
     for i in range(bands):
         earlier = earlier | ((F.get("_wa", i) == F.get("_wb", i)) & (F.lit(i) < F.col("band")))
-    pairs = a.join(b, ["band", "val", "_sa", "_sb"]).where((F.col("a") < F.col("b")) & ~earlier).withColumn("distance", dist).where(F.col("distance") <= max_bits)
-    same = h.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("copies_a"), F.col("n").alias("copies_b"), F.lit(0).alias("distance"))
-    return pairs.select("a", "b", "copies_a", "copies_b", F.col("distance").cast("int").alias("distance")).unionByName(same)
+    hit = a.join(b, ["band", "val", "_sa", "_sb"]).where((F.col("a") != F.col("b")) & ~earlier).withColumn("distance", dist).where(F.col("distance") <= max_bits)
+    found = hit.groupBy("a").agg(F.count(F.lit(1)).alias("partners"), F.min("b").alias("first_partner"), F.min("distance").cast("int").alias("distance"))
+    out = h.select("id", "copies").join(found.withColumnRenamed("a", "id"), "id", "left")
+    return out.where("partners is not null or copies > 1").withColumn("partners", F.coalesce("partners", F.lit(0)))

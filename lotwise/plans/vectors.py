@@ -17,11 +17,12 @@ NEAR = 0.35  # the highest cosine in the test vectors is about .51, so the shipp
 UNIT = """un AS (SELECT *, list_transform(e, lambda x: x/greatest(sqrt(list_sum(list_transform(e, lambda y: y*y))),1e-9)) AS u FROM emb)"""
 
 
-@query("near_dup_pairs", f"""WITH {EMB}, {UNIT}, v AS (SELECT e, any_value(u) AS u, min(vec_id) AS id, count(*) AS n, min(photo) AS g0, max(photo) AS g1 FROM un GROUP BY e)
- SELECT a.id AS a, b.id AS b, {r6('list_dot_product(a.u,b.u)')} AS cos, a.n AS copies_a, b.n AS copies_b FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.u,b.u) >= 0.35e0 AND NOT (a.g0=a.g1 AND b.g0=b.g1 AND a.g0=b.g0)
- UNION ALL SELECT id, id, 1.0e0, n, n FROM v WHERE g0 <> g1""")
+@query("near_dup_pairs", f"""WITH {EMB}, {UNIT}, v AS (SELECT e, any_value(u) AS u, min(vec_id) AS id, count(*) AS copies, min(photo) AS g0, max(photo) AS g1 FROM un GROUP BY e),
+ f AS (SELECT a.id, count(*) AS partners, min(b.id) AS first_partner, max(list_dot_product(a.u,b.u)) AS best FROM v a JOIN v b ON a.id <> b.id WHERE list_dot_product(a.u,b.u) >= 0.35e0 AND NOT (a.g0=a.g1 AND b.g0=b.g1 AND a.g0=b.g0) GROUP BY a.id)
+ SELECT v.id, copies, g0 <> g1 AS spans_groups, coalesce(partners,0) AS partners, first_partner, {r6('best')} AS best_cos FROM v LEFT JOIN f USING (id) WHERE partners IS NOT NULL OR g0 <> g1""")
 def near_dup_pairs(t):
-    return rnd(X.near_dup_pairs(t.emb(), "vec_id", "e", "photo", NEAR), ["a", "b", "copies_a", "copies_b"], "cos")
+    """Near-duplicate partners of every vector, one line per vector."""
+    return rnd(X.near_dup_partners(t.emb(), "vec_id", "e", "photo", NEAR), ["id", "copies", "spans_groups", "partners", "first_partner"], "best_cos")
 
 
 @query("near_dup_keep", f"""WITH RECURSIVE {EMB}, {UNIT}, o AS (SELECT vec_id, photo, u, row_number() OVER (ORDER BY vec_id) AS i FROM un),
@@ -35,12 +36,14 @@ def near_dup_keep(t):
 BITS = """bt AS (SELECT vec_id, source, list_aggregate(list_transform(e, lambda x: CASE WHEN x > 0.12e0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM emb)"""
 
 
-@query("hamming_lsh", f"""WITH {EMB}, {BITS}, h AS (SELECT bits, min(vec_id) AS id, count(*) AS n, [CAST(('0b'||substr(bits,1,16)) AS BIGINT), CAST(('0b'||substr(bits,17,16)) AS BIGINT), CAST(('0b'||substr(bits,33,16)) AS BIGINT), CAST(('0b'||substr(bits,49,16)) AS BIGINT)] AS w FROM bt GROUP BY bits),
- p AS (SELECT a.id AS a, b.id AS b, a.n AS copies_a, b.n AS copies_b, CAST(bit_count(xor(a.w[1],b.w[1]))+bit_count(xor(a.w[2],b.w[2]))+bit_count(xor(a.w[3],b.w[3]))+bit_count(xor(a.w[4],b.w[4])) AS INTEGER) AS distance FROM h a JOIN h b ON a.id < b.id
-   AND (a.w[1]=b.w[1] OR a.w[2]=b.w[2] OR a.w[3]=b.w[3] OR a.w[4]=b.w[4])) SELECT * FROM p WHERE distance <= 8 UNION ALL SELECT id, id, n, n, 0 FROM h WHERE n > 1""")
+@query("hamming_lsh", f"""WITH {EMB}, {BITS}, h AS (SELECT bits, min(vec_id) AS id, count(*) AS copies, [CAST(('0b'||substr(bits,1,16)) AS BIGINT), CAST(('0b'||substr(bits,17,16)) AS BIGINT), CAST(('0b'||substr(bits,33,16)) AS BIGINT), CAST(('0b'||substr(bits,49,16)) AS BIGINT)] AS w FROM bt GROUP BY bits),
+ p AS (SELECT a.id, b.id AS o, CAST(bit_count(xor(a.w[1],b.w[1]))+bit_count(xor(a.w[2],b.w[2]))+bit_count(xor(a.w[3],b.w[3]))+bit_count(xor(a.w[4],b.w[4])) AS INTEGER) AS distance FROM h a JOIN h b ON a.id <> b.id
+   AND (a.w[1]=b.w[1] OR a.w[2]=b.w[2] OR a.w[3]=b.w[3] OR a.w[4]=b.w[4])), f AS (SELECT id, count(*) AS partners, min(o) AS first_partner, min(distance) AS distance FROM p WHERE distance <= 8 GROUP BY id)
+ SELECT h.id, copies, coalesce(partners,0) AS partners, first_partner, distance FROM h LEFT JOIN f USING (id) WHERE partners IS NOT NULL OR copies > 1""")
 def hamming_lsh(t):
+    """Perceptual-hash partners over four bands of sixteen bits, one line per distinct hash."""
     bits = F.array_join(F.transform("e", lambda x: F.when(x > 0.12, "1").otherwise("0")), "")
-    return X.hamming_pairs(t.emb().select("vec_id", bits.alias("bits")), "vec_id", "bits")
+    return X.hamming_partners(t.emb().select("vec_id", bits.alias("bits")), "vec_id", "bits")
 
 
 @query("cross_source_nn", f"""WITH {EMB}, {UNIT}, p AS (SELECT a.vec_id, a.source, b.vec_id AS nn, b.source AS nn_source, list_dot_product(a.u,b.u) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.u,b.u) DESC, b.vec_id) AS rn FROM un a JOIN un b ON a.source <> b.source)
