@@ -11,7 +11,8 @@ from lotwise.operators import scoring as B
 from lotwise.plans.metrics import rnd
 from lotwise.plans.registry import query
 from lotwise.plans.robust import FEATURES, hand
-from lotwise.plans.sqltext import EMB, ITEMS, r6
+from lotwise.plans.sqltext import EMB, r6
+from lotwise.session import cut_lineage
 
 UNITS = """ue AS (SELECT vec_id, source, p, (y<>0)::INT AS d, list_transform(e, lambda x: x/greatest(sqrt(list_sum(list_transform(e, lambda y: y*y))),1e-9)) AS u FROM emb)"""
 HEADS = """sm AS (SELECT source, d, i, sum(u[i]) AS s FROM ue, range(1,65) r(i) GROUP BY source, d, i), sv AS (SELECT source, d, list(s ORDER BY i) AS s FROM sm GROUP BY source, d),
@@ -54,8 +55,8 @@ def logit_head(t):
 
 @query("ml_baselines")
 def ml_baselines(t):
-    """Depth-2 tree and standardised logistic regression, trained on the other source and tested on the held-out one; rows only."""
-    h = hand(t).select("vec_id", "source", (F.col("y") != 0).cast("double").alias("label"), *FEATURES)
+    """Depth-2 tree and standardised logistic regression, trained on the other sources and tested on the held-out one; rows only."""
+    h = cut_lineage(hand(t).select("vec_id", "source", (F.col("y") != 0).cast("double").alias("label"), *FEATURES))  # read by every fit
     out = None
     for held in range(5):  # one fit per held-out source
         for kind in ("tree", "logistic"):

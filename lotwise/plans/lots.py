@@ -15,7 +15,7 @@ from lotwise.operators import vectors as X
 from lotwise.operators import verdict as V
 from lotwise.plans.metrics import rnd
 from lotwise.plans.registry import query
-from lotwise.plans.robust import FEATURES, hand
+from lotwise.plans.robust import FEATURES, hand, robust_sql
 from lotwise.plans.sampling import h
 from lotwise.session import cut_lineage
 from lotwise.plans.sqltext import EMB, LOTS, SCORES, band, r6, verdict, wilson
@@ -185,12 +185,36 @@ def odd_trays(t):
     return out.withColumn("id", F.col("vec_id") * 2 + F.col("odd").cast("long"))
 
 
-@query("odd_insertion")
+def _odd_sql():
+    """Trays of every condition in SQL: the same pools, digests and positions."""
+    parts = []
+    hx = lambda a: f"CAST('0x'||substr(hh,{a},6) AS BIGINT)"
+    for c, (whole, pool) in CONDITIONS.items():
+        tr = f"(SELECT CAST(tray AS INTEGER) AS tray, md5('{c}|'||tray) AS hh FROM range({TRAYS}) r(tray))"
+        rank = lambda where, seed: f"(SELECT vec_id, row_number() OVER (ORDER BY {h('vec_id', seed)}) AS rn, count(*) OVER () AS n FROM emb WHERE {where})"
+        if whole:
+            parts.append(f"SELECT '{c}' AS cond, tray, vec_id, FALSE AS odd FROM {tr} JOIN emb ON photo = {hx(1)}%25")
+        else:
+            parts.append(f"SELECT '{c}' AS cond, tray, vec_id, FALSE AS odd FROM {tr}, range(50) g(j) JOIN {rank('label < 4', 'base' + c)} ON rn = ({hx(1)}+j)%n+1")
+        where, seed, first = ("label < 4", "base" + c, f"{hx(1)}+50") if pool == "shift" else (pool, "odd" + c, hx(7))
+        parts.append(f"SELECT '{c}' AS cond, tray, vec_id, TRUE AS odd FROM {tr}, range({ODD}) g(j) JOIN {rank(where, seed)} ON rn = ({first}+j)%n+1")
+    return EMB + ", ot AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("odd_insertion", f"WITH {_odd_sql()} SELECT cond, tray, count(*) FILTER (WHERE NOT odd) AS base, count(*) FILTER (WHERE odd) AS inserted, CAST(sum(vec_id*2+odd::INT) AS BIGINT) AS checksum FROM ot GROUP BY cond, tray")
 def odd_insertion(t):
     return odd_trays(t).groupBy("cond", "tray").agg(F.count_if(~F.col("odd")).alias("base"), F.count_if("odd").alias("inserted"), F.sum("id").alias("checksum"))
 
 
-@query("detector_eval")
+_SHIFT = "CASE WHEN cond='B2' AND odd THEN list_transform({v}, lambda x: x*0.7e0-0.02e0) ELSE {v} END"
+
+
+@query("detector_eval", f"""WITH {_odd_sql()}, oi0 AS (SELECT cond||'-'||tray AS photo, ot.cond, ot.odd, ot.vec_id*2+odd::INT AS vec_id, {_SHIFT.format(v='hand')} AS hand, {_SHIFT.format(v='e')} AS e FROM ot JOIN emb ON ot.vec_id=emb.vec_id),
+ oi AS (SELECT *, list_transform(e, lambda x: x/greatest(sqrt(list_dot_product(e,e)),1e-9)) AS u FROM oi0), {robust_sql('oi', 'oi')},
+ z AS (SELECT o.cond, o.photo, o.odd, z_both, rank() OVER (PARTITION BY o.photo ORDER BY z_both)+(count(*) OVER (PARTITION BY o.photo, z_both)-1)/2.0e0 AS rk FROM uns JOIN oi o ON o.photo=uns.photo AND o.vec_id=uns.vec_id),
+ g AS (SELECT cond, photo, (sum(rk) FILTER (WHERE odd) - count(*) FILTER (WHERE odd)*(count(*) FILTER (WHERE odd)+1)/2.0e0)/(count(*) FILTER (WHERE odd)*CAST(count(*) FILTER (WHERE NOT odd) AS DOUBLE)) AS auroc, avg((z_both > 2.5e0)::INT) FILTER (WHERE odd) AS rec, avg((z_both > 2.5e0)::INT) FILTER (WHERE NOT odd) AS ffr,
+  count(*) FILTER (WHERE odd AND z_both > 2.5e0) AS hit, count(*) FILTER (WHERE z_both > 2.5e0) AS flags FROM z GROUP BY cond, photo)
+ SELECT cond, count(*) AS trays, {r6('avg(auroc)')} AS mean_auroc, {r6('avg(rec)')} AS recall_inserted, {r6('avg(ffr)')} AS false_flag_rate, {r6('sum(hit)/CAST(greatest(sum(flags),1) AS DOUBLE)')} AS precision FROM g GROUP BY cond""")
 def detector_eval(t):
     """Does the per-group outlier score find the inserted items? AUROC, recall, false flags per tray, then per condition."""
     x = cut_lineage(odd_trays(t).withColumn("grp", F.concat_ws("-", "cond", F.col("tray").cast("string"))))

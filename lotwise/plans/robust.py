@@ -21,7 +21,9 @@ def hand(t):
     return t.emb().select("photo", "vec_id", "label", "y", "source", "logits", F.col("e").alias("vec"), *[F.get("hand", i).alias(f"h{i}") for i in range(16)])
 
 
-ROBUST = EMB + f""", {UNIT}, {KNN_LOO}, lo AS (SELECT photo, vec_id, unnest(range(16)) AS f, unnest(hand) AS x FROM emb), fl AS (SELECT f, 0.1e0*stddev_pop(x) AS floor FROM lo GROUP BY f),
+def robust_sql(items: str, vectors: str = "un") -> str:
+    """Robust scores of ``items`` (photo, vec_id, hand) with neighbour distances from ``vectors`` (photo, vec_id, u)."""
+    return f"""{KNN_LOO.replace('FROM un a JOIN un b', f'FROM {vectors} a JOIN {vectors} b')}, lo AS (SELECT photo, vec_id, unnest(range(16)) AS f, unnest(hand) AS x FROM {items}), fl AS (SELECT f, 0.1e0*stddev_pop(x) AS floor FROM (SELECT unnest(range(16)) AS f, unnest(hand) AS x FROM emb) GROUP BY f),
  m1 AS (SELECT photo, f, median(x) AS med FROM lo GROUP BY photo, f), m2 AS (SELECT photo, f, any_value(med) AS med, median(abs(x-med)) AS mad FROM lo JOIN m1 USING (photo, f) GROUP BY photo, f),
  z1 AS (SELECT photo, vec_id, sqrt(avg(power(greatest(-8.0e0, least(8.0e0, (x-med)/greatest(1.4826e0*mad, floor))),2))) AS hand_score FROM lo JOIN m2 USING (photo, f) JOIN fl USING (f) GROUP BY photo, vec_id),
  sc AS (SELECT photo, vec_id, hand_score, distance FROM z1 JOIN kl USING (photo, vec_id)), s1 AS (SELECT photo, median(hand_score) AS hm, median(distance) AS dm FROM sc GROUP BY photo),
@@ -30,6 +32,9 @@ ROBUST = EMB + f""", {UNIT}, {KNN_LOO}, lo AS (SELECT photo, vec_id, unnest(rang
  uns AS (SELECT *, 0.5e0*(z_hand+z_emb) AS z_both FROM un2)"""
 
 
+ROBUST = f"{EMB}, {UNIT}, {robust_sql('emb')}"
+
+
 def unusual_items(t):
     h = hand(t)
     x = h.join(loo_distance(t), ["photo", "vec_id"])

@@ -76,9 +76,25 @@ def stream_last_n(t):
     return last.select("user_id", F.explode("kept").alias("k")).select("user_id", "k.id", "k.event_id", "k.ts", "k.value")
 
 
-@query("stream_lot_pool")
+def _reason(t, d, u):
+    return f"CASE WHEN {t}-{u}=0 THEN 'too_many_unsure' WHEN {d}/CAST({t}-{u} AS DOUBLE) > 0.6e0 THEN 'implausible' WHEN {u}/CAST({t} AS DOUBLE) > 0.15e0 THEN 'too_many_unsure' ELSE '' END"
+
+
+_ROOM = "(adding AND len(held) BETWEEN 1 AND 2)"
+
+
+@query("stream_lot_pool", f"""WITH RECURSIVE k0 AS (SELECT *, CAST(json_extract_string(props,'$.k') AS INTEGER) AS k0 FROM events), ph AS (SELECT user_id, ts, event_id, CASE WHEN k0 >= 97 THEN 'dark_lot' WHEN k0 >= 90 THEN 'retake' ELSE 'result' END AS kind, event_type IN ('view','click','purchase') AS adding,
+  CAST(20+k0 AS BIGINT) AS t, CAST(floor((20+k0)*CASE WHEN event_type='error' THEN 0.5e0 WHEN event_type='click' THEN 0.1e0 ELSE 0.02e0 END) AS BIGINT) AS d, CASE WHEN value >= 150 THEN CAST(floor((20+k0)*0.3e0) AS BIGINT) ELSE 1 END AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM k0),
+ st AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS lot_no, CAST([] AS STRUCT(d BIGINT, u BIGINT, t BIGINT)[]) AS held, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS kind FROM ph UNION ALL
+  SELECT st.user_id, ph.k, CASE WHEN ph.kind='dark_lot' THEN lot_no+1 WHEN {_ROOM} THEN lot_no ELSE lot_no+(len(held) > 0)::INT END,
+   CASE WHEN ph.kind='dark_lot' THEN CAST([] AS STRUCT(d BIGINT, u BIGINT, t BIGINT)[]) WHEN ph.kind='retake' THEN CASE WHEN {_ROOM} THEN held ELSE CAST([] AS STRUCT(d BIGINT, u BIGINT, t BIGINT)[]) END
+    WHEN {_ROOM} THEN list_append(held, {{'d': ph.d, 'u': ph.u, 't': ph.t}}) ELSE [{{'d': ph.d, 'u': ph.u, 't': ph.t}}] END, ph.ts, ph.event_id, ph.kind FROM st JOIN ph ON ph.user_id=st.user_id AND ph.k=st.k+1),
+ s1 AS (SELECT *, CAST(coalesce(list_sum(list_transform(held, lambda x: x.t)),0) AS BIGINT) AS total, CAST(coalesce(list_sum(list_transform(held, lambda x: x.d)),0) AS BIGINT) AS defects, CAST(coalesce(list_sum(list_transform(held, lambda x: x.u)),0) AS BIGINT) AS unsure FROM st WHERE k > 0),
+ s2 AS (SELECT *, CASE WHEN kind='dark_lot' THEN 'dark_lot' WHEN kind='retake' THEN '' ELSE CASE WHEN ({_reason('total', 'defects', 'unsure')}) <> '' THEN {_reason('total', 'defects', 'unsure')}
+   ELSE coalesce(list_filter(list_transform(held, lambda x: {_reason('x.t', 'x.d', 'x.u')}), lambda r: r <> '')[1], '') END END AS reason FROM s1)
+ SELECT user_id, ts, event_id, kind, lot_no, CAST(len(held) AS INTEGER) AS handfuls, total, defects, unsure, CASE WHEN kind='retake' THEN 'retake' WHEN reason <> '' THEN 'unsure' WHEN defects/CAST(total-unsure AS DOUBLE) < 0.05e0 THEN 'clean' WHEN defects/CAST(total-unsure AS DOUBLE) <= 0.2e0 THEN 'some' ELSE 'many' END AS band, reason FROM s2""")
 def stream_lot_pool(t):
-    """Stateful pooling with veto, retake and dark-lot reset; checked step by step against a plain loop in the tests."""
+    """Stateful pooling with veto, retake and dark-lot reset."""
     return S.drain(S.pool_lots(S.photo_events(stream(t))))
 
 

@@ -116,10 +116,14 @@ def iou_pairs(t):
     return rnd(p, ["photo", "item", "partners", "best"], "iou")
 
 
-@query("iou_greedy")
+@query("iou_greedy", f"""WITH RECURSIVE {ITEMS}, {ANN}, {IOU}, c AS (SELECT photo, item, list(ann ORDER BY round(iou,9) DESC, ann) AS cand FROM iou GROUP BY photo, item), k AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY item) AS k FROM c),
+ st AS (SELECT DISTINCT photo, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS VARCHAR) AS ann FROM k UNION ALL
+  SELECT photo, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, item, pick FROM (SELECT st.photo, k.k, st.used, k.item, list_filter(k.cand, lambda a: NOT list_contains(st.used, a))[1] AS pick FROM st JOIN k ON k.photo=st.photo AND k.k=st.k+1))
+ SELECT st.photo, st.item, st.ann, {r6('round(iou,9)')} AS iou FROM st JOIN iou ON iou.photo=st.photo AND iou.item=st.item AND iou.ann=st.ann""")
 def iou_greedy(t):
-    """Found boxes in found order against annotations; checked against a small Python reference in the tests."""
-    return rnd(J.greedy_match(pairs(t), "photo", "item", "ann"), ["photo", "item", "ann"], "iou")
+    """Found boxes, in found order, take the best annotation that is still free."""
+    p = pairs(t).withColumn("iou", F.round("iou", 9))
+    return rnd(J.greedy_match(p, "photo", "item", "ann"), ["photo", "item", "ann"], "iou")
 
 
 @query("nearest_point", f"""WITH {ITEMS}, f AS (SELECT photo, item, (x0+x1)/2 AS cx, (y0+y1)/2 AS cy FROM items WHERE flag='N'), p AS (SELECT photo, item AS point, (x0+x1)/2 AS px, (y0+y1)/2 AS py FROM items WHERE flag='A'),

@@ -48,6 +48,40 @@ def connect(folder):
     return con
 
 
+def check(q, spark, con, folder):
+    """(status, message): status is ok, rows or FAIL."""
+    from lotwise.plans.registry import runner
+
+    t0 = time.time()
+    try:
+        df = runner(q)(spark, folder)
+        cols = sorted(df.columns)
+        rows = [[r[c] for c in cols] for r in df.collect()]
+        types = {f.name: f.dataType.simpleString() for f in df.schema}
+    except Exception as e:  # noqa: BLE001
+        return "FAIL", f"spark {str(e)[:900]}"
+    dt = time.time() - t0
+    if q.sql is None:
+        return "rows", f"{len(rows)} rows, no SQL twin, {dt:.1f}s"
+    try:
+        cur = con.execute(q.sql)
+        dcols = [d[0] for d in cur.description]
+        dtypes = {d[0]: FAMILY.get(str(d[1]), str(d[1])) for d in cur.description}
+        data = cur.fetchall()
+    except Exception as e:  # noqa: BLE001
+        return "FAIL", f"duckdb {str(e)[:700]}"
+    if sorted(dcols) != cols:
+        return "FAIL", f"columns {cols} vs {sorted(dcols)}"
+    ix = [dcols.index(c) for c in cols]
+    left = sorted("|".join(plain(v) for v in r) for r in rows)
+    right = sorted("|".join(plain(r[i]) for i in ix) for r in data)
+    tdiff = {c: (types[c], dtypes[c]) for c in cols if types[c] != dtypes[c] and not types[c].startswith(("array", "struct", "map"))}
+    if left == right and not tdiff:
+        return "ok", f"{len(left)} rows, {dt:.1f}s" + ("   EMPTY" if not left else "")
+    diff = [(x, y) for x, y in zip(left, right) if x != y][:3]
+    return "FAIL", f"{len(left)} vs {len(right)} rows; types {tdiff}; cols {cols}; {diff}"
+
+
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
@@ -56,6 +90,7 @@ def main() -> int:
     a = ap.parse_args()
     folder = f"/root/testdata/sf{a.sf}"
     from lotwise.plans import load_all
+
     reg = load_all()
     names = a.names or [n for n, q in reg.items() if not a.module or q.build.__module__.endswith(a.module)]
     spark = build_session("compare")
@@ -63,45 +98,10 @@ def main() -> int:
     con = connect(folder)
     bad = []
     for n in names:
-        q = reg[n]
-        t0 = time.time()
-        try:
-            from lotwise.plans.registry import runner
-            df = runner(q)(spark, folder)
-            cols = sorted(df.columns)
-            rows = [[r[c] for c in cols] for r in df.collect()]
-            types = {f.name: f.dataType.simpleString() for f in df.schema}
-        except Exception as e:  # noqa: BLE001
-            bad.append(n)
-            print(f"FAIL  {n}: spark {str(e)[:900]}", flush=True)
-            continue
-        dt = time.time() - t0
-        if q.sql is None:
-            print(f"rows  {n}: {len(rows)} rows, no SQL twin, {dt:.1f}s", flush=True)
-            continue
-        try:
-            cur = con.execute(q.sql)
-            dcols = [d[0] for d in cur.description]
-            dtypes = {d[0]: FAMILY.get(str(d[1]), str(d[1])) for d in cur.description}
-            data = cur.fetchall()
-        except Exception as e:  # noqa: BLE001
-            bad.append(n)
-            print(f"FAIL  {n}: duckdb {str(e)[:700]}", flush=True)
-            continue
-        if sorted(dcols) != cols:
-            bad.append(n)
-            print(f"FAIL  {n}: columns {cols} vs {sorted(dcols)}", flush=True)
-            continue
-        ix = [dcols.index(c) for c in cols]
-        left = sorted("|".join(plain(v) for v in r) for r in rows)
-        right = sorted("|".join(plain(r[i]) for i in ix) for r in data)
-        tdiff = {c: (types[c], dtypes[c]) for c in cols if types[c] != dtypes[c] and not types[c].startswith(("array", "struct", "map"))}
-        if left == right and not tdiff:
-            print(f"ok    {n}: {len(left)} rows, {dt:.1f}s" + ("   EMPTY" if not left else ""), flush=True)
-        else:
+        status, text = check(reg[n], spark, con, folder)
+        if status == "FAIL":
             bad.append(n)
-            diff = [(x, y) for x, y in zip(left, right) if x != y][:3]
-            print(f"FAIL  {n}: {len(left)} vs {len(right)} rows; types {tdiff}; cols {cols}; {diff}", flush=True)
+        print(f"{status:5s} {n}: {text}", flush=True)
     print(f"{len(names) - len(bad)} of {len(names)} fine; bad: {bad}")
     return 1 if bad else 0
 
