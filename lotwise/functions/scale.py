@@ -27,8 +27,8 @@ def quantile_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[fl
 def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_b") -> DataFrame:
     """Monotone bucket number of ``value`` (binary search in the JVM)."""
     splits = [float("-inf"), *edges, float("inf")]
-    tmp = df.withColumn("_v", F.col(value).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(tmp).drop("_v")
+    tmp = df.withColumn("_edge_in", F.col(value).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_edge_in", outputCol=out, handleInvalid="keep").transform(tmp).drop("_edge_in")
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int = BUCKETS, bucket: Column | None = None) -> DataFrame:

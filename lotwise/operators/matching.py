@@ -61,7 +61,7 @@ def _greedy_grouped(pairs: DataFrame, photo: str, found_id: str, truth_id: str)
             used.add(j)
             last = f
             out.append((getattr(r, photo), f, j, r.iou))
-        return pd.DataFrame(out, columns=schema.names)
+        return pd.DataFrame(out, columns=schema.names, dtype=None if out else object)
 
     return pairs.select(photo, found_id, truth_id, "iou").groupBy(photo).applyInPandas(match, schema)
 

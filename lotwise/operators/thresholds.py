@@ -68,6 +68,8 @@ def pick_threshold(curve: DataFrame, keys: list[str], **kw) -> DataFrame:
     """Lowest stable threshold per group; a group without one is kept with NULLs."""
     ok = suffix_stable(curve, keys, "threshold", **kw)
     best = ok.groupBy(*keys).agg(F.min_by(F.struct("threshold", "coverage", "answered", "accuracy"), "threshold").alias("c"))
+    if not keys:
+        return best.select("c.*")
     groups = curve.select(*keys).distinct()
     return groups.join(best, keys, "left").select(*keys, "c.threshold", "c.coverage", "c.answered", "c.accuracy")
 

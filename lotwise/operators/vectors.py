@@ -30,6 +30,11 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
 
 
+def _empty(names: list[str]) -> pd.DataFrame:
+    """No rows; object columns fit any Arrow type."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 # ---------------------------------------------------------------- nearest neighbours
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None = None, tag: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -85,7 +90,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None
             for name, v in zip(by, vals_g):
                 block[name] = v
             out.append(block[names])
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n in names})
+        return pd.concat(out, ignore_index=True) if out else _empty(names)
 
     tiles = q.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(tile, schema)
     return first_k(tiles, [*by, "qid"], [F.desc("sim"), F.col("bid")], k)
@@ -145,7 +150,7 @@ class CosineCells:
 
         def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({n: [] for n in names})
+                return _empty(names)
             return reducer(left, right, _matrix(left["vec"]) @ _matrix(right["vec"]).T)
 
         key = ["cell", "_h", "_p"]
@@ -212,7 +217,7 @@ def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float,
         said = [e for x in left["two"] for e in x]
         get = (lambda e, f: e[f]) if isinstance(said[0], dict) else getattr
         seq = np.array([get(e, "seq") for e in said])
-        grp, st = np.array([get(e, "grp") for e in said]), np.array([get(e, "st") for e in said])
+        grp, st = np.array([get(e, "grp") for e in said], dtype=object), np.array([get(e, "st") for e in said])
         near = (sim >= min_cos) | (left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :])
         order = np.argsort(seq, kind="stable")
         owner, seq, grp, st = owner[order], seq[order], grp[order], st[order]
