@@ -13,8 +13,9 @@ def col(c) -> Column:
 
 
 def r6(c) -> Column:
-    """Rounded to 6 places; adding zero removes the sign of a rounded-away negative."""
-    return F.round(col(c).cast("double"), 6) + F.lit(0.0)
+    """Rounded to 6 places for reports. The nudge keeps values that end in a 5 off the tie, so that the last bit of a
+    sum does not decide; adding zero removes the sign of a rounded-away negative."""
+    return F.round(col(c).cast("double") + F.lit(1e-10), 6) + F.lit(0.0)
 
 
 def ratio(a, b) -> Column:

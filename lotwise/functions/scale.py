@@ -143,20 +143,19 @@ def exact_medians(df: DataFrame, keys: list[str], values: list[str], suffix: str
     return plain(rows.join(F.broadcast(hot), keys, "left_anti")).unionByName(slow)
 
 
-def _refined(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+def quantiles_long(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles as rows (*keys, name, value), for any number of probabilities and any group size."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     rows = with_bucket(rows, "_v", quantile_edges(rows, "_v"))
     cells = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    want = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(side).alias("side"), f((F.col("_all") - 1) * F.lit(q)).cast("long").alias("rank"),
-                 ((F.col("_all") - 1) * F.lit(q) - F.floor((F.col("_all") - 1) * F.lit(q))).alias("frac"))
-        for n, q in probs.items() for side, f in (("lo", F.floor), ("hi", F.ceil))
-    ])
-    wanted = (
-        cells.select(*keys, "_b", (F.col("_hi") - F.col("_n")).alias("_o"), "_hi", F.explode(want).alias("w"))
-        .where((F.col("w.rank") >= F.col("_o")) & (F.col("w.rank") < F.col("_hi")))
-    )
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in probs.items()]))
+    place = (F.col("_all") - 1) * F.col("p.q")
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), f(place).cast("long").alias("rank")) for side, f in (("lo", F.floor), ("hi", F.ceil))]))
+    wanted = cells.withColumn("p", asked).select(
+        *keys, "_b", (F.col("_hi") - F.col("_n")).alias("_o"), "_hi", F.col("p.name").alias("name"), (place - F.floor(place)).alias("frac"), ends.alias("w"))
+    wanted = wanted.where((F.col("w.rank") >= F.col("_o")) & (F.col("w.rank") < F.col("_hi")))
     need = wanted.select(*keys, "_b").distinct()
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     values = (
@@ -167,6 +166,11 @@ def _refined(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataF
     picked = wanted.join(values, [*keys, "_b"]).where(
         (F.col("w.rank") - F.col("_o") >= F.col("_upto") - F.col("_c")) & (F.col("w.rank") - F.col("_o") < F.col("_upto"))
     )
-    at = lambda n, side: F.max(F.when((F.col("w.name") == n) & (F.col("w.side") == side), F.col("_v")))
-    frac = lambda n: F.max(F.when(F.col("w.name") == n, F.col("w.frac")))
-    return picked.groupBy(*keys).agg(*[(at(n, "lo") + (at(n, "hi") - at(n, "lo")) * frac(n)).alias(n) for n in probs])
+    at = lambda side: F.max(F.when(F.col("w.side") == side, F.col("_v")))
+    ends = picked.groupBy(*keys, "name").agg(at("lo").alias("_l"), at("hi").alias("_h"), F.max("frac").alias("_f"))
+    return ends.select(*keys, "name", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_f")).alias("value"))
+
+
+def _refined(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    long = quantiles_long(rows, keys, "_v", probs)
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in probs])

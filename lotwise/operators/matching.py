@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions import core as fn
-from lotwise.functions.scale import hot_groups
 from lotwise.operators.curate import rounds_until
+from lotwise.session import cut_lineage
 
+PACK_ROWS = 100_000
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -20,7 +21,19 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
 def iou_pairs(found: DataFrame, truth: DataFrame, photo: str, found_id: str, truth_id: str, min_iou: float = 0.5, cell: float = 32.0) -> DataFrame:
     """(found, annotation) pairs of one photo whose overlap is large enough.
 
-    Boxes are laid on a grid; a pair is looked at once, in the cell of its overlap's lower corner."""
+    From one half up the annotation's centre must lie in the found box, so an annotation needs only the grid cell of its
+    centre. Below that both boxes are laid on the grid and a pair is looked at once, in the cell of its overlap's corner."""
+    v = fn.iou("ax0", "ay0", "ax1", "ay1", "bx0", "by0", "bx1", "by1")
+    if min_iou >= 0.5:
+        a = found.select(photo, found_id, *[F.col(c).cast("double").alias(f"a{c}") for c in BOX])
+        a = a.withColumn("_cx", F.explode(_cells(F.col("ax0"), F.col("ax1"), cell))).withColumn("_cy", F.explode(_cells(F.col("ay0"), F.col("ay1"), cell)))
+        b = truth.select(photo, truth_id, *[F.col(c).cast("double").alias(f"b{c}") for c in BOX])
+        b = b.withColumns({"_mx": (F.col("bx0") + F.col("bx1")) / 2, "_my": (F.col("by0") + F.col("by1")) / 2})
+        b = b.withColumns({"_cx": F.floor(F.col("_mx") / cell), "_cy": F.floor(F.col("_my") / cell)})
+        inside = F.col("_mx").between(F.col("ax0"), F.col("ax1")) & F.col("_my").between(F.col("ay0"), F.col("ay1"))
+        # exploded sides are larger than their estimates say: never let one be broadcast
+        return a.hint("merge").join(b, [photo, "_cx", "_cy"]).where(inside).select(photo, found_id, truth_id, v.alias("iou")).where(F.col("iou") >= min_iou)
+
     def laid(df, prefix, key):
         return df.select(
             photo, F.col(key), *[F.col(c).cast("double").alias(f"{prefix}{c}") for c in BOX],
@@ -28,42 +41,47 @@ def iou_pairs(found: DataFrame, truth: DataFrame, photo: str, found_id: str, tru
         ).withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), cell))).drop("_y0", "_y1")
 
     a, b = laid(found, "a", found_id), laid(truth, "b", truth_id)
-    x = a.join(b, [photo, "_cx", "_cy"]).where(
+    x = a.hint("merge").join(b, [photo, "_cx", "_cy"]).where(
         (F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1"))
         & (F.floor(F.greatest("ax0", "bx0") / cell) == F.col("_cx")) & (F.floor(F.greatest("ay0", "by0") / cell) == F.col("_cy")))
-    v = fn.iou("ax0", "ay0", "ax1", "ay1", "bx0", "by0", "bx1", "by1")
     return x.select(photo, found_id, truth_id, v.alias("iou")).where(F.col("iou") >= min_iou)
 
 
 def greedy_match(pairs: DataFrame, photo: str, found_id: str, truth_id: str, hot_rows: int = 200_000) -> DataFrame:
     """Found boxes in found order take the best annotation still free (first on ties).
 
-    Photos with an ordinary number of surviving pairs are matched in one grouped pass; photos over ``hot_rows``
-    are solved in rounds over the whole cluster, with the same result."""
-    hot = hot_groups(pairs, [photo], hot_rows)
-    if hot is None:
-        return _greedy_grouped(pairs, photo, found_id, truth_id)
+    Photos with an ordinary number of surviving pairs are matched in packs, one Python call per pack; photos over
+    ``hot_rows`` are solved in rounds over the whole cluster, with the same result."""
+    pairs = cut_lineage(pairs.select(photo, found_id, truth_id, "iou"))  # counted, then matched
+    per = pairs.groupBy(photo).agg(F.count(F.lit(1)).alias("_n"))
+    hot = per.where(F.col("_n") > hot_rows).select(photo)
+    packs = max(1, pairs.count() // PACK_ROWS)
+    if hot.isEmpty():
+        return _greedy_packed(pairs, photo, found_id, truth_id, packs)
     hot_pairs = pairs.join(F.broadcast(hot), photo, "left_semi")
-    return _greedy_grouped(pairs.join(F.broadcast(hot), photo, "left_anti"), photo, found_id, truth_id).unionByName(
+    return _greedy_packed(pairs.join(F.broadcast(hot), photo, "left_anti"), photo, found_id, truth_id, packs).unionByName(
         _greedy_rounds(hot_pairs, photo, found_id, truth_id))
 
 
-def _greedy_grouped(pairs: DataFrame, photo: str, found_id: str, truth_id: str) -> DataFrame:
-    schema = pairs.select(photo, found_id, truth_id, "iou").schema
+def _greedy_packed(pairs: DataFrame, photo: str, found_id: str, truth_id: str, packs: int) -> DataFrame:
+    schema = pairs.schema
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([found_id, "iou", truth_id], ascending=[True, False, True])
-        used, out, last = set(), [], None
-        for r in pdf.itertuples(index=False):
-            f, j = getattr(r, found_id), getattr(r, truth_id)
+        pdf = pdf.sort_values([photo, found_id, "iou", truth_id], ascending=[True, True, False, True])
+        keep, used, open_photo, last = [], set(), None, None
+        for i, (p, f, j) in enumerate(zip(pdf[photo].tolist(), pdf[found_id].tolist(), pdf[truth_id].tolist())):
+            if p != open_photo:
+                open_photo, last = p, None
+                used.clear()
             if f == last or j in used:
                 continue
             used.add(j)
             last = f
-            out.append((getattr(r, photo), f, j, r.iou))
-        return pd.DataFrame(out, columns=schema.names, dtype=None if out else object)
+            keep.append(i)
+        return pdf.iloc[keep][schema.names]
 
-    return pairs.select(photo, found_id, truth_id, "iou").groupBy(photo).applyInPandas(match, schema)
+    packed = pairs.withColumn("_g", F.pmod(F.xxhash64(photo), F.lit(packs)))
+    return packed.groupBy("_g").applyInPandas(match, schema)
 
 
 def _greedy_rounds(pairs: DataFrame, photo: str, found_id: str, truth_id: str) -> DataFrame:
@@ -93,7 +111,7 @@ def nearest_point(items: DataFrame, points: DataFrame, photo: str, item_id: str,
     a = a.select(photo, item_id, "cx", "cy", (cx + F.col("_dx")).alias("_gx"), (cy + F.col("_dy")).alias("_gy"))
     b = points.select(photo, point_id, F.col("cx").alias("px"), F.col("cy").alias("py"), cx.alias("_gx"), cy.alias("_gy"))
     d2 = F.pow(F.col("cx") - F.col("px"), 2) + F.pow(F.col("cy") - F.col("py"), 2)
-    hit = a.join(b, [photo, "_gx", "_gy"]).withColumn("_d2", d2).where(F.sqrt("_d2") < radius)
+    hit = a.hint("merge").join(b, [photo, "_gx", "_gy"]).withColumn("_d2", d2).where(F.sqrt("_d2") < radius)
     best = hit.groupBy(photo, item_id).agg(F.min(F.struct(F.col("_d2"), F.col(point_id))).alias("_b"))
     return items.join(best, [photo, item_id], "left").select(photo, item_id, F.col(f"_b.{point_id}").alias(point_id), F.sqrt("_b._d2").alias("distance"))
 
@@ -104,7 +122,7 @@ def points_in_box(items: DataFrame, points: DataFrame, photo: str, item_id: str,
     a = a.withColumn("_gy", F.explode(_cells(F.col("y0"), F.col("y1"), cell)))
     b = points.select(photo, F.col("cx").alias("px"), F.col("cy").alias("py")).withColumns({"_gx": F.floor(F.col("px") / cell), "_gy": F.floor(F.col("py") / cell)})
     b = b.groupBy(photo, "_gx", "_gy", "px", "py").agg(F.count(F.lit(1)).alias("_n"))
-    inside = a.join(b, [photo, "_gx", "_gy"]).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
+    inside = a.hint("merge").join(b, [photo, "_gx", "_gy"]).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
     n = inside.groupBy(photo, item_id).agg(F.sum("_n").alias("centres"))
     return items.select(photo, item_id).join(n, [photo, item_id], "left").withColumn("centres", F.coalesce("centres", F.lit(0)))
 

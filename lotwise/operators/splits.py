@@ -89,11 +89,11 @@ def draw_with_replacement(draws: DataFrame, draw: str, pool: DataFrame, cells: D
     The cells (kinds x sources) are a bounded table; the row lookup is an equi-join on (cell, position)."""
     edge = cells.withColumn("hi", F.sum("cell_w").over(Window.orderBy(kind, source)))
     table = edge.agg(F.array_sort(F.collect_list(F.struct("hi", kind, source, "n"))).alias("c"))
-    d = draws.withColumn("_h", seeded(draw, seed)).withColumn("_c", table.scalar())
-    last = F.element_at("_c", -1)
-    pick = F.coalesce(F.try_element_at(F.filter("_c", lambda c: c["hi"] > uniform(F.col("_h"))), F.lit(1)), last)
-    d = d.withColumn("_p", pick).select(draw, F.col(f"_p.{kind}").alias(kind), F.col(f"_p.{source}").alias(source),
-                                        (F.floor(uniform(F.col("_h"), 9) * F.col("_p.n")) + 1).alias("rn"))
+    d = draws.withColumn("_h", seeded(draw, seed)).select(draw, uniform(F.col("_h")).alias("_u"), uniform(F.col("_h"), 9).alias("_u2"))
+    d = d.withColumn("_c", table.scalar())
+    d = d.withColumn("_at", F.least(F.size(F.filter("_c", lambda c: c["hi"] <= F.col("_u"))) + 1, F.size("_c")))
+    d = d.withColumn("_p", F.element_at("_c", F.col("_at"))).select(
+        draw, F.col(f"_p.{kind}").alias(kind), F.col(f"_p.{source}").alias(source), (F.floor(F.col("_u2") * F.col("_p.n")) + 1).alias("rn"))
     ranked = hash_rank(pool.withColumn("_h", seeded(key, seed)), [kind, source], "_h").select(kind, source, "rn", key)
     return d.join(ranked, [kind, source, "rn"]).select(draw, kind, source, key)
 

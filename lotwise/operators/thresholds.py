@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import exact_quantiles
+from lotwise.functions.scale import quantiles_long, with_bucket
 
 
 def grid(start: float, stop: float, step: float) -> list[float]:
@@ -130,21 +130,26 @@ def refine_temperature(df: DataFrame, logits: str, y: str, weight: str, lo: floa
 
 
 def best_stump(df: DataFrame, features: dict[str, Column], positive: Column, cuts: int = 197) -> DataFrame:
-    """Best single-feature rule by balanced accuracy over percentile cuts of every feature, in both directions."""
+    """Balanced accuracy of every single-feature rule: percentile cuts of each feature, in both directions.
+
+    The cuts (features x 197 numbers) come to the driver; every row then finds its bucket by binary search and only
+    bucket counts are shuffled."""
     probs = [0.01 + 0.98 * i / (cuts - 1) for i in range(cuts)]
-    x = df.select(positive.alias("pos"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.cast("double").alias("v")) for k, v in features.items()])).alias("f"))
-    x = x.select("pos", "f.feature", "f.v").where(F.col("v").isNotNull())
-    q = exact_quantiles(x, ["feature"], "v", {f"q{i}": p for i, p in enumerate(probs)})
-    return _stump_scores(x, q.select("feature", F.array(*[f"q{i}" for i in range(cuts)]).alias("q")))
-
-
-def _stump_scores(x: DataFrame, q: DataFrame) -> DataFrame:
-    edges = q.select("feature", F.array_sort(F.array_distinct("q")).alias("q"))
-    # bounded: features x 197 edges beside every row; each row lands in one bucket between two edges
-    b = x.join(F.broadcast(edges), "feature").select("feature", "pos", F.size(F.filter("q", lambda e: e <= F.col("v"))).alias("le"), F.size(F.filter("q", lambda e: e < F.col("v"))).alias("lt"))
-    h = b.groupBy("feature", "le", "lt").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
-    cut = edges.select("feature", F.posexplode("q").alias("k", "cut"))
-    s = h.join(F.broadcast(cut), "feature").groupBy("feature", "k", "cut").agg(
+    names = list(features)
+    wide = df.select(positive.alias("pos"), *[features[n].cast("double").alias(n) for n in names])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names])).alias("f")).select("f.*")
+    q = quantiles_long(long, ["feature"], "v", {f"q{i}": p for i, p in enumerate(probs)})
+    edges = {r["feature"]: sorted(r["e"]) for r in q.groupBy("feature").agg(F.collect_set("value").alias("e")).collect()}
+    x = wide
+    for n in names:
+        x = with_bucket(x, n, edges[n], f"_le_{n}")
+    at = lambda n: F.element_at(F.array(*[F.lit(v) for v in edges[n]]), F.greatest(F.lit(1), F.col(f"_le_{n}").cast("int")))
+    cell = lambda n: F.struct(F.lit(n).alias("feature"), F.col(f"_le_{n}").cast("int").alias("le"),
+                              (F.col(f"_le_{n}") - F.when((F.col(f"_le_{n}") > 0) & (F.col(n) == at(n)), 1).otherwise(0)).cast("int").alias("lt"), F.col(n).isNotNull().alias("ok"))
+    h = x.select("pos", F.explode(F.array(*[cell(n) for n in names])).alias("c")).where("c.ok").groupBy("c.feature", "c.le", "c.lt").agg(
+        F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
+    table = F.create_map(*[e for n in names for e in (F.lit(n), F.array(*[F.lit(v) for v in edges[n]]))])
+    s = h.select("*", F.posexplode(F.element_at(table, F.col("feature"))).alias("k", "cut")).groupBy("feature", "k", "cut").agg(
         F.sum(F.when(F.col("le") <= F.col("k"), F.col("p")).otherwise(0)).alias("p_below"),
         F.sum(F.when(F.col("le") <= F.col("k"), F.col("n")).otherwise(0)).alias("n_below"),
         F.sum(F.when(F.col("lt") > F.col("k"), F.col("p")).otherwise(0)).alias("p_above"),

@@ -211,7 +211,7 @@ _SHIFT = "CASE WHEN cond='B2' AND odd THEN list_transform({v}, lambda x: x*0.7e0
 
 @query("detector_eval", f"""WITH {_odd_sql()}, oi0 AS (SELECT cond||'-'||tray AS photo, ot.cond, ot.odd, ot.vec_id*2+odd::INT AS vec_id, {_SHIFT.format(v='hand')} AS hand, {_SHIFT.format(v='e')} AS e FROM ot JOIN emb ON ot.vec_id=emb.vec_id),
  oi AS (SELECT *, list_transform(e, lambda x: x/greatest(sqrt(list_dot_product(e,e)),1e-9)) AS u FROM oi0), {robust_sql('oi', 'oi')},
- z AS (SELECT o.cond, o.photo, o.odd, z_both, rank() OVER (PARTITION BY o.photo ORDER BY z_both)+(count(*) OVER (PARTITION BY o.photo, z_both)-1)/2.0e0 AS rk FROM uns JOIN oi o ON o.photo=uns.photo AND o.vec_id=uns.vec_id),
+ z AS (SELECT o.cond, o.photo, o.odd, round(z_both,9) AS z_both, rank() OVER (PARTITION BY o.photo ORDER BY round(z_both,9))+(count(*) OVER (PARTITION BY o.photo, round(z_both,9))-1)/2.0e0 AS rk FROM uns JOIN oi o ON o.photo=uns.photo AND o.vec_id=uns.vec_id),
  g AS (SELECT cond, photo, (sum(rk) FILTER (WHERE odd) - count(*) FILTER (WHERE odd)*(count(*) FILTER (WHERE odd)+1)/2.0e0)/(count(*) FILTER (WHERE odd)*CAST(count(*) FILTER (WHERE NOT odd) AS DOUBLE)) AS auroc, avg((z_both > 2.5e0)::INT) FILTER (WHERE odd) AS rec, avg((z_both > 2.5e0)::INT) FILTER (WHERE NOT odd) AS ffr,
   count(*) FILTER (WHERE odd AND z_both > 2.5e0) AS hit, count(*) FILTER (WHERE z_both > 2.5e0) AS flags FROM z GROUP BY cond, photo)
  SELECT cond, count(*) AS trays, {r6('avg(auroc)')} AS mean_auroc, {r6('avg(rec)')} AS recall_inserted, {r6('avg(ffr)')} AS false_flag_rate, {r6('sum(hit)/CAST(greatest(sum(flags),1) AS DOUBLE)')} AS precision FROM g GROUP BY cond""")
@@ -221,7 +221,7 @@ def detector_eval(t):
     e = x.select("grp", "id", "vec")
     d = X.knn_distance(e, e, C.KNN_K, by=["grp"]).withColumnRenamed("qid", "id")
     u = R.unusual(x.join(d, ["grp", "id"]), ["grp"], FEATURES, "distance", R.floors_of(hand(t), FEATURES), sizes=x)
-    u = cut_lineage(u.select("cond", "grp", "odd", "z_both"))
+    u = cut_lineage(u.select("cond", "grp", "odd", F.round("z_both", 9).alias("z_both")))
     a = M.auroc(u, ["cond", "grp"], "z_both", "odd")
     f = u.groupBy("cond", "grp").agg(F.avg(F.when(F.col("odd"), (F.col("z_both") > 2.5).cast("double"))).alias("rec"), F.avg(F.when(~F.col("odd"), (F.col("z_both") > 2.5).cast("double"))).alias("ffr"),
                                      F.count_if(F.col("odd") & (F.col("z_both") > 2.5)).alias("hit"), F.count_if(F.col("z_both") > 2.5).alias("flags"))

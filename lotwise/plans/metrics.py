@@ -242,7 +242,7 @@ def lopo_table(t):
 @query("otsu_by_group", f"""WITH {ITEMS}, h AS (SELECT photo, CAST(floor(least(255.0e0, greatest(0.0e0, area))) AS INTEGER) AS bin, count(*) AS c FROM items GROUP BY photo, bin),
  w AS (SELECT *, CAST(sum(c) OVER (PARTITION BY photo ORDER BY bin) AS DOUBLE) AS wb, CAST(sum(c*bin) OVER (PARTITION BY photo ORDER BY bin) AS DOUBLE) AS sb, CAST(sum(c) OVER (PARTITION BY photo) AS DOUBLE) AS n, CAST(sum(c*bin) OVER (PARTITION BY photo) AS DOUBLE) AS s FROM h),
  b AS (SELECT *, CASE WHEN n-wb > 0 THEN wb*(n-wb)*power(sb/wb-(s-sb)/nullif(n-wb,0),2) END AS between FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY round(between,6) DESC NULLS LAST, bin) AS rn FROM b)
- SELECT photo, CAST(n AS BIGINT) AS n, CASE WHEN between IS NULL THEN 0 ELSE bin END AS threshold, (round(coalesce(between,0)/(n*n),6)+0.0e0) AS between FROM r WHERE rn=1""")
+ SELECT photo, CAST(n AS BIGINT) AS n, CASE WHEN between IS NULL THEN 0 ELSE bin END AS threshold, (round(coalesce(between,0)/(n*n)+1e-10,6)+0.0e0) AS between FROM r WHERE rn=1""")
 def otsu_by_group(t):
     o = M.otsu(t.items(), ["photo"], "area")
     return o.select("photo", "n", "threshold", fn.r6(F.col("between") / (F.col("n") * F.col("n"))).alias("between"))

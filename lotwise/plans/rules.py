@@ -316,7 +316,7 @@ def text_prefix_hash(t):
 
 @query("valid_heads", """WITH h AS (SELECT s_suppkey AS head, sha256(n_name) AS model_sha, CASE WHEN s_suppkey % 9 = 0 THEN 32 ELSE 64 END AS embed_dim, CASE WHEN s_acctbal < 0 THEN CAST('NaN' AS DOUBLE) ELSE s_acctbal/10000 END AS m_hi
  FROM supplier JOIN nation ON s_nationkey=n_nationkey), m AS (SELECT sha256(n_name) AS model_sha FROM nation WHERE n_regionkey IN (1,2,3)), d AS (SELECT max(len(embedding)) AS dim FROM embeddings)
- SELECT head, h.model_sha, (round(m_hi,6)+0.0e0) AS m_hi FROM h JOIN m ON h.model_sha=m.model_sha JOIN d ON h.embed_dim=d.dim WHERE NOT isnan(m_hi) AND NOT isinf(m_hi)""")
+ SELECT head, h.model_sha, (round(m_hi+1e-10,6)+0.0e0) AS m_hi FROM h JOIN m ON h.model_sha=m.model_sha JOIN d ON h.embed_dim=d.dim WHERE NOT isnan(m_hi) AND NOT isinf(m_hi)""")
 def valid_heads(t):
     """Stored heads that fit a known model file, the vector length in use, and a finite margin."""
     nat = t.nation.select("n_nationkey", "n_regionkey", F.sha2("n_name", 256).alias("model_sha"))

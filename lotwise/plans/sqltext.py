@@ -4,7 +4,7 @@ from lotwise.sources.tables import DOCS, EMB, ITEMS, LOTS, SCORES  # noqa: F401
 
 
 def r6(x: str) -> str:
-    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0e0)"
+    return f"(round(CAST({x} AS DOUBLE) + 1e-10, 6) + 0.0e0)"
 
 
 def wilson(k: str, n: str) -> tuple[str, str, str]:
