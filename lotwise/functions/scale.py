@@ -8,11 +8,14 @@ Nothing is sampled away: approximate quantiles only choose the bucket edges, and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
+HOT_ROWS = 5_000_000  # groups over this many rows leave Spark's plain quantile
+SPLIT_ROWS = 2_000_000  # ordered windows are split once a group is over this many rows
 BUCKETS = 256
 CHECK = object()  # "look for oversized groups yourself"
 
@@ -31,13 +34,27 @@ def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_b")
     return Bucketizer(splits=splits, inputCol="_edge_in", outputCol=out, handleInvalid="keep").transform(tmp).drop("_edge_in")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int = BUCKETS, bucket: Column | None = None) -> DataFrame:
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: a map-side combined count, one number on the driver."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
+    return n.agg(F.max("_n").alias("m")).first()["m"] or 0
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], bucket: Column | None = None, limit: int | None = None) -> DataFrame:
     """Adds ``cum_<s>``: the inclusive running total of every ``s`` by ``order`` within ``keys``.
 
-    ``df`` holds one row per (keys, order): aggregate before calling. ``bucket`` may be any expression that
-    never falls as ``order`` grows (a digest's first digits, say); by default it comes from quantile edges.
-    """
-    rows = with_bucket(df, order, quantile_edges(df, order, buckets)) if bucket is None else df.withColumn("_b", bucket)
+    ``df`` holds one row per (keys, order): aggregate before calling. When no group is over ``limit`` rows this is an
+    ordinary window. Otherwise groups are split by ``bucket``, any expression that never falls as ``order`` grows
+    (a digest's first digits, say); by default it comes from quantile edges."""
+    largest = largest_group(df, keys)
+    limit = SPLIT_ROWS if limit is None else limit
+    if largest <= limit:
+        run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(s).over(run).alias(f"cum_{s}") for s in sums])
+    if bucket is None:
+        rows = with_bucket(df, order, quantile_edges(df, order, min(4096, max(16, 4 * largest // limit))))
+    else:
+        rows = df.withColumn("_b", bucket)
     cells = rows.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
@@ -56,11 +73,17 @@ def dense_index(df: DataFrame, value: str, out: str = "idx") -> DataFrame:
     return prefix_sums(one, [], value, ["_one"]).select(value, (F.col("cum__one") - 1).alias(out))
 
 
-def hash_rank(df: DataFrame, keys: list[str], digest: str, out: str = "rn", chars: int = 2, tie: list | None = None) -> DataFrame:
+def hash_rank(df: DataFrame, keys: list[str], digest: str, out: str = "rn", limit: int | None = None) -> DataFrame:
     """Row number within ``keys`` by a hexadecimal digest, plus the group's size as ``<out>_n``.
 
-    The first digits of the digest are the bucket, so a group is spread evenly over 16**chars cells.
-    """
+    When no group is over ``limit`` rows this is an ordinary window. Otherwise the first digits of the digest are the
+    bucket, as many of them as bring the largest group under the limit, so it is spread evenly over its cells."""
+    largest = largest_group(df, keys)
+    limit = SPLIT_ROWS if limit is None else limit
+    if largest <= limit:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest)).cast("long")
+        return df.select("*", rank.alias(out), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(f"{out}_n"))
+    chars = min(6, max(1, math.ceil(math.log(2 * largest / limit, 16))))
     rows = df.withColumn("_b", F.substring(digest, 1, chars))
     cells = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +93,7 @@ def hash_rank(df: DataFrame, keys: list[str], digest: str, out: str = "rn", char
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
         F.sum("_n").over(whole).alias(f"{out}_n"),
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(digest, *(tie or []))
+    inside = Window.partitionBy(*keys, "_b").orderBy(digest)
     return (
         rows.join(offsets, [*keys, "_b"])
         .withColumn(out, (F.row_number().over(inside) + F.col("_o")).cast("long"))

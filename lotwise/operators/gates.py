@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import attach, exact_medians, exact_quantiles, hot_groups
+from lotwise.functions.scale import CHECK, attach, exact_medians, exact_quantiles, hot_groups
 
 
 def too_many(n_touch, n) -> Column:
@@ -51,9 +51,9 @@ def item_qc(df: DataFrame, photo: str, width: float, height: float) -> DataFrame
     })
 
 
-def colour_gate(df: DataFrame, photo: str, frame_area: float) -> DataFrame:
+def colour_gate(df: DataFrame, photo: str, frame_area: float, hot=CHECK) -> DataFrame:
     """Area share per colour class of the components large enough to count, and the first rule that fires."""
-    hot = hot_groups(df, [photo])
+    hot = hot_groups(df, [photo]) if hot is CHECK else hot
     med = exact_quantiles(df, [photo], "area", {"median_area": 0.5}, hot=hot)
     big = attach(df, med, [photo], hot).where(F.col("area") >= F.greatest(F.lit(30.0), 0.25 * F.col("median_area")))
     used = fn.with_hsv(big).withColumn("cls", fn.colour_class("h", "s", "v"))
@@ -74,11 +74,12 @@ def colour_gate(df: DataFrame, photo: str, frame_area: float) -> DataFrame:
     )
 
 
-def dark_lot(df: DataFrame, colour: DataFrame, photo: str) -> DataFrame:
+def dark_lot(df: DataFrame, colour: DataFrame, photo: str, hot=CHECK) -> DataFrame:
     """Is a photo the colour gate calls too dark made of item-shaped, even-sized, brownish pieces?"""
     k = C.DARK_LOT
     dark = fn.with_hsv(df).where(F.col("v") < k["dark_v"])
-    tone = exact_medians(dark, [photo], ["h", "s"], hot=hot_groups(df, [photo])).select(photo, F.col("h_med").alias("dark_hue"), F.col("s_med").alias("dark_sat"))
+    hot = hot_groups(df, [photo]) if hot is CHECK else hot
+    tone = exact_medians(dark, [photo], ["h", "s"], hot=hot).select(photo, F.col("h_med").alias("dark_hue"), F.col("s_med").alias("dark_sat"))
     shaped = ~F.col("touching") & F.col("elong").between(k["elong_min"], k["elong_max"])
     agg = df.groupBy(photo).agg(
         (F.count_if(shaped) / F.count(F.lit(1))).alias("shaped"),

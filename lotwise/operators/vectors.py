@@ -133,13 +133,15 @@ class CosineCells:
         visits = F.filter(F.transform(F.arrays_zip(F.col("ang").alias("a"), reach.alias("r")), lambda x, i: F.when(x["a"] <= x["r"], i.cast("long"))), lambda x: x.isNotNull())
         self.homes = placed.select("id", "vec", F.col("home").alias("cell"))
         self.visits = placed.select("id", "vec", visits.alias("cells"))
+        self._home_parts = self._parts(self.homes)
+        self._probe_parts = self._parts(self.visits.select(F.explode("cells").alias("cell")))
 
     def run(self, reducer, schema: str, homes: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
         """``reducer(home rows, probe rows, similarity matrix)`` on every tile. ``homes`` and ``probes`` (id, payload...)
         choose the rows that take part and what they carry; a home row is in one cell, a probe in all it may visit."""
         home = self.homes if homes is None else self.homes.join(homes, "id")
         probe = (self.visits if probes is None else self.visits.join(probes, "id")).withColumn("cell", F.explode("cells")).drop("cells")
-        n_home, n_probe = (self._parts(d) for d in (home, probe))
+        n_home, n_probe = self._home_parts, self._probe_parts  # sized for all rows: enough for any choice of them
         at = lambda arr: F.get(arr, F.col("cell").cast("int"))
         part = lambda arr, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), at(arr))
         copies = lambda arr: F.explode(F.sequence(F.lit(0).cast("long"), at(arr) - 1))

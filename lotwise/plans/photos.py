@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.scale import hot_groups
 from lotwise.operators import gates as G
 from lotwise.plans.sqltext import ITEMS
 from lotwise.sources.tables import Tables
@@ -26,8 +27,9 @@ def checks(t: Tables) -> DataFrame:
 
 def photo_table(t: Tables) -> DataFrame:
     items = t.items()
-    colour = G.colour_gate(items, "photo", FRAME_AREA)
-    dark = G.dark_lot(items, colour, "photo").drop("colour_reason")
+    hot = hot_groups(items, ["photo"])
+    colour = G.colour_gate(items, "photo", FRAME_AREA, hot)
+    dark = G.dark_lot(items, colour, "photo", hot).drop("colour_reason")
     return checks(t).join(colour, "photo").join(dark, "photo")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
+from lotwise.functions.scale import hot_groups
 from lotwise.operators import calls as K
 from lotwise.operators import gates as G
 from lotwise.operators import labels as L
@@ -158,7 +159,8 @@ def colour_gate(t):
 @query("dark_lot", f"WITH {ITEMS}, {PH.COLOUR} SELECT photo, why, is_dark_lot, {r6('shaped')} AS shaped, {r6('area_cv')} AS area_cv, {r6('dark_hue')} AS dark_hue, {r6('dark_sat')} AS dark_sat FROM darklot")
 def dark_lot(t):
     items = t.items()
-    d = G.dark_lot(items, G.colour_gate(items, "photo", PH.FRAME_AREA), "photo")
+    hot = hot_groups(items, ["photo"])
+    d = G.dark_lot(items, G.colour_gate(items, "photo", PH.FRAME_AREA, hot), "photo", hot)
     return d.select("photo", "why", "is_dark_lot", *[fn.r6(c).alias(c) for c in ("shaped", "area_cv", "dark_hue", "dark_sat")])
 
 

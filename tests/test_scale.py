@@ -59,13 +59,14 @@ def test_prefix_sums(spark):
     rows = [(rng.choice("aab"), float(x), rng.randrange(10)) for x in rng.sample(range(-500, 500), 600)]
     df = spark.createDataFrame(rows, "k string, o double, n long").dropDuplicates(["k", "o"])
     rows = [tuple(r) for r in df.collect()]
-    got = {(r.k, r.o): r.cum_n for r in S.prefix_sums(df, ["k"], "o", ["n"], buckets=16).collect()}
-    for k in "ab":
-        run = 0
-        for _, o, n in sorted(r for r in rows if r[0] == k):
-            run += n
-            assert got[(k, o)] == run
-    assert len(got) == len(rows)
+    for limit in (20, 10**6):
+        got = {(r.k, r.o): r.cum_n for r in S.prefix_sums(df, ["k"], "o", ["n"], limit=limit).collect()}
+        for k in "ab":
+            run = 0
+            for _, o, n in sorted(r for r in rows if r[0] == k):
+                run += n
+                assert got[(k, o)] == run
+        assert len(got) == len(rows)
 
 
 def test_dense_index(spark):
@@ -83,8 +84,9 @@ def test_hash_rank_and_caps(skewed):
         order[k].append(i)
     for v in order.values():
         v.sort(key=key)
-    got = S.hash_rank(df.withColumn("h", P.seeded("i", "s")), ["k"], "h").collect()
-    assert all(order[r.k][r.rn - 1] == r.i and r.rn_n == len(order[r.k]) for r in got) and len(got) == len(rows)
+    for limit in (10, 300, 10**6):
+        got = S.hash_rank(df.withColumn("h", P.seeded("i", "s")), ["k"], "h", limit=limit).collect()
+        assert all(order[r.k][r.rn - 1] == r.i and r.rn_n == len(order[r.k]) for r in got) and len(got) == len(rows)
     for cap in (7, 1001):
         capped = P.cap_per_group(df, ["k"], "i", "s", cap).collect()
         assert {(r.k, r.i) for r in capped} == {(k, i) for k, v in order.items() for i in v[:cap]}
