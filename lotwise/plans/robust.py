@@ -146,22 +146,24 @@ def mahalanobis_score(t):
     return rnd(m, ["photo"], *sets)
 
 
-BANK = """bk AS (SELECT * FROM un WHERE y=0 AND photo%2=0), kq AS (SELECT q.vec_id, 1-list_dot_product(q.u,b.u) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u,b.u) DESC, b.vec_id) AS rn FROM un q JOIN bk b ON q.vec_id <> b.vec_id),
- kb AS (SELECT vec_id, avg(d) AS d FROM kq WHERE rn <= 5 GROUP BY vec_id), tb AS (SELECT quantile_cont(d, 0.95) AS tau FROM kb JOIN emb USING (vec_id) WHERE y=0 AND photo%2=1)"""
+BANK = """bk AS (SELECT * FROM un WHERE y=0 AND e[64] > 0), kq AS (SELECT q.vec_id, 1-list_dot_product(q.u,b.u) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u,b.u) DESC, b.vec_id) AS rn FROM un q JOIN bk b ON q.vec_id <> b.vec_id),
+ kb AS (SELECT vec_id, avg(d) AS d FROM kq WHERE rn <= 5 GROUP BY vec_id), tb AS (SELECT quantile_cont(d, 0.95) AS tau FROM kb JOIN emb USING (vec_id) WHERE y=0 AND e[64] <= 0)"""
 
 
 def bank_distance(t):
-    e = t.emb().select(F.col("vec_id").alias("id"), F.col("e").alias("vec"), "y", "photo")
-    return X.knn_distance(e.select("id", "vec"), e.where("y = 0 and photo % 2 = 0").select("id", "vec"), 5).select(F.col("qid").alias("vec_id"), F.col("distance").alias("d"))
+    e = t.emb().select(F.col("vec_id").alias("id"), F.col("e").alias("vec"), "y")
+    return X.knn_distance(e.select("id", "vec"), e.where((F.col("y") == 0) & (F.element_at("vec", 64) > 0)).select("id", "vec"), 5).select(F.col("qid").alias("vec_id"), F.col("distance").alias("d"))
 
 
 @query("photo_scores", f"""WITH {EMB}, {UNIT}, {BANK} SELECT photo, {r6('avg((list_max(p) < 0.3e0)::INT)')} AS low_conf, {r6('median(-(list_max(logits)+ln(list_sum(list_transform(logits, lambda x: exp(x-list_max(logits)))))))')} AS energy,
  {r6('median(d)')} AS bank_knn, {r6('avg((d > tau)::INT)')} AS unfamiliar_share FROM emb JOIN kb USING (vec_id), tb GROUP BY photo""")
 def photo_scores(t):
-    """Photo score vector: low-confidence share, median energy and bank distance, share of unfamiliar items."""
-    e = t.emb().select("vec_id", "photo", "y", F.array_max(fn.softmax("logits")).alias("conf"), fn.energy("logits").alias("energy"))
+    """Photo score vector: low-confidence share, median energy and bank distance, share of unfamiliar items.
+
+    The bank is one half of the good items; the other half sets what counts as unfamiliar."""
+    e = t.emb().select("vec_id", "photo", "y", (F.element_at("e", 64) > 0).alias("half"), F.array_max(fn.softmax("logits")).alias("conf"), fn.energy("logits").alias("energy"))
     x = e.join(bank_distance(t), "vec_id")
-    tau = one_row(exact_quantiles(x.where("y = 0 and photo % 2 = 1"), [], "d", {"tau": 0.95}))["tau"]
+    tau = one_row(exact_quantiles(x.where("y = 0 and not half"), [], "d", {"tau": 0.95}))["tau"]
     share = x.groupBy("photo").agg(F.avg((F.col("conf") < 0.3).cast("double")).alias("low_conf"), F.avg((F.col("d") > tau).cast("double")).alias("unfamiliar_share"))
     out = share.join(exact_medians(x, ["photo"], ["energy", "d"], suffix=""), "photo").withColumnRenamed("d", "bank_knn")
     return rnd(out, ["photo"], "low_conf", "energy", "bank_knn", "unfamiliar_share")
