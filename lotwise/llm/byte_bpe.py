@@ -3,7 +3,8 @@
 1. Texts are split into words with their positions (a word is a space and what follows it; it is split further by the
    vocabulary's pattern when it is encoded). Cutting before a space between two non-spaces never cuts a match of the
    pattern; texts with other runs of white space are split by the pattern itself. A block of texts (``BLOCK_BYTES``)
-   packs its distinct words by a hash into ``buckets`` rows and its positions into one row.
+   packs its distinct words by a hash into ``buckets`` rows and its positions into one row, in which a word's first
+   occurrence is a zero.
 2. The words are shuffled by bucket, so all occurrences of a word meet; each distinct word is encoded once.
 3. The ids return to their block and are put in place of the positions.
 
@@ -16,7 +17,7 @@ ignored; an empty table gives an empty result."""
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
 import re
 import zlib
 
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.shared import byte_slices, gather, numbers, pack, planes, unpack, worker_state, written
+from lotwise.llm.shared import byte_slices, gather, numbers, pack, planes, unpack, worker_state
 
 BLOCK_BYTES = 8 << 20
 WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -104,27 +105,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for whole in batches:
             for batch in byte_slices(whole, "text", BLOCK_BYTES):
                 text = pc.fill_null(batch.column(1), "")
-                words, places, counts = _split(text, pattern)
-                bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
-                order = np.argsort(bucket, kind="stable")
-                renumbered = np.empty(len(words), np.int64)
-                renumbered[order] = np.arange(len(words))
+                words, places, counts = _split(text, pattern)  # words are numbered as they first occur
+                bucket = (np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets).astype(np.uint16)
+                first = np.ones(len(places), bool)
+                first[1:] = places[1:] > np.maximum.accumulate(places)[:-1]
                 ids = np.asarray(pc.fill_null(batch.column(0), 0)).astype(np.int64)
                 missing = np.asarray(batch.column(0).is_null())
-                block = int.from_bytes(os.urandom(8)) >> 1  # the table is written once, so any unused number does
-                rows = [(block, -1, pack(ids, missing, counts.astype(np.uint32), planes(renumbered[places])))]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    own = words[order[cuts[b] : cuts[b + 1]]]
-                    if len(own):
-                        rows.append((block, b, pack(np.array([len(w) for w in own], np.uint32), b"".join(own))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "packed"])
+                head = [ids.tobytes(), missing.tobytes(), counts.astype(np.uint32).tobytes(), planes(np.where(first, 0, places + 1)), bucket.tobytes()]
+                # the same rows give the same number, should a lost block be made again
+                block = int.from_bytes(hashlib.blake2b(b"".join([*head, *words]), digest_size=8).digest()) >> 1
+                rows = [(block, block, -1, pack(*head))]
+                for b in np.unique(bucket).tolist():
+                    own = words[bucket == b]
+                    rows.append((b, block, b, pack(np.array([len(w) for w in own], np.uint32), b"".join(own))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "block", "bucket", "packed"])
 
     def encode_once(batches):
         enc = encoder(ranks_path, pattern)
         table = worker_state("bytes:" + ranks_path, lambda: TokenBytes(ranks_path))
         known: dict[bytes, bytes] = {}
         for batch in batches:
+            batch = batch.filter(pc.greater_equal(batch.column(1), 0))
             for block, b, packed in zip(batch.column(0), batch.column(1), batch.column(2)):
                 lengths, blob = unpack(packed.as_py())
                 ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
@@ -142,27 +143,42 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 out = pack(counts, planes(np.frombuffer(b"".join(found), np.uint32)))
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([b.as_py()], pa.int32()), pa.array([out], pa.binary())], ["block", "bucket", "packed"])
 
+    def heads(batches):
+        for batch in batches:
+            yield batch.filter(pc.less(batch.column(1), 0))
+
     def assemble(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("packed").to_pylist()))
-        doc_ids, missing, per_text, packed = unpack(rows[0][1])
-        parts = [unpack(p) for _, p in rows[1:]]
+        rows = list(zip(table.column("bucket").to_pylist(), table.column("packed").to_pylist()))
+        copies = sum(b < 0 for b, _ in rows)  # blocks of the same rows have the same number
+        by_bucket = dict(rows)
+        doc_ids, missing, per_text, packed, bucket = unpack(by_bucket.pop(-1))
+        parts = [unpack(by_bucket[b]) for b in sorted(by_bucket)]
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         ids = np.concatenate([numbers(x) for _, x in parts]) if parts else np.zeros(0, np.uint32)
         starts = np.cumsum(counts) - counts
-        places = numbers(packed).astype(np.int64)
+        order = np.argsort(np.frombuffer(bucket, np.uint16), kind="stable")  # place of the parts' words by number
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        starts, counts = starts[back], counts[back]
+        places = numbers(packed).astype(np.int64) - 1
+        new = places < 0
+        places[new] = np.arange(int(new.sum()))
         per_text = np.frombuffer(per_text, np.uint32).astype(np.int64)
         raw = gather(ids, starts, counts, places).astype("<u4").tobytes()
         word_ends = np.concatenate(([0], np.cumsum(counts[places])))
         text_ends = word_ends[np.concatenate(([0], np.cumsum(per_text)))]
         values = pa.Array.from_buffers(pa.large_binary(), len(per_text), [None, pa.py_buffer((text_ends * 4).tobytes()), pa.py_buffer(raw)])
         keys = pa.array(np.frombuffer(doc_ids, np.int64), mask=np.frombuffer(missing, bool))
-        return pa.table([keys, pa.array(np.diff(text_ends)), values.cast(pa.binary())], ["id", "n_tokens", "ids"])
+        made = pa.table([keys, pa.array(np.diff(text_ends)), values.cast(pa.binary())], ["id", "n_tokens", "ids"])
+        return pa.concat_tables([made] * copies)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "block long, bucket int, packed binary"
-    exploded = written(texts.mapInArrow(explode, schema), "words")
-    words = exploded.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(encode_once, schema)
-    both = exploded.where("bucket < 0").unionByName(words)
+    # one shuffle serves both readers: words lie by bucket, positions by block. Both choose their rows in Python, as a
+    # condition would be pushed below the shuffle and make two of it
+    exploded = texts.mapInArrow(explode, "key long, " + schema).repartition(buckets, "key").select("block", "bucket", "packed")
+    words = exploded.mapInArrow(encode_once, schema)
+    both = exploded.mapInArrow(heads, schema).unionByName(words)
     out = both.groupBy("block").applyInArrow(assemble, "id long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 

@@ -8,7 +8,7 @@ from heapq import heapify, heappop, heappush
 def merge(symbols: list, joined) -> list:
     """What remains of ``symbols`` after all merges.
 
-    ``joined(left, right)`` gives (rank, symbol) of an adjacent pair that may merge, or None. The pair with the lowest
+    ``joined((left, right))`` gives (rank, symbol) of an adjacent pair that may merge, or None. The pair with the lowest
     rank is merged first, of equal ranks the leftmost. A popped pair whose ends have changed meanwhile is skipped.
     n symbols take O(n log n) steps, so one very long word without a break costs no more than many short ones."""
     n = len(symbols)
@@ -17,7 +17,7 @@ def merge(symbols: list, joined) -> list:
     sym = symbols[:]
     heap = []
     for i in range(n - 1):
-        got = joined(sym[i], sym[i + 1])
+        got = joined((sym[i], sym[i + 1]))
         if got is not None:
             heap.append((got[0], i, sym[i], sym[i + 1], i + 1, got[1]))
     if not heap:
@@ -33,12 +33,12 @@ def merge(symbols: list, joined) -> list:
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            got = joined(whole, sym[k])
+            got = joined((whole, sym[k]))
             if got is not None:
                 heappush(heap, (got[0], i, whole, sym[k], k, got[1]))
         h = before[i]
         if h >= 0:
-            got = joined(sym[h], whole)
+            got = joined((sym[h], whole))
             if got is not None:
                 heappush(heap, (got[0], h, sym[h], whole, i, got[1]))
     return [s for s in sym if s is not None]

@@ -42,8 +42,8 @@ class WordCounts(dict):
         self.cut = all(SPACE not in p.lstrip(SPACE) for p in many)
         self.lines = "\n" not in self.rank and not any("\n" in p for p in many)
 
-    def joined(self, left, right):
-        whole = left + right
+    def joined(self, pair):
+        whole = pair[0] + pair[1]
         rank = self.rank.get(whole)
         return None if rank is None else (rank, whole)
 
