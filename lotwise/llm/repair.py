@@ -73,8 +73,7 @@ class WordIds(dict):
         if ids is None:
             symbols = [self.letters[b] for b in word.encode()]
             symbols[-1] += self.suffix
-            pairs = self.pairs
-            ids = [self.vocabulary[s] for s in merge(symbols, lambda a, b: pairs.get((a, b)))]
+            ids = [self.vocabulary[s] for s in merge(symbols, self.pairs.get)]
             if len(self.made) > CACHED:
                 self.made.clear()
             self.made[word] = ids
