@@ -131,38 +131,51 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
     """(first new symbol, left, right, sequence): rule i says that symbol first + i stands for left[i], right[i]."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 1
     left, right, symbol = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], first
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = (seq[:-1] << 31) | seq[1:]
-        cell = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        held = np.bincount(cell, minlength=1 << 20)
+        a, b = seq[:-1], seq[1:]
+        cell = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+        held = np.bincount(cell, minlength=1 << 18)
         bound = max(least, int(np.partition(held, -pairs)[-pairs]))  # a pair is no more frequent than its cell
-        at = np.flatnonzero(held[cell] >= bound)
-        if not len(at):
+        full = np.flatnonzero(held >= bound)
+        if not len(full):
             break
-        found, inverse, count = np.unique(code[at], return_inverse=True, return_counts=True)
+        number = np.full(1 << 18, -1, np.int32)
+        number[full] = np.arange(len(full))
+        own = number[cell]
+        at = np.flatnonzero(own >= 0)
+        own = own[at]
+        # a cell proposes a pair that it holds, which is most likely its most frequent one; its count is exact
+        some = np.empty(len(full), np.int64)
+        some[own[len(own) // 2 :]] = at[len(own) // 2 :]
+        some[own[: len(own) // 2]] = at[: len(own) // 2]
+        la, lb = a[some], b[some]
+        same = (a[at] == la[own]) & (b[at] == lb[own])
+        at, own = at[same], own[same]
+        count = np.bincount(own, minlength=len(full))
         chosen = np.flatnonzero(count >= least)
         if not len(chosen):
             break
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][:pairs]
-        name = np.full(len(found), -1, np.int64)
+        name = np.full(len(full), -1, np.int64)
         name[chosen] = symbol + np.arange(len(chosen))
-        new = name[inverse]
+        new = name[own]
         at, new = at[new >= 0], new[new >= 0]
         n = np.arange(len(at))
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, n, 0))
         take = (n - run) % 2 == 0
+        left.append(la[chosen].astype(np.int64))
+        right.append(lb[chosen].astype(np.int64))
         seq[at[take]] = new[take]
         keep = np.ones(len(seq), bool)
         keep[at[take] + 1] = False
         seq = seq[keep]
-        left.append(found[chosen] >> 31)
-        right.append(found[chosen] & ((1 << 31) - 1))
         symbol += len(chosen)
+    seq = seq.astype(np.int64)
     return first, np.concatenate(left), np.concatenate(right), seq
 
 
