@@ -62,6 +62,14 @@ class TokenBytes:
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def like(self, pieces: list[bytes]) -> TokenBytes:
+        other = TokenBytes.__new__(TokenBytes)
+        other.fill(pieces)
+        return other
+
+    def of(self, ids: np.ndarray) -> bytes:
+        return gather(self.blob, self.starts, self.lengths, ids).tobytes()
+
 
 def _split(text: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words as bytes, word number by position, words per text)."""
@@ -125,7 +133,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         table = worker_state("bytes:" + ranks_path, lambda: TokenBytes(ranks_path))
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            batch = batch.filter(pc.greater_equal(batch.column(1), 0))
+            is_head = pc.less(batch.column(1), 0)
+            yield batch.filter(is_head)
+            batch = batch.filter(pc.invert(is_head))
             for block, b, packed in zip(batch.column(0), batch.column(1), batch.column(2)):
                 lengths, blob = unpack(packed.as_py())
                 ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
@@ -143,10 +153,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 out = pack(counts, planes(np.frombuffer(b"".join(found), np.uint32)))
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([b.as_py()], pa.int32()), pa.array([out], pa.binary())], ["block", "bucket", "packed"])
 
-    def heads(batches):
-        for batch in batches:
-            yield batch.filter(pc.less(batch.column(1), 0))
-
     def assemble(table: pa.Table) -> pa.Table:
         rows = list(zip(table.column("bucket").to_pylist(), table.column("packed").to_pylist()))
         copies = sum(b < 0 for b, _ in rows)  # blocks of the same rows have the same number
@@ -174,11 +180,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "block long, bucket int, packed binary"
-    # one shuffle serves both readers: words lie by bucket, positions by block. Both choose their rows in Python, as a
-    # condition would be pushed below the shuffle and make two of it
+    # words lie by bucket, positions by block; the latter pass through
     exploded = texts.mapInArrow(explode, "key long, " + schema).repartition(buckets, "key").select("block", "bucket", "packed")
-    words = exploded.mapInArrow(encode_once, schema)
-    both = exploded.mapInArrow(heads, schema).unionByName(words)
+    both = exploded.mapInArrow(encode_once, schema)
     out = both.groupBy("block").applyInArrow(assemble, "id long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
@@ -190,30 +194,26 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
         table = worker_state("bytes:" + ranks_path, lambda: TokenBytes(ranks_path))
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            texts = [gather(table.blob, table.starts, table.lengths, np.frombuffer(v.as_buffer(), "<u4")).tobytes() if v.is_valid else None for v in batch.column(at)]
+            texts = [table.of(np.frombuffer(v.as_buffer(), "<u4")) if v.is_valid else None for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` binary")
 
 
-def id_text_sha256(ids: bytes, digits) -> str:
-    import hashlib
-
-    line = gather(digits.blob, digits.starts, digits.lengths, np.frombuffer(ids, "<u4"))
-    return hashlib.sha256(line[:-1].tobytes()).hexdigest()
-
-
-def digests(decoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256)."""
+def digests(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256 of the bytes that ``decode`` gives);
+    decodes in place, so that decoded texts need not leave the task."""
 
     def run(batches):
-        digits = TokenBytes.__new__(TokenBytes)
-        digits.fill([b"%d " % i for i in range(max(load_ranks(ranks_path).values()) + 1)])
+        table = worker_state("bytes:" + ranks_path, lambda: TokenBytes(ranks_path))
+        digits = worker_state("digits:" + ranks_path, lambda: table.like([b"%d " % i for i in range(len(table.lengths))]))
+        sha = hashlib.sha256
         for batch in batches:
-            sums = [id_text_sha256(v.as_py(), digits) for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums), batch.column(3)], ["id", "n_tokens", "ids_sha256", "sha"])
+            values = [np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(2)]
+            of_ids = [sha(digits.of(v)[:-1]).hexdigest() for v in values]
+            of_text = [sha(table.of(v)).hexdigest() for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = decoded.select(F.col(id_col).alias("id"), "n_tokens", "ids", F.sha2("decoded", 256).alias("sha"))
-    out = rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, sha string")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.col("sha").alias("decoded_sha256"))
+    rows = encoded.select(F.col(id_col).alias("id"), "n_tokens", "ids")
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -53,7 +53,7 @@ def op7_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = _vocabulary("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(Tables(spark, sf_dir).documents, path, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, path), path)
+    return byte_bpe.digests(encoded, path)
 
 
 def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
