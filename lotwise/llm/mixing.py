@@ -159,12 +159,12 @@ class Plan:
 
     def blocks_of_mix(self) -> DataFrame:
         """The mix: (out_shard, slot, source_no, pass, block, doc_id, first, last), a line per document in a block."""
-        return self.draws().join(self.spans(), ["source_no", "block"])
+        return self.draws().hint("merge").join(self.spans(), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         """(_row, taken): words of each document in the mix, repeats counted, for documents with any."""
         times = self.draws().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-        words = self.spans().join(times, ["source_no", "block"])
+        words = self.spans().join(times.hint("merge"), ["source_no", "block"])  # many rows from few: not one to broadcast
         return words.groupBy("_row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
 
 
@@ -175,7 +175,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every document."""
     p = plan(docs)
-    rows = p.documents.join(p.taken(), "_row", "left")
+    rows = p.documents.join(p.taken().hint("merge"), "_row", "left")
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -185,7 +185,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     are expected to be unique."""
     p = plan(docs)
     pieces = p.blocks_of_mix().groupBy("doc_id").agg(F.collect_list(F.struct("pass", "first", "last")).alias("_pieces"))  # a document's own blocks
-    rows = docs.join(pieces, "doc_id")
+    rows = docs.join(pieces.hint("merge"), "doc_id")
     at, text_at = rows.columns.index("_pieces"), rows.columns.index("text")
 
     def rebuild(batches):

@@ -73,7 +73,7 @@ def linked(distinct: DataFrame) -> DataFrame:
     mask = F.array(*[F.lit(_signed(MASKS[SEGMENT_OF[b]] & ~(1 << b))) for b in range(64)])
     rows = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     rows = rows.withColumn("variant", F.col("fp").bitwiseAND(F.element_at(mask, F.col("bit") + 1)))
-    a, b = rows.alias("a"), rows.alias("b")
+    a, b = rows.alias("a"), rows.hint("merge").alias("b")  # 64 rows of each: never one side by broadcast
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     parts = [F.bit_count(diff.bitwiseAND(F.lit(_signed(m)))) for m in MASKS]
     first = F.when(parts[0] <= 1, 0).when(parts[1] <= 1, 1).otherwise(2)
