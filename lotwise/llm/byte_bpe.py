@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.shared import byte_slices, gather, numbers, pack, planes, unpack, worker_state
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 MARK = "\x1e"  # stands before each space while words are split; texts that contain it go the slow way
 CACHED = 2_000_000
@@ -114,18 +114,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for batch in byte_slices(whole, "text", BLOCK_BYTES):
                 text = pc.fill_null(batch.column(1), "")
                 words, places, counts = _split(text, pattern)  # words are numbered as they first occur
-                bucket = (np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets).astype(np.uint16)
+                bucket = (np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets)
                 first = np.ones(len(places), bool)
                 first[1:] = places[1:] > np.maximum.accumulate(places)[:-1]
                 ids = np.asarray(pc.fill_null(batch.column(0), 0)).astype(np.int64)
                 missing = np.asarray(batch.column(0).is_null())
-                head = [ids.tobytes(), missing.tobytes(), counts.astype(np.uint32).tobytes(), planes(np.where(first, 0, places + 1)), bucket.tobytes()]
+                head = [ids.tobytes(), missing.tobytes(), counts.astype(np.uint32).tobytes(), planes(np.where(first, 0, places + 1)), planes(bucket)]
                 # the same rows give the same number, should a lost block be made again
                 block = int.from_bytes(hashlib.blake2b(b"".join([*head, *words]), digest_size=8).digest()) >> 1
                 rows = [(block, block, -1, pack(*head))]
                 for b in np.unique(bucket).tolist():
                     own = words[bucket == b]
-                    rows.append((b, block, b, pack(np.array([len(w) for w in own], np.uint32), b"".join(own))))
+                    rows.append((b, block, b, pack(planes(np.array([len(w) for w in own])), b"".join(own))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "block", "bucket", "packed"])
 
     def encode_once(batches):
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             batch = batch.filter(pc.invert(is_head))
             for block, b, packed in zip(batch.column(0), batch.column(1), batch.column(2)):
                 lengths, blob = unpack(packed.as_py())
-                ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
+                ends = np.cumsum(numbers(lengths), dtype=np.int64).tolist()
                 blob = bytes(blob)
                 words = [blob[s:e] for s, e in zip([0, *ends], ends)]
                 fresh = [w for w in words if w not in known]
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                         known[w] = ids.tobytes()
                 found = [known[w] for w in words]
                 counts = np.array([len(x) for x in found], np.uint32) // 4
-                out = pack(counts, planes(np.frombuffer(b"".join(found), np.uint32)))
+                out = pack(planes(counts), planes(np.frombuffer(b"".join(found), np.uint32)))
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([b.as_py()], pa.int32()), pa.array([out], pa.binary())], ["block", "bucket", "packed"])
 
     def assemble(table: pa.Table) -> pa.Table:
@@ -159,10 +159,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         by_bucket = dict(rows)
         doc_ids, missing, per_text, packed, bucket = unpack(by_bucket.pop(-1))
         parts = [unpack(by_bucket[b]) for b in sorted(by_bucket)]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        counts = np.concatenate([numbers(c) for c, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         ids = np.concatenate([numbers(x) for _, x in parts]) if parts else np.zeros(0, np.uint32)
         starts = np.cumsum(counts) - counts
-        order = np.argsort(np.frombuffer(bucket, np.uint16), kind="stable")  # place of the parts' words by number
+        order = np.argsort(numbers(bucket).astype(np.uint16), kind="stable")  # place of the parts' words by number
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         starts, counts = starts[back], counts[back]
