@@ -127,16 +127,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     own = words[bucket == b]
                     rows.append((b, block, b, pack(planes(np.array([len(w) for w in own])), b"".join(own))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "block", "bucket", "packed"])
+                del text, words, places, first, head, rows
+                pa.default_memory_pool().release_unused()
 
     def encode_once(batches):
         enc = encoder(ranks_path, pattern)
         table = worker_state("bytes:" + ranks_path, lambda: TokenBytes(ranks_path))
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            is_head = pc.less(batch.column(1), 0)
-            yield batch.filter(is_head)
-            batch = batch.filter(pc.invert(is_head))
-            for block, b, packed in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for i, (block, b, packed) in enumerate(zip(batch.column(0), batch.column(1), batch.column(2))):
+                if b.as_py() < 0:
+                    yield batch.slice(i, 1)
+                    continue
                 lengths, blob = unpack(packed.as_py())
                 ends = np.cumsum(numbers(lengths), dtype=np.int64).tolist()
                 blob = bytes(blob)
@@ -176,6 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         values = pa.Array.from_buffers(pa.large_binary(), len(per_text), [None, pa.py_buffer((text_ends * 4).tobytes()), pa.py_buffer(raw)])
         keys = pa.array(np.frombuffer(doc_ids, np.int64), mask=np.frombuffer(missing, bool))
         made = pa.table([keys, pa.array(np.diff(text_ends)), values.cast(pa.binary())], ["id", "n_tokens", "ids"])
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables([made] * copies)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

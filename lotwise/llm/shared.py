@@ -51,7 +51,10 @@ def gather(blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks: np.
     ends = np.cumsum(n)
     if not len(ends) or ends[-1] == 0:
         return blob[:0]
-    return blob[np.repeat(starts[picks] - (ends - n), n) + np.arange(ends[-1])]
+    kind = np.int32 if max(len(blob), ends[-1]) < 1 << 31 else np.int64
+    at = np.repeat((starts[picks] - (ends - n)).astype(kind), n)
+    at += np.arange(ends[-1], dtype=kind)
+    return blob[at]
 
 
 def pack(*arrays) -> bytes:
