@@ -29,7 +29,7 @@ EPOCHS = 6
 RATE = 0.5
 ACCEPT = 0.3
 SCALE = 100.0
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 AGAIN = 0  # the bucket of "the same word again"
 
 
@@ -157,6 +157,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(samples)
 
 
+def scores(batch: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
+    words, codes, per = _words(batch, column)
+    rows = np.repeat(np.arange(len(per)), per)
+    at_word, buckets = word_features(list(words))
+    sums, n = np.bincount(at_word, model.parts[buckets], len(words)), np.bincount(at_word, minlength=len(words))
+    again = _repeats(codes, rows, len(per))
+    total = np.bincount(rows, sums[codes], len(per)) + again * model.parts[AGAIN]
+    return model.score(total, np.bincount(rows, n[codes], len(per)) + again)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
     parts, bias = model.parts, model.bias
@@ -165,14 +175,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = Model(parts, bias)
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE_BYTES):
-                words, codes, per = _words(batch, 1)
-                rows = np.repeat(np.arange(len(per)), per)
-                at_word, buckets = word_features(list(words))
-                sums, n = np.bincount(at_word, m.parts[buckets], len(words)), np.bincount(at_word, minlength=len(words))
-                again = _repeats(codes, rows, len(per))
-                total = np.bincount(rows, sums[codes], len(per)) + again * m.parts[AGAIN]
-                count = np.bincount(rows, n[codes], len(per)) + again
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(total, count))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch, 1, m))], ["id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
@@ -185,6 +188,15 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """Documents that the classifier accepts; all columns."""
-    good = classify(docs, labels, accept).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """Documents that the classifier accepts; all columns. Each is decided where it is read, without a shuffle."""
+    model = train(docs, labels)
+    parts, bias, at = model.parts, model.bias, docs.columns.index("text")
+
+    def run(batches):
+        m = Model(parts, bias)
+        for whole in batches:
+            for batch in byte_slices(whole, "text", SLICE_BYTES):
+                yield batch.filter(pa.array(scores(batch, at, m) >= accept))
+                pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)
