@@ -67,7 +67,8 @@ def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
             a, b = b, a ^ ((m >> np.uint64(32)) & low)
         return (a << np.uint64(half)) | b
 
-    out, key = rounds(index.astype(np.uint64), key), key.astype(np.uint64)
+    key = key.astype(np.uint64)
+    out = rounds(index.astype(np.uint64), key)
     wide = np.flatnonzero(out >= n)
     while len(wide):
         out[wide] = rounds(out[wide], key[wide])
