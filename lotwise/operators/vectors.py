@@ -74,7 +74,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None
             ri = groups.get(g)
             if ri is None or not len(li) or not len(ri):
                 continue
-            a, c = left.iloc[li], right.iloc[ri]
+            a, c = left.iloc[li], right.iloc[ri].sort_values("id")  # the sort below is stable: ties go to smaller ids
             sim = _unit(_matrix(a["vec"])) @ _unit(_matrix(c["vec"])).T
             qi, bi = a["id"].to_numpy(), c["id"].to_numpy()
             sim[qi[:, None] == bi[None, :]] = -np.inf

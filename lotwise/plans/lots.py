@@ -102,19 +102,19 @@ _VERD = """un AS (SELECT unit, tg, {S} FROM oc GROUP BY unit, tg), tv AS (SELECT
  tq AS (SELECT *, dangerous = 0 AND units_failing = 0 AS qualifies FROM tv)""".replace("{S}", SCORED)
 
 
-@query("sweep_verdict", f"WITH {lots_sql(DESIGN, 100)}, {SWEPT}, {_VERD} SELECT *, coalesce((SELECT min(tg) FROM tq WHERE qualifies), 0.75e0) AS chosen, (SELECT min(tg) FROM tq WHERE qualifies) IS NULL AS is_fallback FROM tq")
+@query("sweep_verdict", f"WITH {lots_sql(DESIGN, 200)}, {SWEPT}, {_VERD} SELECT *, coalesce((SELECT min(tg) FROM tq WHERE qualifies), 0.75e0) AS chosen, (SELECT min(tg) FROM tq WHERE qualifies) IS NULL AS is_fallback FROM tq")
 def sweep_verdict(t):
-    return O.sweep_verdict(V.lot_score(swept(t, reps=100), ["unit", "tg"]), "unit")
+    return O.sweep_verdict(V.lot_score(swept(t, reps=200), ["unit", "tg"]), "unit")
 
 
 _SEEDS = ("s0", "s1", "s2")
 
 
-@query("sweep_seeds", f"""WITH {lots_sql(DESIGN, 40, seeds="['s0','s1','s2']")}, {SWEPT}, un AS (SELECT seed, unit, tg, {SCORED} FROM oc GROUP BY seed, unit, tg), tv AS (SELECT seed, tg, sum(clean_called_many+many_called_clean) AS dangerous, count(*) FILTER (WHERE bands >= 10 AND wrong/CAST(bands AS DOUBLE) > 0.05e0) AS f, sum(bands) AS b, sum(wrong) AS w FROM un GROUP BY seed, tg)
+@query("sweep_seeds", f"""WITH {lots_sql(DESIGN, 200, seeds="['s0','s1','s2']")}, {SWEPT}, un AS (SELECT seed, unit, tg, {SCORED} FROM oc GROUP BY seed, unit, tg), tv AS (SELECT seed, tg, sum(clean_called_many+many_called_clean) AS dangerous, count(*) FILTER (WHERE bands >= 10 AND wrong/CAST(bands AS DOUBLE) > 0.05e0) AS f, sum(bands) AS b, sum(wrong) AS w FROM un GROUP BY seed, tg)
  SELECT seed, coalesce(min(tg) FILTER (WHERE dangerous=0 AND f=0), 0.75e0) AS chosen, CAST(sum(b) AS BIGINT) AS bands, CAST(sum(w) AS BIGINT) AS wrong FROM tv GROUP BY seed""")
 def sweep_seeds(t):
     """The whole sweep over further seeds: the choice per seed, pooled bands and wrong bands."""
-    s = V.lot_score(swept(t, reps=40, seeds=_SEEDS), ["seed", "unit", "tg"]).withColumn("dangerous", F.col("clean_called_many") + F.col("many_called_clean"))
+    s = V.lot_score(swept(t, reps=200, seeds=_SEEDS), ["seed", "unit", "tg"]).withColumn("dangerous", F.col("clean_called_many") + F.col("many_called_clean"))
     fails = (F.col("bands") >= 10) & (F.col("wrong") / F.nullif(F.col("bands").cast("double"), F.lit(0.0)) > 0.05)
     r = s.groupBy("seed", "tg").agg(F.sum("dangerous").alias("d"), F.count_if(fails).alias("f"), F.sum("bands").alias("b"), F.sum("wrong").alias("w"))
     return r.groupBy("seed").agg(F.coalesce(F.min(F.when((F.col("d") == 0) & (F.col("f") == 0), F.col("tg"))), F.lit(C.T_FALLBACK)).alias("chosen"), F.sum("b").alias("bands"), F.sum("w").alias("wrong"))
@@ -139,7 +139,7 @@ def go_nogo(t):
 # ---------------------------------------------------------------- odd items put into groups
 
 ODD = 3
-TRAYS = 40
+TRAYS = 300
 # condition: (base is a whole photo?, which items may be put in)
 CONDITIONS = {
     "A": (False, "label >= 4"), "B": (False, "label < 4 and source = 4"), "B2": (False, "shift"),
@@ -212,8 +212,8 @@ _SHIFT = "CASE WHEN cond='B2' AND odd THEN list_transform({v}, lambda x: x*0.7e0
 @query("detector_eval", f"""WITH {_odd_sql()}, oi0 AS (SELECT cond||'-'||tray AS photo, ot.cond, ot.odd, ot.vec_id*2+odd::INT AS vec_id, {_SHIFT.format(v='hand')} AS hand, {_SHIFT.format(v='e')} AS e FROM ot JOIN emb ON ot.vec_id=emb.vec_id),
  oi AS (SELECT *, list_transform(e, lambda x: x/greatest(sqrt(list_dot_product(e,e)),1e-9)) AS u FROM oi0), {robust_sql('oi', 'oi')},
  z AS (SELECT o.cond, o.photo, o.odd, round(z_both,9) AS z_both, rank() OVER (PARTITION BY o.photo ORDER BY round(z_both,9))+(count(*) OVER (PARTITION BY o.photo, round(z_both,9))-1)/2.0e0 AS rk FROM uns JOIN oi o ON o.photo=uns.photo AND o.vec_id=uns.vec_id),
- g AS (SELECT cond, photo, (sum(rk) FILTER (WHERE odd) - count(*) FILTER (WHERE odd)*(count(*) FILTER (WHERE odd)+1)/2.0e0)/(count(*) FILTER (WHERE odd)*CAST(count(*) FILTER (WHERE NOT odd) AS DOUBLE)) AS auroc, avg((z_both > 2.5e0)::INT) FILTER (WHERE odd) AS rec, avg((z_both > 2.5e0)::INT) FILTER (WHERE NOT odd) AS ffr,
-  count(*) FILTER (WHERE odd AND z_both > 2.5e0) AS hit, count(*) FILTER (WHERE z_both > 2.5e0) AS flags FROM z GROUP BY cond, photo)
+ g AS (SELECT cond, photo, (sum(rk) FILTER (WHERE odd) - count(*) FILTER (WHERE odd)*(count(*) FILTER (WHERE odd)+1)/2.0e0)/(count(*) FILTER (WHERE odd)*CAST(count(*) FILTER (WHERE NOT odd) AS DOUBLE)) AS auroc, avg((z_both > 3.5e0)::INT) FILTER (WHERE odd) AS rec, avg((z_both > 3.5e0)::INT) FILTER (WHERE NOT odd) AS ffr,
+  count(*) FILTER (WHERE odd AND z_both > 3.5e0) AS hit, count(*) FILTER (WHERE z_both > 3.5e0) AS flags FROM z GROUP BY cond, photo)
  SELECT cond, count(*) AS trays, {r6('avg(auroc)')} AS mean_auroc, {r6('avg(rec)')} AS recall_inserted, {r6('avg(ffr)')} AS false_flag_rate, {r6('sum(hit)/CAST(greatest(sum(flags),1) AS DOUBLE)')} AS precision FROM g GROUP BY cond""")
 def detector_eval(t):
     """Does the per-group outlier score find the inserted items? AUROC, recall, false flags per tray, then per condition."""
@@ -223,8 +223,8 @@ def detector_eval(t):
     u = R.unusual(x.join(d, ["grp", "id"]), ["grp"], FEATURES, "distance", R.floors_of(hand(t), FEATURES), sizes=x)
     u = cut_lineage(u.select("cond", "grp", "odd", F.round("z_both", 9).alias("z_both")))
     a = M.auroc(u, ["cond", "grp"], "z_both", "odd")
-    f = u.groupBy("cond", "grp").agg(F.avg(F.when(F.col("odd"), (F.col("z_both") > 2.5).cast("double"))).alias("rec"), F.avg(F.when(~F.col("odd"), (F.col("z_both") > 2.5).cast("double"))).alias("ffr"),
-                                     F.count_if(F.col("odd") & (F.col("z_both") > 2.5)).alias("hit"), F.count_if(F.col("z_both") > 2.5).alias("flags"))
+    f = u.groupBy("cond", "grp").agg(F.avg(F.when(F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("rec"), F.avg(F.when(~F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("ffr"),
+                                     F.count_if(F.col("odd") & (F.col("z_both") > C.UNUSUAL_Z)).alias("hit"), F.count_if(F.col("z_both") > C.UNUSUAL_Z).alias("flags"))
     out = a.join(f, ["cond", "grp"]).groupBy("cond").agg(F.count(F.lit(1)).alias("trays"), F.avg("auroc").alias("mean_auroc"), F.avg("rec").alias("recall_inserted"), F.avg("ffr").alias("false_flag_rate"),
                                                         (F.sum("hit") / F.greatest(F.sum("flags"), F.lit(1))).alias("precision"))
     return rnd(out, ["cond", "trays"], "mean_auroc", "recall_inserted", "false_flag_rate", "precision")

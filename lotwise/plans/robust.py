@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lotwise import constants as C
 from lotwise.functions import core as fn
 from lotwise.functions.scale import exact_medians, exact_quantiles, hot_groups, one_row
 from lotwise.operators import robust as R
@@ -49,19 +50,19 @@ def robust_z(t):
     return rnd(R.final_z(x, ["photo"], {"hand_score": "z_hand"}, hot), ["photo", "vec_id"], "hand_score", "z_hand")
 
 
-@query("unusual_flags", f"WITH {ROBUST} SELECT photo, vec_id, {r6('z_hand')} AS z_hand, {r6('z_emb')} AS z_emb, {r6('z_both')} AS z_both, z_both > 2.5e0 AS flagged FROM uns")
+@query("unusual_flags", f"WITH {ROBUST} SELECT photo, vec_id, {r6('z_hand')} AS z_hand, {r6('z_emb')} AS z_emb, {r6('z_both')} AS z_both, z_both > 3.5e0 AS flagged FROM uns")
 def unusual_flags(t):
     u = unusual_items(t)
-    return rnd(u.withColumn("flagged", F.col("z_both") > 2.5), ["photo", "vec_id", "flagged"], "z_hand", "z_emb", "z_both")
+    return rnd(u.withColumn("flagged", F.col("z_both") > C.UNUSUAL_Z), ["photo", "vec_id", "flagged"], "z_hand", "z_emb", "z_both")
 
 
-@query("flag_share", f"""WITH {ROBUST}, lb AS (SELECT vec_id, label FROM emb), u AS (SELECT photo, label, unnest(['hand','emb','both']) AS score, unnest([z_hand, z_emb, z_both]) AS z FROM uns JOIN lb USING (vec_id)), p AS (SELECT label, score, photo, count(*) AS n, count(*) FILTER (WHERE z > 2.5e0) AS k FROM u GROUP BY label, score, photo)
+@query("flag_share", f"""WITH {ROBUST}, lb AS (SELECT vec_id, label FROM emb), u AS (SELECT photo, label, unnest(['hand','emb','both']) AS score, unnest([z_hand, z_emb, z_both]) AS z FROM uns JOIN lb USING (vec_id)), p AS (SELECT label, score, photo, count(*) AS n, count(*) FILTER (WHERE z > 3.5e0) AS k FROM u GROUP BY label, score, photo)
  SELECT label, score, count(*) AS photos, CAST(sum(n) AS BIGINT) AS items, {r6('sum(k)/CAST(sum(n) AS DOUBLE)')} AS share_flagged, {r6('avg(k)')} AS mean_flags FROM p GROUP BY label, score""")
 def flag_share(t):
     """Share of flagged items and mean flags per photo, by grade and score variant."""
     u = unusual_items(t).select("photo", "label", F.col("z_hand").alias("hand"), F.col("z_emb").alias("emb"), F.col("z_both").alias("both"))
     long = u.unpivot(["photo", "label"], ["hand", "emb", "both"], "score", "z")
-    p = long.groupBy("label", "score", "photo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("z") > 2.5).alias("k"))
+    p = long.groupBy("label", "score", "photo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("z") > C.UNUSUAL_Z).alias("k"))
     out = p.groupBy("label", "score").agg(F.count(F.lit(1)).alias("photos"), F.sum("n").alias("items"), (F.sum("k") / F.sum("n")).alias("share_flagged"), F.avg("k").alias("mean_flags"))
     return rnd(out, ["label", "score", "photos", "items"], "share_flagged", "mean_flags")
 

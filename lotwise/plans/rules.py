@@ -322,13 +322,13 @@ def text_prefix_hash(t):
 def valid_heads(t):
     """Stored heads that fit a known model file, the vector length in use, and a finite margin."""
     nat = t.nation.select("n_nationkey", "n_regionkey", F.sha2("n_name", 256).alias("model_sha"))
-    heads = t.supplier.join(F.broadcast(nat), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    heads = t.supplier.join(nat, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("head"), "model_sha", F.when(F.col("s_suppkey") % 9 == 0, 32).otherwise(64).alias("embed_dim"),
         F.when(F.col("s_acctbal") < 0, float("nan")).otherwise(F.col("s_acctbal") / 10000).alias("m_hi"))
     known = nat.where(F.col("n_regionkey").isin(1, 2, 3)).select("model_sha")
     dim = t.embeddings.agg(F.max(F.size("embedding")).alias("embed_dim"))
     ok = ~F.isnan("m_hi") & (F.abs("m_hi") != float("inf"))
-    return heads.join(F.broadcast(known), "model_sha", "left_semi").join(F.broadcast(dim), "embed_dim").where(ok).select("head", "model_sha", fn.r6("m_hi").alias("m_hi"))
+    return heads.join(known, "model_sha", "left_semi").join(F.broadcast(dim), "embed_dim").where(ok).select("head", "model_sha", fn.r6("m_hi").alias("m_hi"))
 
 
 @query("flip_first_k", f"""WITH {EMB}, r AS (SELECT vec_id, label < 4 AS is_good, row_number() OVER (PARTITION BY label < 4 ORDER BY vec_id) AS rn FROM emb)

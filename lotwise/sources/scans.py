@@ -41,7 +41,7 @@ def parse_box_lines(df: DataFrame, line: str) -> DataFrame:
     """class + 4 numbers is a centre box, class + more is a polygon (its bounding box); shorter lines are dropped."""
     tok = F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
     df = df.withColumn("_t", tok).where(F.size("_t") >= 5)
-    df = df.withColumn("_v", F.transform(F.slice("_t", 2, 10_000), lambda x: x.cast("double")))
+    df = df.withColumn("_v", F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda x: x.cast("double")))
     x, y, w, h = (F.get("_v", i) for i in range(4))
     xs = F.filter("_v", lambda v, i: i % 2 == 0)
     ys = F.filter("_v", lambda v, i: i % 2 == 1)
