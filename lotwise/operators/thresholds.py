@@ -94,6 +94,7 @@ def pick_pair(df: DataFrame, keys: list[str], p_good: str, defect: str, weight:
     ok = suffix_stable(rows, [*keys, "tg"], "td", target=target, min_answered=min_answered)
     first = ok.groupBy(*keys, "tg").agg(F.min_by(F.struct("td", "accuracy", "coverage", "answered"), "td").alias("c"))
     best = first.groupBy(*keys).agg(F.max_by(F.struct("tg", "c"), F.struct(F.col("c.coverage"), -F.col("tg"))).alias("r"))
+    best = best.where(F.col("r").isNotNull())  # no pair holds: no row, with or without keys
     return best.select(*keys, F.col("r.tg").alias("t_good"), F.col("r.c.td").alias("t_defect"), F.col("r.c.accuracy").alias("accuracy"),
                        F.col("r.c.coverage").alias("coverage"), F.col("r.c.answered").alias("answered"))
 
