@@ -129,15 +129,23 @@ def first_k_per_group(t):
     return P.first_k(s, ["s_nationkey"], [F.col("s_name")], 5)
 
 
-HISTORY = """hk AS (SELECT user_id AS "user", CAST(json_extract_string(props,'$.k') AS INTEGER) AS id, event_id, ts, value FROM events), hl AS (SELECT *, row_number() OVER (PARTITION BY "user", id ORDER BY ts DESC, event_id DESC) AS r1 FROM hk),
+HISTORY = """ha AS (SELECT user_id AS "user", CAST(json_extract_string(props,'$.k') AS INTEGER) AS id, event_id, ts, value, event_type='signup' AS wipe FROM events), hw AS (SELECT *, max(CASE WHEN wipe THEN (ts, event_id) END) OVER (PARTITION BY "user") AS w FROM ha),
+ hk AS (SELECT "user", id, event_id, ts, value FROM hw WHERE NOT wipe AND (w IS NULL OR (ts, event_id) > w)), hl AS (SELECT *, row_number() OVER (PARTITION BY "user", id ORDER BY ts DESC, event_id DESC) AS r1 FROM hk),
  hn AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, event_id DESC) AS r2 FROM hl WHERE r1=1)"""
 
 
+def new_start():
+    """A sign-up wipes what the user had."""
+    return F.col("event_type") == "signup"
+
+
 def last_five(events):
-    """Newest record per (user, id), then the newest five per user."""
-    x = events.select(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("int").alias("id"), "event_id", "ts", "value")
-    latest = x.groupBy("user", "id").agg(F.max(F.struct("ts", "event_id", "value")).alias("r")).select("user", "id", "r.*")
-    return P.first_k(latest, ["user"], [F.desc("ts"), F.desc("event_id")], 5)
+    """Newest record per (user, id) since the user's last wipe, then the newest five per user."""
+    x = events.select(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("int").alias("id"), "event_id", "ts", "value", new_start().alias("wipe"))
+    wipes = x.where("wipe").groupBy("user").agg(F.max(F.struct("ts", "event_id")).alias("w"))
+    latest = x.where("wipe IS NOT TRUE").groupBy("user", "id").agg(F.max(F.struct("ts", "event_id", "value")).alias("r"))
+    since = latest.join(wipes, "user", "left").where("w IS NULL OR struct(r.ts, r.event_id) > w")
+    return P.first_k(since.select("user", "id", "r.*"), ["user"], [F.desc("ts"), F.desc("event_id")], 5)
 
 
 @query("last_n", f"""WITH {HISTORY} SELECT "user", id, event_id, ts, value FROM hn WHERE r2 <= 5""")

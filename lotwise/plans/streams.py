@@ -10,7 +10,7 @@ from lotwise.functions import core as fn
 from lotwise.operators import verdict as V
 from lotwise.plans.metrics import rnd
 from lotwise.plans.registry import query
-from lotwise.plans.sampling import HISTORY
+from lotwise.plans.sampling import HISTORY, new_start
 from lotwise.plans.sqltext import r6, verdict
 from lotwise.session import shared_folder
 from lotwise.sources.tables import SCHEMAS
@@ -70,10 +70,8 @@ def closed(t):
 
 @query("stream_last_n", f"""WITH {HISTORY} SELECT "user" AS user_id, id, event_id, ts, value FROM hn WHERE r2 <= 5""")
 def stream_last_n(t):
-    """The five newest per user as a stream; the newest emission per user is the history."""
-    out = S.drain(S.last_n_stream(stream(t)))
-    last = out.groupBy("user_id").agg(F.max_by("kept", "seq").alias("kept"))
-    return last.select("user_id", F.explode("kept").alias("k")).select("user_id", "k.id", "k.event_id", "k.ts", "k.value")
+    """The five newest per user since the last wipe, as a stream."""
+    return S.current_history(S.drain(S.last_n_stream(stream(t), wipe=new_start())))
 
 
 def _reason(t, d, u):
@@ -100,5 +98,5 @@ def stream_lot_pool(t):
 
 @query("stream_dedupe", """WITH d AS (SELECT md5(concat_ws('|', CAST(user_id AS VARCHAR), event_type, props)) AS digest, count(*) AS n FROM events GROUP BY 1) SELECT digest FROM d""")
 def stream_dedupe(t):
-    """Content-hash ingest. The watermark never passes a hash inside one batch, so the whole table is deduplicated."""
-    return S.drain(S.distinct_ingest(stream(t), "60 days")).select("digest")
+    """Content-hash ingest; no hash is forgotten."""
+    return S.drain(S.distinct_ingest(stream(t))).select("digest")

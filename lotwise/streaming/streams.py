@@ -126,33 +126,63 @@ def pool_lots(photos: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- history and ingest
 
-HIST_OUT = "user_id long, kept array<struct<ts:timestamp,event_id:long,id:int,value:double>>"
+HIST_ROW = "array<struct<ts:timestamp,event_id:long,id:int,value:double>>"
+HIST_OUT = f"user_id long, version long, kept {HIST_ROW}"
+HIST_STATE = f"version long, wiped_ts timestamp, wiped_id long, kept {HIST_ROW}"
 
 
-def last_n_stream(events: DataFrame, n: int = 5) -> DataFrame:
-    """Newest n records per user with replacement by id; state is at most n records plus none of the past.
+def wipe_request() -> Column:
+    """Default wipe of a history: a negative value."""
+    return F.col("value") < 0
 
-    Emits the user's list after every batch (the latest emission per user is the current history). A negative value
-    is a wipe request."""
+
+def history_events(events: DataFrame, wipe: Column | None = None) -> DataFrame:
+    """Events as history records: (user_id, ts, event_id, id, value, wipe)."""
+    w = F.coalesce(wipe_request() if wipe is None else wipe, F.lit(False))
+    return events.select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("int").alias("id"), "value", w.alias("wipe"))
+
+
+def last_n_stream(events: DataFrame, n: int = 5, wipe: Column | None = None) -> DataFrame:
+    """Newest n records per user, the newest of each id, none at or before the user's last wipe; (ts, event_id) is the order.
+
+    Emits the user's list after every batch that names the user; the emission with the largest ``version`` is current.
+    Neither the number of files nor their order changes the end result: what a user once pushed out of the list is
+    older than all that stays, so a late wipe that reaches into the list has wiped it too. State is the version, the
+    last wipe and at most n records; the batches of a user are folded one after the other."""
     def run(key, batches, state: GroupState):
-        held = [tuple(r) for r in state.get[0]] if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        recs = {r[2]: r for r in held}
-        for r in pdf.itertuples(index=False):
-            if r.value < 0:
-                recs = {}
-                continue
-            recs[int(r.id)] = (r.ts.to_pydatetime(), int(r.event_id), int(r.id), float(r.value))
-        held = sorted(recs.values(), key=lambda x: (x[0], x[1]), reverse=True)[:n]
-        state.update((held,))
-        yield pd.DataFrame({"user_id": [key[0]], "seq": [held[0][1] if held else -1], "kept": [[{"ts": a, "event_id": b, "id": c, "value": d} for a, b, c, d in held]]})
-
-    x = events.select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("int").alias("id"), "value")
-    state = "kept array<struct<ts:timestamp,event_id:long,id:int,value:double>>"
-    out = "user_id long, seq long, kept array<struct<ts:timestamp,event_id:long,id:int,value:double>>"
-    return x.groupBy("user_id").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def distinct_ingest(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """First row of every content hash; the hash is forgotten once the watermark has passed it."""
-    return events.withColumn("digest", F.md5(F.concat_ws("|", "user_id", "event_type", "props"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["digest"])
+        version, wiped_ts, wiped_id, kept = state.get if state.exists else (0, None, None, [])
+        held = pd.DataFrame([tuple(r) for r in kept], columns=["ts", "event_id", "id", "value"])
+        for pdf in batches:
+            wipes = pdf[pdf["wipe"]].sort_values(["ts", "event_id"]).tail(1)
+            if len(wipes):
+                at = (wipes["ts"].iloc[0].to_pydatetime(), int(wipes["event_id"].iloc[0]))
+                if wiped_ts is None or at > (wiped_ts, wiped_id):
+                    wiped_ts, wiped_id = at
+            new = pdf.loc[~pdf["wipe"], list(held.columns)]
+            both = pd.concat([held, new]) if len(held) else new
+            if wiped_ts is not None:
+                both = both[(both["ts"] > wiped_ts) | ((both["ts"] == wiped_ts) & (both["event_id"] > wiped_id))]
+            held = both.sort_values(["ts", "event_id"], ascending=False).drop_duplicates("id").head(n)
+        rows = [
+            (ts.to_pydatetime(), int(e), None if pd.isna(i) else int(i), None if pd.isna(v) else float(v))
+            for ts, e, i, v in zip(held["ts"], held["event_id"], held["id"], held["value"])
+        ]
+        state.update((version + 1, wiped_ts, wiped_id, rows))
+        yield pd.DataFrame({"user_id": [key[0]], "version": [version + 1], "kept": [[dict(zip(("ts", "event_id", "id", "value"), r)) for r in rows]]})
+
+    return history_events(events, wipe).groupBy("user_id").applyInPandasWithState(run, HIST_OUT, HIST_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def current_history(emitted: DataFrame) -> DataFrame:
+    """The lists that ``last_n_stream`` emitted last, one row per record."""
+    last = emitted.groupBy("user_id").agg(F.max_by("kept", "version").alias("kept"))
+    return last.select("user_id", F.explode("kept").alias("k")).select("user_id", "k.id", "k.event_id", "k.ts", "k.value")
+
+
+def distinct_ingest(events: DataFrame, late: str | None = None) -> DataFrame:
+    """One row of every content hash, however many batches apart its copies come.
+
+    The state then holds every hash seen (keep it in RocksDB on a cluster). With ``late`` a hash is forgotten once the
+    watermark has passed it by that much, and a copy that comes later passes again."""
+    x = events.withColumn("digest", F.md5(F.concat_ws("|", "user_id", "event_type", "props")))
+    return x.withWatermark("ts", late).dropDuplicatesWithinWatermark(["digest"]) if late else x.dropDuplicates(["digest"])

@@ -69,32 +69,21 @@ def test_vector_text_round_trip(spark):
     assert df.select(H.decode_vector(H.encode_vector(F.col("v")))).first()[0] == [0.1, -2.5e-9, 3.0]
 
 
-def head_rows(n, flip=0):
-    rng = np.random.default_rng(0)
-    rows = []
-    for d in (0, 1):
-        for i in range(n):
-            v = np.array([1.0, 0.2 * rng.normal()]) if d == 0 else np.array([0.2 * rng.normal(), 1.0])
-            v /= np.linalg.norm(v)
-            rows.append((0, [float(x) for x in v], 1 - d if i < flip else d))
-    return rows
-
-
-def python_head(rows):
-    e, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
-    sg, sd = e[y == 0].sum(0), e[y == 1].sum(0)
-    s = np.array([x @ unit(sd - x) - x @ unit(sg) if d else x @ unit(sd) - x @ unit(sg - x) for x, d in zip(e, y)])
-    wrong = (s >= 0) != (y == 1)
-    return max(np.abs(s[wrong]).max() if wrong.any() else 0, np.median(np.abs(s))), int(wrong.sum())
-
-
-@pytest.mark.parametrize("n,flip,refused", [(12, 0, ""), (5, 0, "too_few"), (12, 3, "loo_errors")])
-def test_prototype_head(spark, n, flip, refused):
-    rows = head_rows(n, flip)
-    r = H.proto_fit(spark.createDataFrame(rows, "k int, v array<double>, d int"), ["k"], "v", "d").first()
-    m, err = python_head(rows)
-    assert (r.m_hi, r.loo_errors, r.refused) == (pytest.approx(m), err, refused)
+G, D = (1.0, 0.0), (0.0, 1.0)
+
+
+@pytest.mark.parametrize("rows,m_hi,errors,refused", [
+    # every vector lies on its class axis: all leave-one-out scores are 1 or -1
+    ([(G, 0)] * 12 + [(D, 1)] * 12, 1.0, 0, ""),
+    ([(G, 0)] * 5 + [(D, 1)] * 5, 1.0, 0, "too_few"),
+    # class sums (12, 3) and (3, 12). Without one own axis vector (11, 3) / sqrt(130), without a stray one (12, 2) / sqrt(148):
+    # a stray vector scores (12 / sqrt(153) - 2 / sqrt(148)) on the wrong side, more than the median. 6 of 30 are wrong.
+    ([(G, 0)] * 12 + [(D, 0)] * 3 + [(D, 1)] * 12 + [(G, 1)] * 3, 12 / 153**0.5 - 2 / 148**0.5, 6, "loo_errors"),
+])
+def test_prototype_head(spark, rows, m_hi, errors, refused):
+    df = spark.createDataFrame([(0, list(v), d) for v, d in rows], "k int, v array<double>, d int")
+    r = H.proto_fit(df, ["k"], "v", "d").first()
+    assert (r.m_hi, r.loo_errors, r.refused) == (pytest.approx(m_hi), errors, refused)
 
 
 def test_head_answers(spark):
@@ -139,22 +128,67 @@ def test_pooled_stream_equals_a_plain_loop(spark, tables, tmp_path):
     assert {"retake", "unsure", "clean", "some"} <= set(got["band"]) and got["handfuls"].max() == 3
 
 
-def test_history_stream_over_batches(spark, tables, tmp_path):
-    ev, folder = write_batches(spark, tables, tmp_path)
-    out = T.drain(T.last_n_stream(land_stream(spark, folder)))
-    last = out.groupBy("user_id").agg(F.max_by("kept", "seq").alias("kept")).collect()
-    ev["id"] = ev["props"].str.extract(r"(\d+)").astype(int)
-    for r in last:
-        mine = ev[ev.user_id == r.user_id].drop_duplicates("id", keep="last")
-        newest = mine.sort_values(["ts", "event_id"]).tail(5)["event_id"].tolist()[::-1]
-        assert [k.event_id for k in r.kept] == newest
+def land(spark, folder, parts):
+    """One file per part, landed in this order."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, SCHEMAS["events"]).coalesce(1).write.parquet(str(folder / f"b{i:02d}"))
+    return land_stream(spark, str(folder))
+
+
+def at(hour):
+    return (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=hour)).to_pydatetime()
+
+
+def record(event_id, hour, k, value=1.0):
+    return (event_id, at(hour), 1, "view", value, f'{{"k": {k}}}')
+
+
+def kept(stream):
+    return [r.event_id for r in T.current_history(T.drain(stream)).orderBy(F.desc("ts"), F.desc("event_id")).collect()]
+
+
+@pytest.mark.parametrize("files", [1, 5, 20])
+def test_history_stream_equals_its_batch_twin(spark, tables, tmp_path, files):
+    from lotwise.plans.sampling import last_five, new_start
+
+    rows = [tuple(r) for r in tables.events.collect()]
+    order = np.random.default_rng(files).permutation(len(rows))
+    stream = land(spark, tmp_path, [[rows[i] for i in part] for part in np.array_split(order, files)])
+    got = T.current_history(T.drain(T.last_n_stream(stream, wipe=new_start())))
+    want = last_five(tables.events)
+    key = lambda r: (r[0], r["event_id"], r["id"], r["ts"], r["value"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) != []
+
+
+@pytest.mark.parametrize("parts,want", [
+    ([[record(0, 0, 0), record(1, 1, 1), record(2, 2, 2, -1.0), record(3, 3, 3)]], [3]),
+    ([[record(1, 1, 1), record(2, 2, 2)], [record(3, 3, 3, -1.0)]], []),  # wiped by a later file
+    ([[record(3, 3, 3, -1.0)], [record(1, 1, 1), record(4, 4, 4)]], [4]),  # wiped before the old record came
+    ([[record(9, 1, 1)], [record(2, 5, 2)]], [2, 9]),  # a newer time with a smaller id
+    ([[record(1, 1, 1), record(2, 1, 2)], [record(3, 1, 1)]], [3, 2]),  # equal times go by id
+    ([[record(i, i, i) for i in range(7)], [record(7, 4, 99, -1.0)]], [6, 5]),
+    ([[record(i, i, i % 2) for i in range(7)], [record(8, 3, 0)]], [6, 5]),  # a late older version changes nothing
+])
+def test_history_by_hand(spark, tmp_path, parts, want):
+    assert kept(T.last_n_stream(land(spark, tmp_path, parts))) == want
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_ingest_forgets_nothing(spark, tables, tmp_path, files):
+    rows = [tuple(r) for r in tables.events.limit(200).collect()]
+    late = [(r[0] + 10**6, r[1] + pd.Timedelta(days=400), *r[2:]) for r in rows[:50]]
+    stream = land(spark, tmp_path, [[(rows + late)[i] for i in part] for part in np.array_split(np.arange(250), files)])
+    got = [r.digest for r in T.drain(T.distinct_ingest(stream)).collect()]
+    assert len(got) == len(set(got)) == len({(r[2], r[3], r[5]) for r in rows})
+
 
+def test_handful_decision_is_the_verdict(spark):
+    """The state's own decision against the verdict rule over all small counts."""
+    from lotwise.operators import verdict as V
 
-def test_history_is_wiped(spark, tmp_path):
-    rows = [(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), 1, "view", v, f'{{"k": {i}}}') for i, v in enumerate([1.0, 2.0, -1.0, 3.0])]
-    spark.createDataFrame(rows, SCHEMAS["events"]).coalesce(1).write.parquet(str(tmp_path / "in"))
-    r = T.drain(T.last_n_stream(spark.readStream.schema(SCHEMAS["events"]).parquet(str(tmp_path / "in")))).first()
-    assert [k.event_id for k in r.kept] == [3]
+    cells = [(n, d, u) for n in range(1, 26) for u in range(n + 1) for d in range(n - u + 1)]
+    for r in V.decide(spark.createDataFrame(cells, "total long, defects long, unsure long").withColumn("answered", F.expr("total - unsure"))).collect():
+        assert T._decide(r.total, r.defects, r.unsure) == (r.band, r.reason or ""), r
 
 
 def test_three_handfuls_then_a_new_lot():
