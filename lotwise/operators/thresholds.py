@@ -160,3 +160,18 @@ def best_stump(df: DataFrame, features: dict[str, Column], positive: Column, cut
         F.struct(F.lit(1).alias("direction"), (0.5 * (fn.ratio("p_below", "p") + 1 - fn.ratio("n_below", "n"))).alias("score")),
         F.struct(F.lit(-1).alias("direction"), (0.5 * (fn.ratio("p_above", "p") + 1 - fn.ratio("n_above", "n"))).alias("score")))).alias("r"))
     return both.select("feature", "cut", "r.direction", "r.score")
+
+
+def pick_stump(rules: DataFrame) -> DataFrame:
+    """The best rule of all (one row: feature, cut, direction, score); ties go to the first feature, cut and direction by order."""
+    first = F.struct((-F.round("score", 12)).alias("s"), "feature", "cut", (-F.col("direction")).alias("d"), "score")
+    b = rules.agg(F.min(first).alias("b"))
+    return b.select("b.feature", "b.cut", (-F.col("b.d")).alias("direction"), "b.score")
+
+
+def apply_stump(df: DataFrame, rule: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """Adds ``stump``: whether the rule calls the row positive (null where its feature is null). The rule is one row by
+    construction, so it reaches the rows as a scalar."""
+    r = rule.select(F.struct("feature", "cut", "direction").alias("r")).scalar()
+    v = F.element_at(F.create_map(*[x for n, c in features.items() for x in (F.lit(n), c.cast("double"))]), r["feature"])
+    return df.withColumn("stump", F.when(r["direction"] == 1, v < r["cut"]).otherwise(v > r["cut"]))

@@ -153,3 +153,23 @@ def best_stump(t):
     """Best one-feature rule per feature (balanced accuracy) over its percentile cuts and both directions."""
     s = H.best_stump(t.items(), {h: F.col(h) for h in HAND}, F.col("code") == 1)
     return s.groupBy("feature").agg(fn.r6(F.max("score")).alias("score"), F.count(F.lit(1)).alias("rules"))
+
+
+@query("stump_held_out", f"""WITH {ITEMS}, f AS (SELECT code=1 AS pos, unnest(['{"','".join(HAND)}']) AS feature, unnest([area, elong, solidity, fill]) AS v FROM items WHERE source <> 5),
+ q AS (SELECT feature, quantile_cont(v, [{', '.join(repr(0.01 + 0.98 * i / 196) + 'e0' if 'e' not in repr(0.01 + 0.98 * i / 196) else repr(0.01 + 0.98 * i / 196) for i in range(197))}]) AS qs FROM f GROUP BY feature),
+ cut AS (SELECT DISTINCT feature, unnest(qs) AS cut FROM q), tot AS (SELECT feature, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM f GROUP BY feature),
+ fv AS (SELECT feature, v, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM f GROUP BY feature, v),
+ s AS (SELECT c.feature, c.cut, sum(fv.p) FILTER (WHERE v < cut) AS pb, sum(fv.n) FILTER (WHERE v < cut) AS nb, sum(fv.p) FILTER (WHERE v > cut) AS pa, sum(fv.n) FILTER (WHERE v > cut) AS na FROM cut c JOIN fv ON c.feature=fv.feature GROUP BY c.feature, c.cut),
+ sc AS (SELECT feature, cut, 1 AS direction, 0.5e0*(coalesce(pb,0)/CAST(p AS DOUBLE)+1-coalesce(nb,0)/CAST(n AS DOUBLE)) AS score FROM s JOIN tot USING (feature) UNION ALL SELECT feature, cut, -1, 0.5e0*(coalesce(pa,0)/CAST(p AS DOUBLE)+1-coalesce(na,0)/CAST(n AS DOUBLE)) FROM s JOIN tot USING (feature))
+, best AS (SELECT * FROM sc ORDER BY round(score, 12) DESC, feature, cut, direction DESC LIMIT 1),
+ held AS (SELECT code=1 AS pos, CASE b.feature WHEN 'area' THEN area WHEN 'elong' THEN elong WHEN 'solidity' THEN solidity ELSE fill END AS v, b.* FROM items, best b WHERE source = 5),
+ said AS (SELECT *, CASE WHEN direction=1 THEN v < cut ELSE v > cut END AS yes FROM held)
+ SELECT feature, {r6('max(cut)')} AS cut, direction, count(*) AS n, count(*) FILTER (WHERE pos AND yes) AS hits, count(*) FILTER (WHERE NOT pos AND yes) AS false_alarms, count(*) FILTER (WHERE pos) AS positives FROM said GROUP BY feature, direction""")
+def stump_held_out(t):
+    """The best single-feature rule of all other sources, applied to the source that was held out."""
+    items, cols, pos = t.items(), {h: F.col(h) for h in HAND}, F.col("code") == 1
+    rule = H.pick_stump(H.best_stump(items.where("source <> 5"), cols, pos))
+    said = H.apply_stump(items.where("source = 5"), rule, cols)
+    n = said.agg(F.count(F.lit(1)).alias("n"), F.count_if(pos & F.col("stump")).alias("hits"), F.count_if(~pos & F.col("stump")).alias("false_alarms"), F.count_if(pos).alias("positives"))
+    r = rule.select(F.struct("feature", "cut", "direction").alias("r")).scalar()
+    return n.select(r["feature"].alias("feature"), fn.r6(r["cut"]).alias("cut"), r["direction"].alias("direction"), "n", "hits", "false_alarms", "positives")
