@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions.scale import attach, hot_groups
+from lotwise.functions.scale import HOT_ROWS, attach, hot_groups
 from lotwise.operators.curate import rounds_until
 from lotwise.operators.splits import first_k
 from lotwise.session import cut_lineage
@@ -30,6 +30,11 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
 
 
+def _lengthened(steps: Column, between: str):
+    """Of a cell name: the names with one more step."""
+    return lambda c: F.transform(steps, lambda k: F.concat(c, F.lit(between), k.cast("string")))
+
+
 def _empty(names: list[str]) -> pd.DataFrame:
     """No rows; object columns fit any Arrow type."""
     return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
@@ -107,60 +112,82 @@ def knn_distance(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] |
 class CosineCells:
     """Vectors (id, vec) placed so that all partners over a cosine threshold meet; exact.
 
-    A row lives in the cell of its nearest pivot. It visits another cell only when the triangle inequality on angles
-    leaves room for a partner there: a tight threshold touches few cells, a loose one degrades to all tiles. Cells are
-    cut into chunks, so a crowded cell is many tasks."""
+    Partners at an angle of at most tau differ by at most tau in their angle to any third vector. So the angles to a few
+    pivots, cut into steps of twice tau, name a row's home cell, and its partners live in at most two steps per pivot.
+    A probe visits those of these cells that hold rows. The number of pivots used grows with the rows, and a pivot serves
+    only if it spreads the rows over several steps; at a threshold so loose that none does, all rows share one cell and
+    every pair is compared. Cells are cut into chunks, so a crowded cell is many tasks."""
 
     def __init__(self, df: DataFrame, min_cos: float, pivots: int = 16, chunk: int = CHUNK):
         self.min_cos, self.chunk = min_cos, chunk
-        tau = math.acos(max(-1.0, min(1.0, min_cos)))
+        reach = math.acos(max(-1.0, min(1.0, min_cos))) + 1e-7  # more than arccos loses near 1
+        width = 2 * reach
         pick = df.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()  # a fixed number of vectors
         piv = _unit(np.array([r["vec"] for r in pick], dtype=np.float64)) if pick else np.ones((1, 1))
-        self.cells = max(1, len(pick))
         self.id_type = dict(df.dtypes)["id"]
 
         def assign(batches):
             for pdf in batches:
                 if len(pdf):
-                    u = _unit(_matrix(pdf["vec"]))
-                    ang = np.arccos(np.clip(u @ piv.T, -1, 1))
-                    yield pd.DataFrame({"id": pdf["id"], "vec": list(u), "home": ang.argmin(1).astype("int64"), "ang": list(ang)})
+                    ang = np.arccos(np.clip(_unit(_matrix(pdf["vec"])) @ piv.T, -1, 1))
+                    yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "ang": list(ang)})
 
         # written once, read by every pass
-        placed = cut_lineage(df.select("id", "vec").mapInPandas(assign, f"id {self.id_type}, vec array<double>, home long, ang array<double>"))
-        radius = {r["home"]: float(r["r"]) for r in placed.groupBy("home").agg(F.max(F.get("ang", F.col("home").cast("int"))).alias("r")).collect()}
-        reach = F.array(*[F.lit(radius[c] + tau + 1e-9 if c in radius else -1.0) for c in range(self.cells)])
-        visits = F.filter(F.transform(F.arrays_zip(F.col("ang").alias("a"), reach.alias("r")), lambda x, i: F.when(x["a"] <= x["r"], i.cast("long"))), lambda x: x.isNotNull())
-        self.homes = placed.select("id", "vec", F.col("home").alias("cell"))
-        self.visits = placed.select("id", "vec", visits.alias("cells"))
-        self._home_parts = self._parts(self.homes)
-        self._probe_parts = self._parts(self.visits.select(F.explode("cells").alias("cell")))
+        placed = cut_lineage(df.select("id", "vec").mapInPandas(assign, f"id {self.id_type}, vec array<double>, ang array<double>"))
+        size = placed.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(F.get("ang", F.lit(j))).alias(f"s{j}") for j in range(len(pick))]).first()
+        most = 2 + math.ceil(math.log(max(1.0, size["n"] / chunk), 4))
+        spread = sorted(((size[f"s{j}"] or 0.0, j) for j in range(len(pick))), reverse=True)
+        use = [j for s, j in spread[:most] if s > width / 4]
+        step = lambda j, shift: F.floor((F.get("ang", F.lit(j)) + shift) / width)
+        name = lambda parts: F.concat_ws("_", *parts) if parts else F.lit("")
+        self.homes = placed.select("id", "vec", name([step(j, 0.0) for j in use]).alias("cell"))
+        cells = F.array(F.lit(""))
+        for at, j in enumerate(use):
+            steps = F.sequence(step(j, -reach), step(j, reach))
+            cells = F.flatten(F.transform(cells, _lengthened(steps, "_" if at else "")))
+        self.visits = placed.select("id", "vec", cells.alias("cells"))
+        count = lambda d, n: d.groupBy("cell").agg(F.count(F.lit(1)).alias(n))
+        self.cells = cut_lineage(count(self.homes, "n_home").join(count(self.visits.select(F.explode("cells").alias("cell")), "n_probe"), "cell"))
+        crowded = self.cells.where(F.greatest("n_home", "n_probe") > HOT_ROWS).select("cell")
+        self._crowded = None if crowded.isEmpty() else crowded
+
+    def compared(self) -> int:
+        """Pairs that one pass over all rows compares."""
+        return self.cells.agg(F.sum(F.col("n_home") * F.col("n_probe"))).first()[0] or 0
 
     def run(self, reducer, schema: str, homes: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
         """``reducer(home rows, probe rows, similarity matrix)`` on every tile. ``homes`` and ``probes`` (id, payload...)
         choose the rows that take part and what they carry; a home row is in one cell, a probe in all it may visit."""
         home = self.homes if homes is None else self.homes.join(homes, "id")
         probe = (self.visits if probes is None else self.visits.join(probes, "id")).withColumn("cell", F.explode("cells")).drop("cells")
-        n_home, n_probe = self._home_parts, self._probe_parts  # sized for all rows: enough for any choice of them
-        at = lambda arr: F.get(arr, F.col("cell").cast("int"))
-        part = lambda arr, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), at(arr))
-        copies = lambda arr: F.explode(F.sequence(F.lit(0).cast("long"), at(arr) - 1))
-        fresh = lambda d: [F.col(c).alias(c) for c in d.columns]  # both sides come from one table
-        home = home.select(*fresh(home), part(n_home, 1).alias("_h"), copies(n_probe).alias("_p"))
-        probe = probe.select(*fresh(probe), part(n_probe, 2).alias("_p"), copies(n_home).alias("_h"))
+        parts = lambda n: F.ceil(F.col(n) / self.chunk)  # sized for all rows: enough for any choice of them
+        tiles = self.cells.select("cell", parts("n_home").alias("_nh"), parts("n_probe").alias("_np"))
+        part = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n))
+        copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        fresh = lambda d: d.select([F.col(c).alias(c) for c in d.columns])  # both sides come from one table
+        home = attach(fresh(home), tiles, ["cell"], self._crowded).select("*", part("_nh", 1).alias("_h"), copies("_np").alias("_p")).drop("_nh", "_np")
+        probe = attach(fresh(probe), fresh(tiles), ["cell"], self._crowded).select("*", part("_np", 2).alias("_p"), copies("_nh").alias("_h")).drop("_nh", "_np")
+        home, probe = fresh(home), fresh(probe)
         names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
         def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return _empty(names)
-            return reducer(left, right, _matrix(left["vec"]) @ _matrix(right["vec"]).T)
+            return reducer(left, right, _unit(_matrix(left["vec"])) @ _unit(_matrix(right["vec"])).T)
 
         key = ["cell", "_h", "_p"]
         return home.groupBy(*key).cogroup(probe.groupBy(*key)).applyInPandas(tile, schema)
 
-    def _parts(self, d: DataFrame) -> Column:
-        n = {r["cell"]: r["n"] for r in d.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one line per cell
-        return F.array(*[F.lit(max(1, math.ceil(n.get(c, 0) / self.chunk))).cast("long") for c in range(self.cells)])
+
+def centred(df: DataFrame, vec: str, out: str = "vec", unit: bool = True) -> DataFrame:
+    """Every vector less the mean of its own components, at unit length if wanted (a constant vector becomes zero)."""
+    mean = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x) / F.size(vec)
+    less = df.withColumn("_m", mean).withColumn("_c", F.transform(vec, lambda x: x - F.col("_m"))).drop("_m")
+    if not unit:
+        return less.withColumn(out, F.col("_c")).drop("_c")
+    less = less.withColumn("_l", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)))
+    scaled = F.transform("_c", lambda x: F.when(F.col("_l") > 0, x / F.col("_l")).otherwise(0.0))
+    return less.withColumn(out, scaled).drop("_c", "_l")
 
 
 def vector_key(vec) -> Column:
@@ -194,13 +221,21 @@ def near_dup_partners(df: DataFrame, key: str, vec: str, group: str, min_cos: fl
     return out.where("partners is not null or spans_groups").withColumn("partners", F.coalesce("partners", F.lit(0)))
 
 
-def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float, **kw) -> DataFrame:
+def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float, exempt: Column | None = None, **kw) -> DataFrame:
     """Greedy near-duplicate removal in key order: a row is dropped when an earlier kept row of another group is similar.
 
+    Rows that are ``exempt`` (a source whose items are alike by design) take no part: they stay and drop nobody. So do
+    null and zero vectors, which have no direction (``min_cos`` is above 0).
+
     Rows with one vector and one group share their fate, so the pass runs on (vector, group) entries. Each round every
     vector hears from its similar vectors only the two earliest entries of different groups that are not dropped: enough
     to decide, and independent of how many rows or near copies stand behind it. The first entry of a dense cluster is
     kept in the first round and the rest of the cluster falls in the next, so rounds follow the depth of the chains."""
+    free = ~F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
+    if exempt is not None:
+        free = free | F.coalesce(exempt, F.lit(False))
+    apart = df.where(free).withColumn("keep", F.lit(True))
+    df = df.where(~free)
     rows = df.withColumn("_k", vector_key(vec))
     nodes = rows.groupBy("_k").agg(F.min(key).alias("id"), F.first(vec).alias("vec"))
     cells = CosineCells(nodes.select("id", "vec"), min_cos, **kw)
@@ -245,7 +280,7 @@ def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float,
 
     done = rounds_until(entries, step, F.col("st") == 0)
     fate = done.select("_k", F.col("grp").alias(group), (F.col("st") == 1).alias("keep"))
-    return attach(rows, fate, ["_k", group], hot_groups(rows, ["_k", group])).drop("_k")
+    return attach(rows, fate, ["_k", group], hot_groups(rows, ["_k", group])).drop("_k").select(*apart.columns).unionByName(apart)
 
 
 # ---------------------------------------------------------------- binary hashes

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lotwise import constants as C
 from lotwise.functions import core as fn
 from lotwise.operators import calls as K
 from lotwise.operators import matching as J
@@ -33,6 +34,28 @@ def near_dup_keep(t):
     return X.near_dup_keep(t.emb(), "vec_id", "e", "photo", NEAR).select("vec_id", "keep")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+# counts of the letters of a text, less their mean: near copies are at a cosine of .998 or more
+LETTER_SQL = f"""lc AS MATERIALIZED (SELECT doc_id, source, list_transform(string_split('{LETTERS}', ''), lambda c: CAST(length(text)-length(replace(text, c, '')) AS DOUBLE)) AS v FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+ lm AS (SELECT doc_id, source, list_transform(v, lambda x: x-list_sum(v)/26) AS c FROM lc), un AS MATERIALIZED (SELECT doc_id, source, c, list_transform(c, lambda x: CASE WHEN list_dot_product(c,c) > 0 THEN x/sqrt(list_dot_product(c,c)) ELSE 0e0 END) AS u FROM lm)"""
+
+
+def letter_vectors(t):
+    """Documents with their centred letter counts."""
+    text = F.coalesce("text", F.lit(""))
+    counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    return X.centred(t.documents.select("doc_id", "source", counts.alias("v")), "v", "u", unit=False).drop("v")
+
+
+@query("near_dup_texts", f"""WITH {LETTER_SQL}, v AS (SELECT c, any_value(u) AS u, min(doc_id) AS id, count(*) AS copies, min(source) AS g0, max(source) AS g1 FROM un GROUP BY c),
+ f AS (SELECT a.id, count(*) AS partners, min(b.id) AS first_partner, max(list_dot_product(a.u,b.u)) AS best FROM v a JOIN v b ON a.id <> b.id WHERE list_dot_product(a.u,b.u) >= 0.998e0 AND NOT (a.g0=a.g1 AND b.g0=b.g1 AND a.g0=b.g0) GROUP BY a.id)
+ SELECT v.id, copies, g0 <> g1 AS spans_groups, coalesce(partners,0) AS partners, first_partner, {r6('best')} AS best_cos FROM v LEFT JOIN f USING (id) WHERE partners IS NOT NULL OR g0 <> g1""")
+def near_dup_texts(t):
+    """Near-duplicate partners of other sources at the shipped threshold, one line per distinct vector that has any."""
+    v = letter_vectors(t)
+    return rnd(X.near_dup_partners(v, "doc_id", "u", "source", C.NEAR_DUP_COS), ["id", "copies", "spans_groups", "partners", "first_partner"], "best_cos")
+
+
 BITS = """bt AS (SELECT vec_id, source, list_aggregate(list_transform(e, lambda x: CASE WHEN x > 0.12e0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM emb)"""
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,35 @@ def test_near_dup_partners(spark, t):
     assert got == want
 
 
+def test_near_dup_exempt_and_zero(spark):
+    """0 drops 1; 2 is exempt and stays; zero and null vectors have no direction and stay."""
+    rows = [(0, [1.0, 0.0], "a"), (1, [2.0, 0.0], "b"), (2, [1.0, 0.0], "free"), (3, [0.0, 0.0], "a"), (4, [0.0, 0.0], "b"), (5, None, "b")]
+    df = spark.createDataFrame(rows, "key int, v array<double>, g string")
+    r = X.near_dup_keep(df, "key", "v", "g", 0.998, exempt=F.col("g") == "free").orderBy("key").collect()
+    assert [x.keep for x in r] == [True, False, True, True, True, True]
+
+
+def test_compared_pairs_grow_less_than_the_square(spark):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(6400, 6))
+    took = []
+    for n in (400, 1600, 6400):
+        df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "vec": list(v[:n])}))
+        took.append(X.CosineCells(df, 0.998, chunk=64).compared())
+    assert took[0] < 400**2 / 4 and all(b < 8 * a for a, b in zip(took, took[1:])), took
+
+
+def test_crowded_cell(spark, monkeypatch):
+    """Cells over the limit meet their sizes by broadcast; the result is the same."""
+    monkeypatch.setattr(X, "HOT_ROWS", 5)
+    test_near_dup_partners(spark, 0.95)
+
+
+def test_centred(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([5.0, 5.0, 5.0],)], "v array<double>")
+    assert [r.vec for r in X.centred(df, "v").collect()] == [pytest.approx([-(0.5**0.5), 0.0, 0.5**0.5]), [0.0, 0.0, 0.0]]
+
+
 def test_nearest_in_chunks(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(120, 4))
