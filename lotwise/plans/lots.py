@@ -123,16 +123,16 @@ def sweep_seeds(t):
 _BARS = {"R": (0.30, 0.60), "A": (0.35, 0.60), "N": (0.30, 0.60)}
 
 
-@query("go_nogo", f"""WITH {LOTS}, d AS (SELECT flag AS head, CAST(line AS INTEGER)*10 AS k, year AS draw, avg((code=0)::INT) FILTER (WHERE code<>2) AS acc, avg((code<>2)::INT) AS cov, count(*) FILTER (WHERE code=0 AND discount >= 0.095e0 AND qty > line*10) AS dangerous, count(*) FILTER (WHERE code=1 AND tax < 0.005e0 AND qty > line*10+5) AS forbidden FROM lots GROUP BY 1, 2, 3),
+@query("go_nogo", f"""WITH {LOTS}, d AS (SELECT flag AS head, CAST(line AS INTEGER)*10 AS k, year AS draw, avg((code=0)::INT) FILTER (WHERE code<>2) AS acc, avg((code<>2)::INT) AS cov, count(*) FILTER (WHERE code=0 AND discount >= 0.085e0 AND qty > line*10) AS dangerous, count(*) FILTER (WHERE code=1 AND tax < 0.005e0 AND qty > line*10+5) AS forbidden FROM lots GROUP BY 1, 2, 3),
  a AS (SELECT head, k, count(*) AS draws, avg(coalesce(acc,0)) AS mean_acc, avg(cov) AS mean_cov, CAST(sum(dangerous) AS BIGINT) AS dangerous, max(forbidden) AS worst_forbidden FROM d GROUP BY head, k), nd AS (SELECT count(DISTINCT draw) AS n FROM d),
  g AS (SELECT a.*, mean_acc >= CASE head WHEN 'A' THEN 0.35e0 ELSE 0.30e0 END AND mean_cov >= 0.60e0 AND dangerous=0 AND worst_forbidden=0 AND draws=7 AS go FROM a), f AS (SELECT head, k FROM g WHERE go ORDER BY CASE head WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, k LIMIT 1)
  SELECT head, k, draws, {r6('mean_acc')} AS mean_acc, {r6('mean_cov')} AS mean_cov, dangerous, worst_forbidden, go, coalesce((SELECT 'GO '||head||' K='||k FROM f), 'NO-GO') AS verdict FROM g""")
 def go_nogo(t):
     """GO / NO-GO over draws: three heads, several K, seven draws, every criterion in every draw. Dangerous: a good call
-    at the highest discount; forbidden: a defect call at no tax; both only above the quantity that K stands for."""
+    at a high discount; forbidden: a defect call at no tax; both only above the quantity that K stands for."""
     d = t.lots().groupBy(F.col("flag").alias("head"), (F.col("line") * 10).alias("k"), F.col("year").alias("draw")).agg(
         F.avg(F.when(F.col("code") != 2, (F.col("code") == 0).cast("double"))).alias("acc"), F.avg((F.col("code") != 2).cast("double")).alias("cov"),
-        F.count_if((F.col("code") == 0) & (F.col("discount") >= 0.095) & (F.col("qty") > F.col("line") * 10)).alias("dangerous"),
+        F.count_if((F.col("code") == 0) & (F.col("discount") >= 0.085) & (F.col("qty") > F.col("line") * 10)).alias("dangerous"),
         F.count_if((F.col("code") == 1) & (F.col("tax") < 0.005) & (F.col("qty") > F.col("line") * 10 + 5)).alias("forbidden"))
     g = O.go_nogo(d, "head", "k", "draw", "acc", "cov", "dangerous", "forbidden", _BARS, 7)
     return rnd(g, ["head", "k", "draws", "dangerous", "worst_forbidden", "go", "verdict"], "mean_acc", "mean_cov")
