@@ -99,10 +99,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = grouped.select("fp", F.col("root")).join(least, "root").select("fp", "component_id")
     out = attach(fps, named, ["fp"], hot_groups(fps, ["fp"], HOT))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without their near copies: of each group, that with the smallest id stays."""
-    marked = near_duplicates(docs)
-    kept = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")

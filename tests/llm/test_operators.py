@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from conftest import SF
 
-from lotwise.llm import byte_bpe, hnsw, mixing, quality, repair, sharding, simhash, token_count, vector_dedup, warc
+from lotwise.llm import byte_bpe, hnsw, mixing, near_copies, quality, repair, sharding, simhash, token_count, vector_dedup, warc
 from lotwise.llm.queries import QUERIES, SQL
 
 
@@ -101,6 +101,54 @@ def test_simhash_links_are_complete(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def five_word_groups(texts):
+    """Smallest position of each text's group: sets of five-word shingles at similarity 0.8 or more, all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    same = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return groups(len(texts), same)
+
+
+def planted(n=60, seed=5):
+    """Documents of 60 to 400 words with copies that have 1, 2, 3 or 5 words replaced."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 401))]
+        rows.append(" ".join(words))
+        for changes in (1, 2, 3, 5):
+            copy = list(words)
+            for at in rng.choice(len(words), changes, replace=False):
+                copy[at] = f"x{rng.integers(0, 5000)}"
+            rows.append(" ".join(copy))
+    return rows
+
+
+def test_near_copies_planted(spark):
+    texts = planted() + [None, "", " ", "a b", "A  b", "a b c"]
+    root = five_word_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = sorted(r.doc_id for r in near_copies.keep_one(df).collect())
+    assert kept == sorted(set(root))
+
+
+def test_near_copies_of_a_dense_group(spark):
+    """A chain whose ends are unlike, and a group of which most pairs are just below the similarity."""
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = [" ".join(words[i * 3 : i * 3 + 100]) for i in range(30)]
+    base = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+    for i in range(60):
+        copy = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            copy[at] = f"y{i}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == sorted(set(five_word_groups(texts)))
+
+
 def test_shards(odd_docs, texts):
     rows = sharding.shard_records(odd_docs, range_bytes=2000).collect()
     assert len(rows) == len(texts)
