@@ -79,9 +79,10 @@ def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
 class Plan:
     """Sources, targets and block numbers of a mix, and the documents' places in their sources."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Callable[[int], list[float]], block_words: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Callable[[int], list[float]], block_words: int, carried: tuple[str, ...] = ()):
+        self.carried = carried
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-        rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "mix-sizes")
+        rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *carried), "mix-sizes")
         held = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
         held = sorted(held, key=lambda r: (r["source"] is None, r["source"] or ""))
         spark = docs.sparkSession
@@ -93,20 +94,20 @@ class Plan:
         table = spark.createDataFrame(names.to_dict("records"), "name string, source_no long, begin long, source_size long, target double")
         rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")))  # one line per source
         d = F.coalesce("doc_id", F.lit(-(1 << 63)))
-        keys = rows.select("doc_id", "source", "source_size", "target", "begin", F.col("source_no").alias("_k"), d.alias("_d"), F.col("size").alias("_size"))
+        keys = rows.select("doc_id", "source", "source_size", "target", "begin", F.col("source_no").alias("_k"), d.alias("_d"), F.col("size").alias("_size"), *carried)
         keys = written(keys, "mix-keys")
         splitters, totals = draw_splitters(keys.select("_k", "_d", "_size"), sum(self.sizes), 1 << 18)
-        placed = ordered(keys, splitters, totals)
-        self.documents = written(placed.select("_row", "doc_id", "source", "source_size", "target", F.col("_k").alias("source_no"), F.col("_size").alias("size"), (F.col("_before") - F.col("begin")).alias("at")), "mix-documents")
+        placed = ordered(keys, splitters, totals, carried)
+        self.documents = written(placed.select("_row", "doc_id", "source", "source_size", "target", F.col("_k").alias("source_no"), F.col("_size").alias("size"), (F.col("_before") - F.col("begin")).alias("at"), *carried), "mix-documents")
         self.block_words = block_words
 
     def spans(self) -> DataFrame:
-        """(source_no, block, _row, doc_id, first, last): words first .. last - 1 of a document lie in the block."""
+        """(source_no, block, _row, doc_id, first, last, columns carried): words first .. last - 1 of a document lie in the block."""
         w = self.block_words
         rows = self.documents.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / w), F.floor((F.col("at") + F.col("size") - 1) / w))))
         first = F.greatest(F.col("block") * w - F.col("at"), F.lit(0))
         last = F.least((F.col("block") + 1) * w - F.col("at"), F.col("size"))
-        return rows.select("source_no", "block", "_row", "doc_id", first.alias("first"), last.alias("last"))
+        return rows.select("source_no", "block", "_row", "doc_id", first.alias("first"), last.alias("last"), *self.carried)
 
     def draws(self, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
         """(out_shard, slot, source_no, pass, block): the blocks of every output shard."""
@@ -169,8 +170,8 @@ class Plan:
         return words.groupBy("_row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=cycle_weights, block_words: int = BLOCK_WORDS) -> Plan:
-    return Plan(docs, id_col, text_col, source_col, weights, block_words)
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=cycle_weights, block_words: int = BLOCK_WORDS, carried: tuple[str, ...] = ()) -> Plan:
+    return Plan(docs, id_col, text_col, source_col, weights, block_words, carried)
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
@@ -182,11 +183,13 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words of, each with the words taken as its text: first pass first, neighbouring
-    blocks with the white space between them, others on lines of their own. ``n_chars`` follows the text. Document ids
-    are expected to be unique."""
-    p = plan(docs)
-    pieces = p.blocks_of_mix().groupBy("doc_id").agg(F.collect_list(F.struct("pass", "first", "last")).alias("_pieces"))  # a document's own blocks
-    rows = docs.join(pieces.hint("merge"), "doc_id")
+    blocks with the white space between them, others on lines of their own. ``n_chars`` follows the text. Rows are told
+    apart by their texts' digest and a written number, so ids may be null or repeated."""
+    columns = docs.columns
+    docs = written(docs.withColumn("_tie", F.xxhash64("text")).withColumn("_key", F.monotonically_increasing_id()), "mix-rows")
+    p = plan(docs, carried=("_tie", "_key"))
+    pieces = p.blocks_of_mix().groupBy("_key").agg(F.collect_list(F.struct("pass", "first", "last")).alias("_pieces"))  # a document's own blocks
+    rows = docs.join(pieces.hint("merge"), "_key")
     at, text_at = rows.columns.index("_pieces"), rows.columns.index("text")
 
     def rebuild(batches):
@@ -210,6 +213,6 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[c for c in rows.columns if c != "_pieces"]).schema)
     out = rows.mapInArrow(rebuild, fields)
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*columns)

@@ -92,8 +92,8 @@ def draw_splitters(keys: DataFrame, total: int, range_bytes: int = RANGE_BYTES,
     return splitters, held[["_range", "rows", "bytes"]]
 
 
-def ordered(rows: DataFrame, splitters: Splitters, held: pd.DataFrame) -> DataFrame:
-    """Deals rows by range, sorts them inside it, and adds _row (number from 0) and _before (bytes) over all rows."""
+def ordered(rows: DataFrame, splitters: Splitters, held: pd.DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Deals rows by range, sorts them inside it (at last by the columns ``ties``), and adds _row (number from 0) and _before (bytes) over all rows."""
     first_row = dict(zip(held["_range"].tolist(), (held.rows.cumsum() - held.rows).tolist()))
     first_byte = dict(zip(held["_range"].tolist(), (held.bytes.cumsum() - held.bytes).tolist()))
 
@@ -116,7 +116,7 @@ def ordered(rows: DataFrame, splitters: Splitters, held: pd.DataFrame) -> DataFr
                 row, before = row + e - s, int(ends[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows_out), pa.array(before_out)], [*b.schema.names, "_row", "_before"])
 
-    dealt = _ranged(rows, splitters).repartition("_range").sortWithinPartitions("_range", "_k", "_d", "_size")
+    dealt = _ranged(rows, splitters).repartition("_range").sortWithinPartitions("_range", "_k", "_d", "_size", *ties)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     return dealt.mapInArrow(number, f"{fields}, _row long, _before long")
 

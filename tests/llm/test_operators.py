@@ -149,6 +149,38 @@ def test_near_copies_of_a_dense_group(spark):
     assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == sorted(set(five_word_groups(texts)))
 
 
+CLASHING = [(None, "n " * 150, "p"), (None, "m " * 90, "p"), (None, "m " * 90, "p"), (7, "r1 r2 r3 " * 60, "p"), (7, "r1 r2 r3 " * 60, "p"), (7, "r1 r2 r3 " * 60, "q"),
+            (8, "short one", "q"), (8, " ".join(f"long{i}" for i in range(700)), "q"), (9, None, "q"), (None, None, None), (10, "tail " * 130, None)]
+
+
+def clashing(spark):
+    rows = [(d, f"{t} {i}" if t and i in (0, 1) else t, "en", s, len(t or "")) for i, (d, t, s) in enumerate(CLASHING)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    df, rows = clashing(spark)
+    root = five_word_groups([r[1] for r in rows])
+    want = []
+    for g in sorted(set(root)):
+        own = [r for r, x in zip(rows, root) if x == g]
+        want.append(min((r[0] is None, r[0] or 0) for r in own))
+    got = near_copies.keep_one(df.repartition(4)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want)
+    texts = [r[1] for r in rows]
+    assert sorted(root[texts.index(r.text)] for r in got) == sorted(set(root))
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    df, _ = clashing(spark)
+    want = Counter((r.doc_id, r.source, r.taken) for r in mixing.mixed_sizes(df).collect() if r.taken)
+    rows = mixing.mixed_texts(df).collect()
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in rows) == want
+    assert all(r.n_chars == len(r.text) for r in rows)
+    again = mixing.mixed_texts(df.repartition(5)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
 def test_shards(odd_docs, texts):
     rows = sharding.shard_records(odd_docs, range_bytes=2000).collect()
     assert len(rows) == len(texts)
