@@ -40,6 +40,7 @@ HELD_WORDS = 1 << 21
 SLICE_BYTES = 4 << 20
 MOST_BITS = 1 << 27
 HOT = 1_000_000
+PARTS = 64
 BREAK = b"\xff"  # no byte of any text
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
 
@@ -229,8 +230,9 @@ def phrases(docs: DataFrame, top: int = TOP) -> DataFrame:
         if open_.isEmpty():
             break
     best = attach(_surviving(pairs, found), floors, ["lang"], hot).where("score >= floor")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase")))
-    best = best.withColumn("rank", rank).where(F.col("rank") <= top)
+    for spread in (F.pmod(F.xxhash64("phrase"), F.lit(PARTS)), F.lit(0)):  # first the best of each part of a language
+        order = Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))
+        best = best.withColumn("part", spread.cast("int")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
@@ -238,9 +240,10 @@ def _floors(pairs: DataFrame, open_: DataFrame, want: int | None) -> DataFrame:
     """(lang, floor) of the open languages: the score of the ``want``-th pair, 0 where there are fewer."""
     if want is None:
         return open_.select("lang", F.lit(0).cast("long").alias("floor"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-    last = pairs.select("lang", "score").withColumn("rank", rank).where(F.col("rank") <= want).groupBy("lang").agg(F.max("rank").alias("have"), F.min("score").alias("low"))
-    low = F.when(F.col("have") >= want, F.col("low")).otherwise(F.lit(0)).cast("long")
+    steps = pairs.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))  # scores are 0 to 1000000, so a language has few
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score")))
+    last = steps.withColumn("have", above).where(F.col("have") >= want).groupBy("lang").agg(F.max("score").alias("low"))
+    low = F.col("low")
     return written(open_.join(last, "lang", "left").select("lang", F.coalesce(low, F.lit(0).cast("long")).alias("floor")), "floors")
 
 
