@@ -14,12 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.graph import connected
 from lotwise.functions.scale import HOT_ROWS, attach, hot_groups
-from lotwise.operators.curate import rounds_until
 from lotwise.operators.splits import first_k
 from lotwise.session import cut_lineage
 
 CHUNK = 2048
+PACK_ROWS = 20_000  # entries of a component that one task walks
 
 
 def _unit(m: np.ndarray, floor: float = 1e-9) -> np.ndarray:
@@ -46,9 +47,21 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None
     """k most similar bank rows per query: columns (*by, qid, bid, sim).
 
     ``queries`` and ``bank`` carry (*by, id, vec[, tag]). A pair counts only inside one ``by`` group, between different
-    ids, and (with ``tag``) between different tags. Groups larger than ``chunk`` are cut into chunks; small groups are
-    packed together so that a tile is worth a Python call."""
+    ids, and (with ``tag``) between different tags. Small groups are compared whole, packed together so that a tile is
+    worth a Python call; groups of more than ``chunk`` bank rows go through ``PrunedBank``. Both are exact."""
     by = by or []
+    if not by:
+        return PrunedBank(bank, k, tag=tag, chunk=chunk).nearest(queries) if bank.limit(chunk + 1).count() > chunk else _compared_whole(queries, bank, k, by, tag, chunk)
+    hot = hot_groups(bank, by, chunk)
+    if hot is None:
+        return _compared_whole(queries, bank, k, by, tag, chunk)
+    hot = cut_lineage(hot)  # at most rows / chunk groups
+    cold = _compared_whole(queries.join(hot, by, "left_anti"), bank.join(hot, by, "left_anti"), k, by, tag, chunk)
+    return cold.unionByName(PrunedBank(bank.join(hot, by, "left_semi"), k, by=by, tag=tag, chunk=chunk).nearest(queries.join(hot, by, "left_semi")))
+
+
+def _compared_whole(queries: DataFrame, bank: DataFrame, k: int, by: list[str], tag: str | None, chunk: int) -> DataFrame:
+    """All queries of a group with all its bank rows, in tiles."""
     tags = [tag] if tag else []
     size = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n)) if by else df.agg(F.count(F.lit(1)).alias(n))
     if by:
@@ -71,6 +84,13 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None
     schema = ", ".join([*[f"{c} {types[c]}" for c in by], f"qid {types['id']}", f"bid {dict(bank.dtypes)['id']}", "sim double"])
     names = [*by, "qid", "bid", "sim"]
 
+    tiles = q.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(_top_tile(by, tags, k, names), schema)
+    return first_k(tiles, [*by, "qid"], [F.desc("sim"), F.col("bid")], k)
+
+
+def _top_tile(by: list[str], tags: list[str], k: int, names: list[str]):
+    """Of a tile's rows on either side: the k most similar per query."""
+
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         groups = right.groupby(by, sort=False).indices if by else {None: np.arange(len(right))}
@@ -83,8 +103,8 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None
             sim = _unit(_matrix(a["vec"])) @ _unit(_matrix(c["vec"])).T
             qi, bi = a["id"].to_numpy(), c["id"].to_numpy()
             sim[qi[:, None] == bi[None, :]] = -np.inf
-            if tags:
-                sim[a[tag].to_numpy()[:, None] == c[tag].to_numpy()[None, :]] = -np.inf
+            for t in tags:
+                sim[a[t].to_numpy()[:, None] == c[t].to_numpy()[None, :]] = -np.inf
             n = min(k, sim.shape[1])
             top = np.argsort(-sim, axis=1, kind="stable")[:, :n]
             vals = np.take_along_axis(sim, top, axis=1)
@@ -97,8 +117,126 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None
             out.append(block[names])
         return pd.concat(out, ignore_index=True) if out else _empty(names)
 
-    tiles = q.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(tile, schema)
-    return first_k(tiles, [*by, "qid"], [F.desc("sim"), F.col("bid")], k)
+    return tile
+
+
+class PrunedBank:
+    """Exact nearest neighbours that visit only those cells of the bank that can hold one.
+
+    About 4 sqrt(rows) bank vectors serve as centres; a bank row lies in the cell of its nearest centre, and a cell knows its
+    radius (the largest angle to the centre). Angles obey the triangle inequality, so no row of a cell is nearer to a query
+    than the angle to the centre less the radius. A query first searches its nearest cells, until they hold twice the rows
+    it asks for; its k-th find is the bound, and a second join visits those other cells that can beat or equal it. What is
+    compared follows how clustered the bank is: of vectors without any structure every cell is visited.
+
+    Cells are kept per ``by`` group and cut into chunks of rows, so a crowded one is many tasks. At most ``MOST_CENTRES``
+    centres, and with groups at most as many (cell, radius) entries per row, go to the tasks."""
+
+    MOST_CENTRES = 1024
+    SLACK = 1e-7  # more than arccos loses near 1
+
+    def __init__(self, bank: DataFrame, k: int, *, by: list[str] | None = None, tag: str | None = None, chunk: int = CHUNK):
+        self.k, self.by, self.tags, self.chunk = k, by or [], [tag] if tag else [], chunk
+        types = dict(bank.dtypes)
+        count = min(self.MOST_CENTRES, 4 * math.isqrt(bank.count()) + 1)
+        pick = bank.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").collect()
+        self.centres = centres = _unit(np.array([r["vec"] for r in pick], dtype=np.float64)) if pick else np.ones((1, 1))
+        carried = [*self.by, "id", "vec", *self.tags]
+        self.types = {c: types[c] for c in carried}
+
+        def place(batches):
+            for pdf in batches:
+                if len(pdf):
+                    ang = _angles(pdf["vec"], centres)
+                    cell = ang.argmin(1)
+                    yield pdf.assign(_cell=cell.astype(np.int32), _ang=ang[np.arange(len(pdf)), cell])
+
+        placed = bank.select(*carried).mapInPandas(place, ", ".join([*[f"{c} {t}" for c, t in self.types.items()], "_cell int", "_ang double"]))
+        self.placed = cut_lineage(placed)
+        self.cells = cut_lineage(self.placed.groupBy(*self.by, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_ang").alias("_r")))
+        known = F.array_sort(F.collect_list(F.struct("_cell", "_r", "_n"))).alias("_known")
+        self.known = self.cells.groupBy(*self.by).agg(known).select(*self.by, *[F.col(f"_known.{c}").alias(f"_k{c}") for c in ("_cell", "_r", "_n")])
+        self._hot = hot_groups(self.placed, self.by, HOT_ROWS) if self.by else None
+
+    def _visits(self, queries: DataFrame, second: bool) -> DataFrame:
+        """Queries with ``_cell``, once per cell to visit; in the second round (with ``_bound``) without those of the first."""
+        centres, k, by, slack = self.centres, self.k, self.by, self.SLACK
+        arrays = ["_k_cell", "_k_r", "_k_n"]
+        whole = None
+        if by:
+            rows = attach(queries, self.known, by, self._hot)
+        else:  # one line for all queries
+            line = self.known.first()
+            whole = [np.array(line[c]) for c in arrays] if line else [np.zeros(0)] * 3
+            rows = queries
+        keep = [*self.types, *(["_bound"] if second else [])]
+        rows = rows.select(*keep, *(arrays if by else []))
+
+        def choose(pdf: pd.DataFrame, cells, radius, n) -> pd.DataFrame:
+            if not len(cells):
+                return pdf[list(self_types)].iloc[:0].assign(_cell=np.zeros(0, np.int32))
+            cells = cells.astype(np.int64)
+            ang = _angles(pdf["vec"], centres[cells])
+            order = np.argsort(ang, axis=1, kind="stable")
+            held = np.cumsum(n[order], axis=1) - n[order]
+            want = np.zeros(ang.shape, bool)
+            np.put_along_axis(want, order, held < 2 * k + 1, axis=1)
+            if second:
+                bound = np.arccos(np.clip(pdf["_bound"].fillna(-1.0).to_numpy(), -1, 1))
+                want = ~want & (ang - radius[None, :] <= bound[:, None] + slack)
+            at, cell = np.nonzero(want)
+            return pdf[list(self_types)].iloc[at].assign(_cell=cells[cell].astype(np.int32))
+
+        self_types = list(self.types)
+
+        def run(batches):
+            for pdf in batches:
+                for s in range(0, len(pdf), 1024):
+                    part = pdf.iloc[s : s + 1024]
+                    if whole is not None:
+                        yield choose(part, *whole)
+                        continue
+                    for rows_at in part.groupby(by, sort=False, dropna=False).indices.values():
+                        own = part.iloc[rows_at]
+                        yield choose(own, *(np.asarray(own[c].iloc[0]) for c in arrays))
+
+        return rows.mapInPandas(run, ", ".join([*[f"{c} {t}" for c, t in self.types.items()], "_cell int"]))
+
+    def _searched(self, visits: DataFrame) -> DataFrame:
+        key = [*self.by, "_cell"]
+        sizes = self.cells.select(*key, "_n").join(visits.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")), key)
+        parts = lambda n: F.ceil(F.col(n) / self.chunk).cast("long")
+        tiles = cut_lineage(sizes.select(*key, parts("_n").alias("_nh"), parts("_m").alias("_np")))
+        part = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n))
+        copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        crowded = hot_groups(self.placed, key, HOT_ROWS)
+        fresh = lambda d: d.select([F.col(c).alias(c) for c in d.columns])
+        home = fresh(attach(fresh(self.placed), tiles, key, crowded).select(*self.types, "_cell", part("_nh", 1).alias("_h"), copies("_np").alias("_p")))
+        probe = fresh(attach(fresh(visits), fresh(tiles), key, crowded).select(*self.types, "_cell", part("_np", 2).alias("_p"), copies("_nh").alias("_h")))
+        names = [*self.by, "qid", "bid", "sim"]
+        schema = ", ".join([*[f"{c} {self.types[c]}" for c in self.by], f"qid {self.types['id']}", f"bid {self.types['id']}", "sim double"])
+        at = [*key, "_h", "_p"]
+        return probe.groupBy(*at).cogroup(home.groupBy(*at)).applyInPandas(_top_tile(self.by, self.tags, self.k, names), schema)
+
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        queries = queries.select(*self.types)
+        best = [*self.by, "qid"]
+        self.first = cut_lineage(self._visits(queries, False))
+        found = cut_lineage(first_k(self._searched(self.first), best, [F.desc("sim"), F.col("bid")], self.k))
+        bound = found.groupBy(*best).agg(F.when(F.count(F.lit(1)) >= self.k, F.min("sim")).alias("_bound"))
+        asked = queries.join(bound.withColumnRenamed("qid", "id"), [*self.by, "id"], "left")
+        self.second = cut_lineage(self._visits(asked, True))
+        return first_k(found.unionByName(self._searched(self.second)), best, [F.desc("sim"), F.col("bid")], self.k)
+
+    def compared(self) -> int:
+        """Pairs that the last search compared."""
+        key = [*self.by, "_cell"]
+        visits = self.first.select(*key).unionByName(self.second.select(*key))
+        return visits.join(self.cells, key).agg(F.sum("_n")).first()[0] or 0
+
+
+def _angles(vecs: pd.Series, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(_matrix(vecs)) @ centres.T, -1, 1))
 
 
 def knn_distance(queries: DataFrame, bank: DataFrame, k: int, *, by: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -221,68 +359,121 @@ def near_dup_partners(df: DataFrame, key: str, vec: str, group: str, min_cos: fl
     return out.where("partners is not null or spans_groups").withColumn("partners", F.coalesce("partners", F.lit(0)))
 
 
-def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float, exempt: Column | None = None, **kw) -> DataFrame:
+def near_dup_keep(df: DataFrame, key: str, vec: str, group: str, min_cos: float, exempt: Column | None = None, pack: int = PACK_ROWS, **kw) -> DataFrame:
     """Greedy near-duplicate removal in key order: a row is dropped when an earlier kept row of another group is similar.
 
     Rows that are ``exempt`` (a source whose items are alike by design) take no part: they stay and drop nobody. So do
     null and zero vectors, which have no direction (``min_cos`` is above 0).
 
-    Rows with one vector and one group share their fate, so the pass runs on (vector, group) entries. Each round every
-    vector hears from its similar vectors only the two earliest entries of different groups that are not dropped: enough
-    to decide, and independent of how many rows or near copies stand behind it. The first entry of a dense cluster is
-    kept in the first round and the rest of the cluster falls in the next, so rounds follow the depth of the chains."""
+    Rows with one vector and one group share their fate, so the work is on (vector, group) entries. One similarity pass
+    returns links enough to connect what is similar, not its pairs. What no link touches is decided at once. Components of
+    at most ``pack`` entries are packed into tasks, each of which walks its entries in order and compares them with the
+    kept ones only. Of larger components the first ``pack`` entries are walked in one task, those they kept knock out
+    later entries in one distributed pass, and the rest goes on: every round settles ``pack`` entries and all that
+    resemble what was kept of them, whatever the length of chains."""
     free = ~F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
     if exempt is not None:
         free = free | F.coalesce(exempt, F.lit(False))
     apart = df.where(free).withColumn("keep", F.lit(True))
     df = df.where(~free)
     rows = df.withColumn("_k", vector_key(vec))
-    nodes = rows.groupBy("_k").agg(F.min(key).alias("id"), F.first(vec).alias("vec"))
+    nodes = cut_lineage(rows.groupBy("_k").agg(F.min(key).alias("id"), F.first(vec).alias("vec")))
     cells = CosineCells(nodes.select("id", "vec"), min_cos, **kw)
     entries = rows.groupBy("_k", group).agg(F.min(key).alias("seq")).join(nodes.select("_k", F.col("id").alias("node")), "_k")
-    entries = entries.select("_k", "node", F.col(group).alias("grp"), "seq", F.lit(0).alias("st"))
-    types = dict(entries.dtypes)
-
-    def two_first(x: DataFrame) -> DataFrame:
-        """The earliest entry per node and the earliest one of another group, as a short array."""
-        per_group = x.groupBy("node", "grp").agg(F.min(F.struct("seq", "st")).alias("m"))
-        two = first_k(per_group.select("node", "grp", "m.seq", "m.st"), ["node"], [F.col("seq")], 2)
-        return two.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "grp", "st"))).alias("two"))
-
-    def hear(left, right, sim):
-        owner = np.repeat(np.arange(len(left)), [len(x) for x in left["two"]])
-        said = [e for x in left["two"] for e in x]
-        get = (lambda e, f: e[f]) if isinstance(said[0], dict) else getattr
-        seq = np.array([get(e, "seq") for e in said])
-        grp, st = np.array([get(e, "grp") for e in said], dtype=object), np.array([get(e, "st") for e in said])
-        near = (sim >= min_cos) | (left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :])
-        order = np.argsort(seq, kind="stable")
-        owner, seq, grp, st = owner[order], seq[order], grp[order], st[order]
-        near = near[owner]
-        one = near.argmax(0)
-        has = near[one, np.arange(near.shape[1])]
-        second = near & (grp[:, None] != grp[one][None, :])
-        two = second.argmax(0)
-        has2 = second[two, np.arange(near.shape[1])]
-        ids = right["id"].to_numpy()
-        i = np.concatenate([one[has], two[has2]])
-        return pd.DataFrame({"node": np.concatenate([ids[has], ids[has2]]), "seq": seq[i], "grp": grp[i], "st": st[i]})
-
-    def step(e: DataFrame) -> DataFrame:
-        alive = two_first(e.where("st < 2")).select(F.col("node").alias("id"), "two")
-        asking = e.where("st = 0").select(F.col("node").alias("id")).distinct()
-        said = cells.run(hear, f"node {cells.id_type}, seq {types['seq']}, grp {types['grp']}, st int", alive, asking)
-        x = e.join(two_first(said), "node", "left")
-        rival = F.try_element_at(F.filter("two", lambda m: m["grp"] != F.col("grp")), F.lit(1))
-        ahead = F.coalesce(rival["seq"] < F.col("seq"), F.lit(False))
-        st = F.when(F.col("st") > 0, F.col("st")).when(~ahead, 1).when(rival["st"] == 1, 2).otherwise(0)
-        return x.select("_k", "node", "grp", "seq", st.alias("st"))
-
-    done = rounds_until(entries, step, F.col("st") == 0)
-    fate = done.select("_k", F.col("grp").alias(group), (F.col("st") == 1).alias("keep"))
+    t, g = cells.id_type, dict(df.dtypes)[group]
+
+    def forest(left, right, sim):
+        x, y = np.nonzero(sim >= min_cos)
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        of = np.full(len(right), len(left))
+        own = np.arange(len(left))
+        while True:  # the smallest row on the left that a row is linked to, passed on until nothing changes
+            np.minimum.at(of, y, own[x])
+            now = own.copy()
+            np.minimum.at(now, x, of[y])
+            if (now == own).all():
+                break
+            own = now
+        linked = of < len(left)
+        from_, to = np.concatenate([a, b[linked]]), np.concatenate([a[own], a[of[linked]]])
+        return pd.DataFrame({"a": from_[from_ != to], "b": to[from_ != to]})
+
+    roots = connected(cells.run(forest, f"a {t}, b {t}"))
+    entries = entries.join(roots, "node", "left").select("_k", "node", F.col(group).alias("grp"), "seq", F.coalesce("root", "node").alias("root"))
+    entries = cut_lineage(entries)
+    size = entries.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(size.where(F.col("_n") > pack).select("root"))  # at most entries / pack
+    alone = size.where("_n = 1").select("root")
+    fate = entries.join(alone, "root", "left_semi").select("_k", "grp", F.lit(True).alias("keep"))
+    some = entries.join(alone, "root", "left_anti").join(F.broadcast(large), "root", "left_anti")
+    some = some.join(nodes.select("_k", "vec"), "_k")
+    walk = _walk(min_cos)
+    schema = f"_k string, grp {g}, keep boolean"
+    packs = max(1, math.ceil(entries.count() / pack))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([walk(own) for _, own in pdf.groupby("root", sort=False)], ignore_index=True)
+
+    fate = fate.unionByName(some.groupBy(F.pmod(F.xxhash64("root"), F.lit(packs))).applyInPandas(packed, schema))
+    if not large.isEmpty():
+        fate = fate.unionByName(_settled_in_rounds(entries.join(F.broadcast(large), "root", "left_semi"), nodes, cells, walk, schema, g, min_cos, pack))
+    fate = cut_lineage(fate).withColumnRenamed("grp", group)
     return attach(rows, fate, ["_k", group], hot_groups(rows, ["_k", group])).drop("_k").select(*apart.columns).unionByName(apart)
 
 
+def _walk(min_cos: float, block: int = 256):
+    """Greedy pass over entries (_k, grp, seq, vec) in the order of ``seq``."""
+    apart = lambda a, b: (a != b) & (a >= 0) & (b >= 0)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        u, grp = _unit(_matrix(pdf["vec"])), pd.factorize(pdf["grp"])[0]  # a null group, -1, is apart from none
+        node, keep = pd.factorize(pdf["_k"])[0], np.zeros(len(pdf), bool)
+        for s in range(0, len(pdf), block):
+            e = min(s + block, len(pdf))
+            kept = np.flatnonzero(keep[:s])
+            lost = np.zeros(e - s, bool)
+            for c in range(0, len(kept), 8192):
+                had = kept[c : c + 8192]
+                near = (u[s:e] @ u[had].T >= min_cos) | (node[s:e, None] == node[None, had])
+                lost |= (near & apart(grp[s:e, None], grp[None, had])).any(1)
+            inner = ((u[s:e] @ u[s:e].T >= min_cos) | (node[s:e, None] == node[None, s:e])) & apart(grp[s:e, None], grp[None, s:e])
+            for i in range(e - s):
+                if not lost[i]:
+                    keep[s + i] = True
+                    lost[i + 1 :] |= inner[i, i + 1 :]
+        return pd.DataFrame({"_k": pdf["_k"].to_numpy(), "grp": pdf["grp"].to_numpy(), "keep": keep})
+
+    return walk
+
+
+def _settled_in_rounds(entries: DataFrame, nodes: DataFrame, cells: CosineCells, walk, schema: str, g: str, min_cos: float, pack: int) -> DataFrame:
+    """Fates of the entries of large components, the first ``pack`` of them a round."""
+
+    def knock(left, right, sim):
+        """Of each vector: the smallest and largest group among similar kept entries; two different ones drop all entries."""
+        near = (sim >= min_cos) | (left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :])
+        low, high = left["g_lo"].to_numpy(), left["g_hi"].to_numpy()
+        hit = np.flatnonzero(near.any(0))
+        return pd.DataFrame({"node": right["id"].to_numpy()[hit], "lo": [low[near[:, c]].min() for c in hit], "hi": [high[near[:, c]].max() for c in hit]})
+
+    left, fate = cut_lineage(entries.select("_k", "node", "grp", "seq")), None
+    while not left.isEmpty():
+        first = cut_lineage(left.orderBy("seq").limit(pack))
+        told = first.join(nodes.select("_k", "vec"), "_k").groupBy().applyInPandas(walk, schema)
+        told = cut_lineage(told)
+        kept = told.where("keep and grp is not null").join(nodes.select("_k", F.col("id")), "_k").groupBy("id").agg(F.min("grp").alias("g_lo"), F.max("grp").alias("g_hi"))
+        rest = left.join(first.select("_k", "grp"), ["_k", "grp"], "left_anti")
+        asking = rest.select(F.col("node").alias("id")).distinct()
+        heard = cells.run(knock, f"node {cells.id_type}, lo {g}, hi {g}", kept, asking).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        rest = rest.join(heard, "node", "left").withColumn("_out", F.coalesce((F.col("lo") != F.col("grp")) | (F.col("hi") != F.col("grp")), F.lit(False)))
+        rest = cut_lineage(rest)
+        told = told.unionByName(rest.where("_out").select("_k", "grp", F.lit(False).alias("keep")))
+        fate = told if fate is None else fate.unionByName(told)
+        left = cut_lineage(rest.where("not _out").select("_k", "node", "grp", "seq"))
+    return fate
+
+
 # ---------------------------------------------------------------- binary hashes
 
 def hamming_partners(df: DataFrame, key: str, bits: str, max_bits: int = 8, bands: int = 4, width: int = 16, hot: int = 4096) -> DataFrame:

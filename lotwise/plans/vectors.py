@@ -13,6 +13,7 @@ from lotwise.operators import vectors as X
 from lotwise.plans.metrics import rnd
 from lotwise.plans.registry import query
 from lotwise.plans.sqltext import EMB, ITEMS, LOTS, SCORES, r6
+from lotwise.session import cut_lineage
 
 NEAR = 0.35  # the highest cosine in the test vectors is about .51, so the shipped .998 would find nothing
 UNIT = """un AS (SELECT *, list_transform(e, lambda x: x/greatest(sqrt(list_sum(list_transform(e, lambda y: y*y))),1e-9)) AS u FROM emb)"""
@@ -56,6 +57,16 @@ def near_dup_texts(t):
     return rnd(X.near_dup_partners(v, "doc_id", "u", "source", C.NEAR_DUP_COS), ["id", "copies", "spans_groups", "partners", "first_partner"], "best_cos")
 
 
+@query("near_dup_keep_texts", f"""WITH RECURSIVE {LETTER_SQL}, o AS MATERIALIZED (SELECT doc_id, source, u, row_number() OVER (ORDER BY doc_id) AS i FROM un WHERE list_dot_product(c,c) > 0),
+ nb AS (SELECT b.i, list(a.i) AS prev FROM o a JOIN o b ON a.i < b.i AND a.source <> b.source AND list_dot_product(a.u,b.u) >= 0.998e0 GROUP BY b.i), n2 AS MATERIALIZED (SELECT o.i, coalesce(prev, []) AS prev FROM o LEFT JOIN nb USING (i)),
+ st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT k+1, CASE WHEN list_has_any(kept, n2.prev) THEN kept ELSE list_append(kept, k+1) END FROM st JOIN n2 ON n2.i = k+1)
+ SELECT un.doc_id, o.i IS NULL OR list_contains((SELECT kept FROM st ORDER BY k DESC LIMIT 1), o.i) AS keep FROM un LEFT JOIN o USING (doc_id)""")
+def near_dup_keep_texts(t):
+    """Greedy removal over the letter counts of all documents at the shipped threshold."""
+    vectors = cut_lineage(letter_vectors(t))  # written once: a filter on them would count the letters anew for every component
+    return X.near_dup_keep(vectors, "doc_id", "u", "source", C.NEAR_DUP_COS).select("doc_id", "keep")
+
+
 BITS = """bt AS (SELECT vec_id, source, list_aggregate(list_transform(e, lambda x: CASE WHEN x > 0.12e0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM emb)"""
 
 

@@ -69,8 +69,8 @@ def greedy_near(ids, vecs, groups, t):
     return out
 
 
-@pytest.mark.parametrize("seed,t,chunk", [(0, 0.9, 16), (1, 0.98, 8), (2, 0.5, 50)])
-def test_near_dup_keep(spark, seed, t, chunk):
+@pytest.mark.parametrize("seed,t,chunk,pack", [(0, 0.9, 16, 500), (1, 0.98, 8, 6), (2, 0.5, 50, 9)])
+def test_near_dup_keep(spark, seed, t, chunk, pack):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(12, 6))
     vecs = np.concatenate([base[rng.integers(0, 12, 70)] + rng.normal(0, 0.25, (70, 6)), np.repeat(base[:1], 30, 0)])  # the last 30 are copies
@@ -78,7 +78,7 @@ def test_near_dup_keep(spark, seed, t, chunk):
     ids = rng.permutation(1000)[:100]
     df = spark.createDataFrame([(int(i), [float(x) for x in v], g) for i, v, g in zip(ids, vecs, groups)], "id long, v array<double>, g string")
     df = df.withColumnRenamed("id", "key")
-    got = {r["key"]: r.keep for r in X.near_dup_keep(df, "key", "v", "g", t, pivots=5, chunk=chunk).collect()}
+    got = {r["key"]: r.keep for r in X.near_dup_keep(df, "key", "v", "g", t, pivots=5, chunk=chunk, pack=pack).collect()}
     assert got == greedy_near(ids, vecs, groups, t)
 
 
@@ -145,6 +145,62 @@ def test_nearest_in_chunks(spark):
         assert got[i] == pytest.approx(np.mean(d[:3]))
 
 
+def plain_nearest(ids, u, k, groups=None, tags=None):
+    out = set()
+    for i in range(len(ids)):
+        sims = u @ u[i]
+        fine = [j for j in range(len(ids)) if j != i and (groups is None or groups[j] == groups[i]) and (tags is None or tags[j] != tags[i])]
+        out |= {(ids[i], ids[j]) for j in sorted(fine, key=lambda j: (-round(sims[j], 9), ids[j]))[:k]}
+    return out
+
+
+@pytest.mark.parametrize("by,tag", [(False, False), (False, True), (True, False), (True, True)])
+def test_nearest_by_pruned_cells(spark, by, tag):
+    """One group holds most rows, copies tie by id, one tag holds nearly all rows near it, one vector is zero."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(9, 5))
+    v = base[rng.integers(0, 9, 300)] + rng.normal(0, 0.05, (300, 5))
+    v[40:60] = v[40]
+    v[70] = 0
+    groups, tags = np.where(rng.random(300) < 0.7, "hot", rng.choice(["a", "b"], 300)), np.where(v[:, 0] > 0, "x", "y")
+    ids = rng.permutation(900)[:300]
+    df = spark.createDataFrame([(int(i), str(g), str(t), [float(x) for x in a]) for i, g, t, a in zip(ids, groups, tags, v)], "id long, grp string, tag string, vec array<double>")
+    got = X.nearest(df, df, 3, by=["grp"] if by else None, tag="tag" if tag else None, chunk=50).collect()
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    zero = int(ids[70])
+    want = plain_nearest([int(i) for i in ids], u, 3, groups if by else None, tags if tag else None)
+    assert {(r.qid, r.bid) for r in got if r.qid != zero} == {p for p in want if p[0] != zero}
+    assert len(got) == len(want)
+
+
+def test_pruned_pairs_grow_less_than_the_square(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6400, 8))
+    took = []
+    for n in (400, 1600, 6400):  # clusters of about 40
+        v = base[rng.integers(0, n // 40, n)] + rng.normal(0, 0.03, (n, 8))
+        df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "vec": list(v)}))
+        bank = X.PrunedBank(df, 5)
+        assert bank.nearest(df).count() == 5 * n
+        took.append(bank.compared())
+    assert took[0] < 400**2 / 2 and all(b < 10 * a for a, b in zip(took, took[1:])), took
+
+
+def test_nearest_of_few_and_none(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, vec array<double>")
+    assert X.PrunedBank(df, 9).nearest(df).count() == 20  # every other row
+    assert X.PrunedBank(df.limit(0), 3).nearest(df).count() == 0
+
+
+@pytest.mark.parametrize("pack", [3, 50, 5000])
+def test_near_dup_keep_long_chain(spark, pack):
+    """400 vectors, each near only to its neighbours: every other one stays, in a handful of rounds."""
+    step = 0.01
+    df = spark.createDataFrame([(i, [float(np.cos(step * i)), float(np.sin(step * i))], i) for i in range(90 if pack == 3 else 400)], "key int, v array<double>, g int")
+    got = {r["key"]: r.keep for r in X.near_dup_keep(df, "key", "v", "g", float(np.cos(1.5 * step)), pivots=3, pack=max(pack, 20)).collect()}
+    assert got == {i: i % 2 == 0 for i in got}
+
+
 def test_hamming_partners(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2, (6, 64))

@@ -126,3 +126,15 @@ def test_validation_split_rounding(spark):
     floor = {r.k: r.n for r in P.validation_split(df, ["k"], "i", "s", 0.12).groupBy("k").agg(F.count_if("is_val").alias("n")).collect()}
     near = {r.k: r.n for r in P.validation_split(df, ["k"], "i", "s", 0.1, "round").groupBy("k").agg(F.count_if("is_val").alias("n")).collect()}
     assert floor == {"a": 1, "b": 1, "c": 3} and near == {"a": 1, "b": 1, "c": 2}
+
+
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_connected(spark, one_task):
+    """A path of 60, a star, a ring, a pair given twice and from both ends, and a link to itself."""
+    from lotwise.functions.graph import connected
+
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 301), (301, 300), (300, 301), (400, 400)]
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
+    want = {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 30)} | {200 + i: 200 for i in range(1, 9)} | {301: 300}
+    assert got == want
+    assert connected(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
