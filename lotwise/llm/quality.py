@@ -144,11 +144,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Model:
-    """From documents with a 0 / 1 label that are not held out, at most ``most`` of them."""
+    """From documents with a 0 / 1 label that are not held out, at most ``most`` of them: of rows that share an id that
+    with the smallest text digest."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(most)  # at most ``most`` ids
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text")).select("label", "text")  # one row per id
     got = document_features(texts).collect()
     samples = [(r["label"], np.frombuffer(r["buckets"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.float32)) for r in got]
     samples = [s for s in sorted(samples, key=lambda s: (s[0], s[1].tobytes(), s[2].tobytes())) if len(s[1])]

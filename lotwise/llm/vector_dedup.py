@@ -14,7 +14,8 @@ The grid takes more coordinates the more vectors a label has. Block coordinates
 makes a pair's block distances the same numbers wherever it is seen; budgets allow for the rounding.
 
 Vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing; so
-do vectors of different lengths. Repeated ids are rows of their own. Extra columns are ignored; an empty table gives
+do vectors of different lengths. Rows of one id are rows of their own: they count in each other's links, each has its
+own component, and all of them are kept if the component bears their id. Extra columns are ignored; an empty table gives
 an empty result."""
 
 from __future__ import annotations
@@ -202,8 +203,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     vec = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(usable(F.col(vector_col)) & F.col(id_col).isNotNull(), vec).alias("vec"))
     valid = rows.where("vec is not null and label is not null")
-    distinct = valid.groupBy("label", "vec").agg(F.min("id").alias("uid"), F.count(F.lit(1)).alias("copies"))
-    distinct = written(distinct.withColumn("dims", F.size("vec")), "vectors")
+    distinct = valid.groupBy("label", "vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    distinct = written(distinct.withColumns({"dims": F.size("vec"), "uid": F.monotonically_increasing_id()}), "vectors")  # ids may repeat, uid doesn't
     per_label = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     wanted = F.ceil(F.log(F.greatest(F.col("n") / TARGET_ROWS, F.lit(1.0))) / float(np.log(3)))
     per_label = per_label.select("label", F.greatest(F.lit(1), F.least(F.lit(8), wanted.cast("int") + 1)).alias("grid"))
@@ -212,7 +213,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = found.where("n > 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("others"))
     roots = components(found.where("n = 0").select("a", "b"))
     named = distinct.join(counts, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-    named = named.select("label", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "uid").alias("component_id"))
+    named = named.select("label", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root"), "least")
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = attach(named, first, ["root"], hot_groups(named, ["root"], HOT)).select("label", "vec", "n_links", "component_id")
     linked = attach(valid, named, ["label", "vec"], hot_groups(valid, ["label", "vec"], HOT)).select("id", "n_links", "component_id")
     alone = rows.where("vec is null or label is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)

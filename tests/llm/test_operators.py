@@ -320,13 +320,78 @@ def test_sql_twins(spark, name):
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
 
 
+def test_vector_dedup_repeated_ids(spark):
+    """One id on two vectors, on two labels, and on equal rows."""
+    a, b, far = [1.0, 0.0], [1.0, 0.05], [0.0, 1.0]
+    rows = [(1, a, 0), (1, b, 0), (5, b, 0), (1, far, 0), (1, a, 7), (9, b, 7), (5, far, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (5, 0, 5, True), (5, 2, 1, False), (9, 1, 1, False)]
+
+
+def test_quality_bounds_rows_of_one_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda samples: seen.extend(samples) or quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0))
+    docs = spark.createDataFrame([(3, f"text {i % 7}") for i in range(300)] + [(4, "other"), (6, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    for most in (1, 2, 5):
+        seen.clear()
+        quality.train(docs, labels, most=most)
+        assert len(seen) <= most
+
+
+def plain_near_copies(rows):
+    """Of (doc_id, text): the kept rows, by comparing all pairs of shingle sets."""
+    def shingle_set(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingle_set(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    root, best = groups(len(rows), near), {}
+    for i, r in enumerate(rows):
+        best.setdefault(root[i], []).append((r[0] is None, r[0] or 0, str(r[1])))
+    return sorted(min(v)[:2] for v in best.values())
+
+
 def test_pipeline(spark):
+    """Every stage against a plain version of it, on the documents and planted rows; then the whole chain."""
     import corpus_pipeline
+    import public_tokenizers as P
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.orderBy("doc_id").where("length(text) > 900").limit(6).collect()
+    planted = [(900 + i, r.text.replace(r.text.split()[40], "planted", 1), "en", "p", 1) for i, r in enumerate(first)]
+    planted += [(None, first[0].text, "en", "p", 1), (None, None, "en", None, 0), (7777, "", None, None, 0), (first[1].doc_id, first[1].text, "fr", "q", 1), (first[2].doc_id, "quite another text under a used id " + first[3].text[:300], "en", "q", 1)]
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
     good = corpus_pipeline.quality_stage(spark, docs, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model, want = quality.train(docs, labels), Counter()
+    for r in docs.collect():
+        words = [w.encode() for w in (r.text or "").split()]
+        sums, n = 0.0, 0
+        for w in words:
+            _, buckets = quality.word_features([w])
+            sums, n = sums + float(model.parts[buckets].sum()), n + len(buckets)
+        again = sum(x == y for x, y in zip(words, words[1:]))
+        sums, n = sums + again * float(model.parts[quality.AGAIN]), n + again
+        score = 1 / (1 + np.exp(-np.clip((sums / n if n else 0) + model.bias, -50, 50)))
+        want[(r.doc_id, r.text)] += int(score >= quality.ACCEPT)
     assert good.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in good.collect()) == +want
     one = corpus_pipeline.near_copies_stage(spark, good, SF)
-    near = simhash.near_duplicates(good).where("doc_id = component_id").count()
-    assert one.count() == near
-    assert corpus_pipeline.run(spark, SF).count() == corpus_pipeline.mix_stage(spark, one, SF).count()
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect())
+    assert got == plain_near_copies([(r.doc_id, r.text) for r in good.collect()])
+    mixed = corpus_pipeline.mix_stage(spark, one, SF).collect()
+    words = {(r.doc_id, r.source): Counter((r.text or "").split()) for r in one.collect()}
+    for r in mixed:  # only a document's own words, at most three times each of their number
+        own = words[r.doc_id, r.source]
+        assert set((r.text or "").split()) <= set(own) and len((r.text or "").split()) <= 3 * sum(own.values())
+    enc = byte_bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    plain = sorted(hashlib.sha256(" ".join(map(str, enc.encode_ordinary(r.text or ""))).encode()).hexdigest() for r in mixed)
+    rows = corpus_pipeline.encode_stage(spark, corpus_pipeline.mix_stage(spark, one, SF), SF).collect()
+    assert sorted(r.ids_sha256 for r in rows) == plain
+    chain = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        chain = stage(spark, chain, SF)
+    assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, chain.collect()))
