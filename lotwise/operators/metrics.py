@@ -117,10 +117,11 @@ def mid_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Rank correlation with mid-ranks, and the t statistic its p value is read from."""
+    """Rank correlation with mid-ranks, its t statistic and two-sided p value (0 of a perfect correlation, null of two rows)."""
     r = mid_ranks(mid_ranks(df.select(*keys, a, b), keys, a, "_ra"), keys, b, "_rb")
     agg = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
-    return agg.withColumn("t", F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))))
+    agg = agg.withColumn("t", F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))))
+    return agg.withColumn("p", F.when((F.abs("rho") >= 1) & (F.col("n") > 2), 0.0).otherwise(fn.t_two_sided(F.col("t"), F.col("n") - 2)))
 
 
 def majority_baseline(df: DataFrame, keys: list[str], y: str, pred: str) -> DataFrame:

@@ -131,14 +131,20 @@ def auroc(t):
 GRADES = ["click", "view", "purchase", "signup", "error"]
 
 
-@query("spearman_by_grade", f"""WITH {SCORES}, ph AS (SELECT source, "user", kind, list_position(['click','view','purchase','signup','error'], kind)-1 AS grade, avg(CASE WHEN p_good < 0.5e0 THEN 1.0e0 ELSE 0.0e0 END) AS share FROM scores GROUP BY source, "user", kind),
+@query("spearman_by_grade", f"""WITH RECURSIVE {SCORES}, ph AS (SELECT source, "user", kind, list_position(['click','view','purchase','signup','error'], kind)-1 AS grade, avg(CASE WHEN p_good < 0.5e0 THEN 1.0e0 ELSE 0.0e0 END) AS share FROM scores GROUP BY source, "user", kind),
  ph2 AS (SELECT *, round(share, 9) AS sh FROM ph), r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY grade)+(count(*) OVER (PARTITION BY source, grade)-1)/2.0e0 AS ra, rank() OVER (PARTITION BY source ORDER BY sh)+(count(*) OVER (PARTITION BY source, sh)-1)/2.0e0 AS rb FROM ph2),
- s AS (SELECT source, count(*) AS n, corr(ra, rb) AS rho FROM r GROUP BY source) SELECT source, n, {r6('rho')} AS rho, {r6('CASE WHEN abs(rho)<1 THEN rho*sqrt((n-2)/(1-rho*rho)) END')} AS t FROM s""")
+ s AS (SELECT source, count(*) AS n, corr(ra, rb) AS rho FROM r GROUP BY source),
+ tt AS (SELECT *, CASE WHEN abs(rho)<1 THEN rho*sqrt((n-2)/(1-rho*rho)) END AS t FROM s), ab AS (SELECT *, (n-2)/2.0e0 AS a0, (n-2)/(n-2+t*t) AS x0 FROM tt),
+ sd AS (SELECT *, x0 < (a0+1)/(a0+2.5e0) AS low, lgamma(a0+0.5e0)-lgamma(a0)-lgamma(0.5e0)+a0*ln(x0)+0.5e0*ln(1-x0) AS lf FROM ab),
+ pr AS (SELECT *, CASE WHEN low THEN a0 ELSE 0.5e0 END AS a, CASE WHEN low THEN 0.5e0 ELSE a0 END AS b, CASE WHEN low THEN x0 ELSE 1-x0 END AS x FROM sd),
+ cf AS (SELECT source, 1 AS k, 1.0e0 AS c, 0.0e0 AS d, 1.0e0 AS g FROM pr UNION ALL SELECT source, k+1, c, d, g*c*d FROM (
+  SELECT source, k, g, 1+w/c AS c, 1/(1+w*d) AS d FROM (SELECT cf.*, CASE WHEN k%2=0 THEN (k//2)*(b-k//2)*x/((a+2*(k//2)-1)*(a+2*(k//2))) ELSE -(a+k//2)*(a+b+k//2)*x/((a+2*(k//2))*(a+2*(k//2)+1)) END AS w FROM cf JOIN pr USING (source) WHERE k <= 400)))
+ SELECT source, n, {r6('rho')} AS rho, {r6('t')} AS t, {r6('CASE WHEN abs(rho)>=1 AND n>2 THEN 0 WHEN low THEN exp(lf)/g/a ELSE 1-exp(lf)/g/a END')} AS p FROM pr LEFT JOIN (SELECT source, g FROM cf WHERE k = 401) USING (source)""")
 def spearman_by_grade(t):
     order = F.array(*[F.lit(g) for g in GRADES])
     ph = t.scores().groupBy("source", "user", "kind").agg(F.avg(F.when(F.col("p_good") < 0.5, 1.0).otherwise(0.0)).alias("share"))
     ph = ph.select("source", (F.array_position(order, F.col("kind")) - 1).cast("double").alias("grade"), F.round("share", 9).alias("sh"))
-    return rnd(M.spearman(ph, ["source"], "grade", "sh"), ["source", "n"], "rho", "t")
+    return rnd(M.spearman(ph, ["source"], "grade", "sh"), ["source", "n"], "rho", "t", "p")
 
 
 @query("grade_medians", f"""WITH {SCORES} SELECT kind, count(*) AS n, {r6('median(value)')} AS med, {r6('quantile_cont(value,0.1)')} AS p10, {r6('quantile_cont(value,0.9)')} AS p90 FROM scores GROUP BY kind""")

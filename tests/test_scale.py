@@ -138,3 +138,18 @@ def test_connected(spark, one_task):
     want = {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 30)} | {200 + i: 200 for i in range(1, 9)} | {301: 300}
     assert got == want
     assert connected(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
+
+
+def test_t_two_sided(spark):
+    """Against the closed forms of one, two and four degrees of freedom, and tabulated quantiles."""
+    from lotwise.functions import core as fn
+
+    p1 = lambda t: 1 - 2 / np.pi * np.arctan(t)
+    p2 = lambda t: 1 - t / np.sqrt(2 + t * t)
+    p4 = lambda t: 1 - (lambda s: 1.5 * (s - s**3 / 3))(t / np.sqrt(4 + t * t))
+    rows = [(t, d, f(t)) for t in (0.0, 0.01, 0.7, 1.0, 3.0, 40.0) for d, f in ((1, p1), (2, p2), (4, p4))]
+    rows += [(2.2281388519649385, 10, 0.05), (2.5758293035489, 10**7, 0.0100000), (-2.0422724563012373, 30, 0.05)]
+    df = spark.createDataFrame([(float(t), d, float(p)) for t, d, p in rows], "t double, d long, p double")
+    for r in df.select("t", "d", "p", fn.t_two_sided(F.col("t"), F.col("d")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, abs=1e-9 if r.d < 10**6 else 1e-6), r
+    assert df.select(fn.t_two_sided(F.col("t"), F.lit(0)).alias("x")).first().x is None
