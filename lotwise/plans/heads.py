@@ -44,13 +44,17 @@ def proto_answer(t):
 
 @query("logit_head")
 def logit_head(t):
-    """Balanced logistic head on all vectors (MLlib), scored back; rows only."""
-    x = unit_items(t).select("vec_id", "source", "u", "d")
-    model = H.logistic_head(x, "u", "d")
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Balanced logistic head per source with its leave-one-out errors and margin; held against numpy in the tests."""
+    h = H.logit_fit(unit_items(t), ["source"], "vec_id", "u", "d")
+    return h.select("source", "n_good", "n_defect", "loo_errors", fn.r6("m_hi").alias("m_hi"), "refused", fn.r6("bias").alias("bias"))
 
-    s = model.transform(x.withColumn("features", array_to_vector("u"))).select("source", "d", vector_to_array("probability").alias("p"))
-    return s.groupBy("source", "d").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.get("p", 1) >= 0.5).cast("double")), 3).alias("called_defect"))
+
+@query("logit_margins")
+def logit_margins(t):
+    """Leave-one-out margin of every item under its source's logistic head."""
+    h = H.logit_fit(unit_items(t), ["source"], "vec_id", "u", "d")
+    pair = F.explode(F.arrays_zip("items", "margins"))
+    return h.select("source", pair.alias("m")).select("source", F.col("m.items").alias("vec_id"), fn.r6("m.margins").alias("margin"))
 
 
 @query("ml_baselines")
