@@ -32,8 +32,8 @@ ROUNDS = 8
 PAIRS = 512
 LEAST = 8
 STRIDE = 256
-SLICE_BYTES = 16 << 20
-CACHED = 1_500_000
+SLICE_BYTES = 4 << 20
+CACHED = 300_000
 
 
 class WordIds(dict):
