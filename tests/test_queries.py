@@ -21,7 +21,7 @@ def test_query(name, spark, con):
 
 
 def test_only_iterative_ml_has_no_twin():
-    assert sorted(n for n, q in REG.items() if q.sql is None) == ["logit_head", "ml_baselines"]
+    assert sorted(n for n, q in REG.items() if q.sql is None) == ["logit_head", "logit_margins", "ml_baselines"]
 
 
 def test_entry(spark):
