@@ -2,7 +2,8 @@
 
 1. Texts are split into words with their positions (a word is a space and what follows it; it is split further by the
    vocabulary's pattern when it is encoded). Cutting before a space between two non-spaces never cuts a match of the
-   pattern; texts with other runs of white space are split by the pattern itself. A block of texts (``BLOCK_BYTES``)
+   pattern; texts with other runs of white space are cut at white space only, so which characters are letters is left to
+   the library alone. A block of texts (``BLOCK_BYTES``)
    packs its distinct words by a hash into ``buckets`` rows and its positions into one row, in which a word's first
    occurrence is a zero.
 2. The words are shuffled by bucket, so all occurrences of a word meet; each distinct word is encoded once.
@@ -31,6 +32,8 @@ from lotwise.llm.shared import byte_slices, gather, numbers, pack, planes, unpac
 
 BLOCK_BYTES = 12 << 20
 WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+AT_WHITE = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")  # pieces that no match of the pattern crosses
 MARK = "\x1e"  # stands before each space while words are split; texts that contain it go the slow way
 CACHED = 2_000_000
 MAY_BE_WHITE = re.compile(rb"[\xc2\xe1\xe2\xe3]").search  # lead bytes of white space beyond ASCII
@@ -71,14 +74,11 @@ class TokenBytes:
         return gather(self.blob, self.starts, self.lengths, ids).tobytes()
 
 
-def _split(text: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words as bytes, word number by position, words per text)."""
-    import regex
-
     slow = np.asarray(pc.match_substring_regex(text, f"{WHITE}{WHITE}|{MARK}"))
     if slow.any():
-        matches = regex.compile(pattern)
-        lists = [matches.findall(t.as_py()) if s else None for t, s in zip(text, slow)]
+        lists = [AT_WHITE.findall(t.as_py()) if s else None for t, s in zip(text, slow)]
         quick = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(slow), "", text), " ", MARK + " "), MARK)
         lists = [own if own is not None else rest for own, rest in zip(lists, quick.to_pylist())]
         words = pa.array(lists, pa.list_(pa.string()))
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for whole in batches:
             for batch in byte_slices(whole, "text", BLOCK_BYTES):
                 text = pc.fill_null(batch.column(1), "")
-                words, places, counts = _split(text, pattern)  # words are numbered as they first occur
+                words, places, counts = _split(text)  # words are numbered as they first occur
                 bucket = (np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets)
                 first = np.ones(len(places), bool)
                 first[1:] = places[1:] > np.maximum.accumulate(places)[:-1]
