@@ -1,6 +1,6 @@
 """Token ids in grammar-compressed files.
 
-Texts become ids (each distinct word is merged once per worker), documents are dealt by ascending id, and runs of about
+Texts become ids (the library encodes each distinct word once per worker, within ``CACHE_BYTES``), documents are dealt by ascending id, and runs of about
 ``SHARD_IDS`` ids become shards. A shard is compressed by Re-Pair: frequent pairs of neighbours are replaced by new
 symbols, again and again; a round takes the ``PAIRS`` most frequent pairs at once, left to right where they overlap,
 and the rounds end when no pair occurs ``LEAST`` times or after ``ROUNDS`` (how far to compress; any number decodes to
@@ -8,13 +8,13 @@ the same ids). Stored per shard, one row of the file: the rules, every rule's ex
 with the position of each ``STRIDE``-th symbol, and the documents' ids and lengths. So a document, or any span, is
 decoded without the rest of its shard.
 
-Null and empty texts hold the end id alone. Repeated document ids keep one entry per row, in file order; null ids come
-first. Extra columns are ignored; an empty table gives an empty result."""
+Null and empty texts hold the end id alone. Repeated document ids keep one entry per row; null ids come first. Rows of one
+id, or of none, are dealt by a row number as well, so however many they are no task must take them all. Extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
 import zlib
 
 import numpy as np
@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.merging import merge
 from lotwise.llm.shared import byte_slices, fresh_path, gather, numbers, pack, planes, unpack, worker_state, written
 
 END_ID = 2
@@ -33,66 +32,45 @@ PAIRS = 512
 LEAST = 8
 STRIDE = 256
 SLICE_BYTES = 4 << 20
-CACHED = 300_000
+CACHE_BYTES = 48 << 20
+AT_ONCE = 2_000  # words that the library encodes in one call
 
 
 class WordIds(dict):
-    """Ids of a text without white space (little-endian bytes), made when first asked for.
+    """Ids of a text without spaces (little-endian bytes), as the tokenizers library gives them.
 
-    Follows a tokenizers file with lower-casing, a pattern for words, bytes as characters and a suffix that ends a word.
-    Texts that hold the file's special strings go through the library as a whole; so does everything if the file is of
-    another build."""
+    A file that normalises by NFC, replacing and lower-casing and then takes words by a pattern keeps nothing across a
+    space, so texts are cut there and each distinct word is encoded once; with a file of another build texts stay whole."""
 
     def __init__(self, path: str):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, model = path, spec["model"]
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.library = Tokenizer.from_file(path)
         try:
             steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
             cut, level = spec["pre_tokenizer"]["pretokenizers"]
-            plain = steps == ["NFC", "Replace", "Lowercase"] and (cut["behavior"], cut["invert"], level["type"], level["add_prefix_space"], level["use_regex"]) == ("Removed", True, "ByteLevel", False, False)
-            self.known = plain and model["type"] == "BPE" and not model["ignore_merges"] and not model["dropout"] and not model["continuing_subword_prefix"]
-            self.words = regex.compile(cut["pattern"]["Regex"])
-        except (KeyError, TypeError):
-            self.known = False
-        self.vocabulary, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.wide = max([*self.vocabulary.values(), *(t["id"] for t in spec.get("added_tokens") or [])]) >= 1 << 16
-        self.kind = np.uint32 if self.wide else np.uint16
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.pairs = {(a, b): (rank, a + b) for rank, (a, b) in enumerate(pairs)}
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
-        self.made: dict[str, list[int]] = {}
-
-    def one(self, word: str) -> list[int]:
-        ids = self.made.get(word)
-        if ids is None:
-            symbols = [self.letters[b] for b in word.encode()]
-            symbols[-1] += self.suffix
-            ids = [self.vocabulary[s] for s in merge(symbols, self.pairs.get)]
-            if len(self.made) > CACHED:
-                self.made.clear()
-            self.made[word] = ids
-        return ids
-
-    def __missing__(self, text: str) -> bytes:
-        line = text
-        if not text.isascii():
-            line = unicodedata.normalize("NFC", text)
-        line = "".join(c.lower() for c in line) if "Σ" in line else line.lower()
-        ids = [i for w in self.words.findall(line) for i in self.one(w)]
-        self[text] = out = np.array(ids, self.kind).tobytes()
-        return out
-
-    def library(self, text: str) -> bytes:
-        from tokenizers import Tokenizer
-
-        t = worker_state("tokenizer:" + self.path, lambda: Tokenizer.from_file(self.path))
-        return np.array(t.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            shape = (cut["behavior"], cut["invert"], level["type"], level["add_prefix_space"], level["use_regex"])
+            self.cuts = steps == ["NFC", "Replace", "Lowercase"] and shape == ("Removed", True, "ByteLevel", False, False)
+        except (KeyError, TypeError, ValueError):
+            self.cuts = False
+        top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])])
+        self.kind = np.uint32 if top >= 1 << 16 else np.uint16
+        self.held = 0
+
+    def of(self, words: list[str]) -> list[bytes]:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        new = [w for w in words if w not in self]
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self[w] = ids = np.array(e.ids, self.kind).tobytes()
+                self.held += 4 * len(w) + len(ids) + 200
+        return [self[w] for w in words]
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -100,29 +78,21 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         known = worker_state("ids:" + path, lambda: WordIds(path))
+        width, end = np.dtype(known.kind).itemsize, np.array([end_id], known.kind).tobytes()
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE_BYTES):
-                if len(known) > CACHED:
-                    known.clear()
                 text = pc.fill_null(batch.column(1), "")
-                slow = np.zeros(len(text), bool) if known.known else np.ones(len(text), bool)
-                for s in known.special if known.known else ():
-                    slow |= np.asarray(pc.match_substring(text, s))
-                words = pc.split_pattern(pc.if_else(pa.array(slow), "", text) if slow.any() else text, " ")
-                flat = words.flatten().dictionary_encode()
-                found = list(map(known.__getitem__, flat.dictionary.to_numpy(zero_copy_only=False))) if known.known else [b""] * len(flat.dictionary)
-                width = np.dtype(known.kind).itemsize
+                if known.cuts:
+                    words = pc.split_pattern(text, " ")
+                    per, flat = np.asarray(pc.list_value_length(words)).astype(np.int64), words.flatten().dictionary_encode()
+                else:
+                    per, flat = np.ones(len(text), np.int64), text.dictionary_encode()
+                found = known.of(flat.dictionary.to_pylist())
                 counts = np.array([len(x) for x in found], np.int64) // width
-                blob = np.frombuffer(b"".join(found), known.kind)
                 codes = np.asarray(flat.indices).astype(np.int64)
-                stream = gather(blob, np.cumsum(counts) - counts, counts, codes)
-                word_ends = np.concatenate(([0], np.cumsum(counts[codes])))
-                cuts = word_ends[np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(words)).astype(np.int64))))]
-                # the end id goes after each text
-                rows, end = [], np.array([end_id], known.kind).tobytes()
-                raw = stream.tobytes()
-                for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-                    rows.append((known.library(text[i].as_py()) if slow[i] else raw[a * width : b * width]) + end)
+                raw = gather(np.frombuffer(b"".join(found), known.kind), np.cumsum(counts) - counts, counts, codes).tobytes()
+                cuts = np.concatenate(([0], np.cumsum(counts[codes])))[np.concatenate(([0], np.cumsum(per)))] * width
+                rows = [raw[a:b] + end for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // width for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -224,33 +194,36 @@ def store(ids: np.ndarray, docs: np.ndarray, missing: np.ndarray, counts: np.nda
     return pack(np.array([first], np.int64), planes(left), planes(right), planes(lengths), planes(seq), marks.astype(np.int64), docs, missing, planes(counts))
 
 
+FILE = "first_doc long, first_row long, n_ids long, shard binary"
+
+
 def write_files(tokens: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> None:
     """Tokens to compressed shards in ascending id order."""
 
     def run(batches):
-        held, n, number = [], 0, 0
+        held, n = [], 0
 
         def flush():
-            docs = np.array([0 if d is None else d for d, _, _ in held], np.int64)
-            missing = np.array([d is None for d, _, _ in held], bool)
-            counts = np.array([c for _, c, _ in held], np.int64)
-            ids = np.concatenate([np.frombuffer(v, np.uint16 if len(v) == 2 * c else np.uint32) for _, c, v in held])
-            row = ([None if missing[0] else int(docs[0])], [number], [n], [store(ids, docs, missing, counts)])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["first_doc", "number", "n_ids", "shard"])
+            docs = np.array([0 if d is None else d for d, _, _, _ in held], np.int64)
+            missing = np.array([d is None for d, _, _, _ in held], bool)
+            counts = np.array([c for _, _, c, _ in held], np.int64)
+            ids = np.concatenate([np.frombuffer(v, np.uint16 if len(v) == 2 * c else np.uint32) for _, _, c, v in held])
+            row = ([held[0][0]], [held[0][1]], [n], [store(ids, docs, missing, counts)])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["first_doc", "first_row", "n_ids", "shard"])
 
         for batch in batches:
-            for d, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for d, r, c, v in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 if held and n + c > shard_ids:
                     yield flush()
-                    held, n, number = [], 0, number + 1
-                held.append((d, c, v.as_py()))
+                    held, n = [], 0
+                held.append((d, r, c, v.as_py()))
                 n += c
         if held:
             yield flush()
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "first_doc long, number int, n_ids long, shard binary")
-    rows.write.option("compression", "none").parquet(path)
+    rows = tokens.select("id", F.monotonically_increasing_id().alias("row"), "n", "ids").repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
+    rows.mapInArrow(run, FILE).write.option("compression", "none").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -266,11 +239,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.docs, mask=shard.missing), pa.array(begin + starts), pa.array(shard.counts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.schema("first_doc long, number int, n_ids long, shard binary").parquet(path)
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "number").rowsBetween(Window.unboundedPreceding, -1)
-    begins = files.select("first_doc", "number", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("begin"))  # one line per shard
-    key = F.col("f.first_doc").eqNullSafe(F.col("b.first_doc")) & (F.col("f.number") == F.col("b.number"))
-    return files.alias("f").join(begins.alias("b"), key).select("begin", "shard").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(FILE).parquet(path)
+    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "first_row").rowsBetween(Window.unboundedPreceding, -1)
+    begins = files.select("first_row", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("begin"))  # one line per shard
+    return files.join(begins, "first_row").select("begin", "shard").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,6 +66,60 @@ def test_id_files(odd_docs, texts):
         at += len(ids)
 
 
+def random_texts(n=2500, seed=11):
+    """Characters of all planes, newer ones among them, runs of combining marks, marks after spaces, special strings."""
+    rng = np.random.default_rng(seed)
+    marks = [0x301, 0x308, 0x327, 0x338, 0x869, 0x84C, 0x898, 0x5B0, 0x94D, 0x3099]
+    some = [0x1C89, 0xC5C, 0xA7CF, 0x10D56, 0x130, 0x3A3, 0x3C2, 0xDF, 0x1E9E, 0x212B, 0xAC00, 0x1100, 0x1161, 0x200B, 0xA0, 0x3000, 0x2028, 0x85]
+    out = []
+    for _ in range(n):
+        parts = []
+        for kind in rng.integers(0, 9, rng.integers(1, 14)):
+            c = int(rng.integers(1, 0x11000 if kind < 2 else 0x30000))
+            letters = [chr(c) if not 0xD800 <= c < 0xE000 else "x", chr(marks[c % 10]), chr(marks[c % 7]), chr(some[c % len(some)]), " ", "aB c", "'s 'LL", " <|endoftext|>", chr(97 + c % 26)]
+            parts.append(letters[kind])
+        out.append("".join(parts))
+    return out
+
+
+def test_random_unicode(spark):
+    """op3, op5 and op7 against their libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = random_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for r in repair.tokenize(df, P.path("word_bpe_49k.json")).collect():
+        assert np.frombuffer(r.ids, np.uint16).tolist() == library.encode(texts[r.id], add_special_tokens=False).ids + [2], texts[r.id]
+    piece = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for r in token_count.count_tokens(df, P.path("piece_bpe_32k.model")).collect():
+        assert r.n_tokens == len(piece.encode(texts[r.doc_id])), texts[r.doc_id]
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = byte_bpe.encoder(path, P.PATTERN)
+    for r in byte_bpe.digests(byte_bpe.encode(df, path, P.PATTERN), path).collect():
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, enc.encode_ordinary(texts[r.doc_id]))).encode()).hexdigest(), texts[r.doc_id]
+
+
+def test_id_files_of_null_and_repeated_ids(spark, monkeypatch):
+    """Half of all rows without an id and a third with one: every row once, starts without a gap, no task with all of them."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(repair.write_files, "__defaults__", (40,))
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(None, f"none {i}") for i in range(60)] + [(4, f"four {i} times") for i in range(40)] + [(i, None if i % 2 else "") for i in range(5, 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(repair.round_trip(df, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [r[0] for r in rows]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    crc = [(d, zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for d, t in rows]
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter(crc)
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(1)
     ids = np.concatenate((rng.integers(0, 50, 4000), np.tile([7, 7, 7, 8], 900), [5]))
