@@ -1,6 +1,6 @@
 """Token ids in grammar-compressed files.
 
-Texts become ids (the library encodes each distinct word once per worker, within ``CACHE_BYTES``), documents are dealt by ascending id, and runs of about
+Texts become ids (the library encodes each distinct word once while it is held in a worker's ``CACHE_BYTES``), documents are dealt by ascending id, and runs of about
 ``SHARD_IDS`` ids become shards. A shard is compressed by Re-Pair: frequent pairs of neighbours are replaced by new
 symbols, again and again; a round takes the ``PAIRS`` most frequent pairs at once, left to right where they overlap,
 and the rounds end when no pair occurs ``LEAST`` times or after ``ROUNDS`` (how far to compress; any number decodes to
@@ -33,14 +33,18 @@ LEAST = 8
 STRIDE = 256
 SLICE_BYTES = 4 << 20
 CACHE_BYTES = 48 << 20
-AT_ONCE = 2_000  # words that the library encodes in one call
+AT_ONCE = 64  # texts that the library encodes in one call
+TOGETHER = 128  # short words that make one such text
+SHORT = 64
 
 
 class WordIds(dict):
     """Ids of a text without spaces (little-endian bytes), as the tokenizers library gives them.
 
     A file that normalises by NFC, replacing and lower-casing and then takes words by a pattern keeps nothing across a
-    space, so texts are cut there and each distinct word is encoded once; with a file of another build texts stay whole."""
+    space, so texts are cut there and each distinct word is encoded once; with a file of another build texts stay whole.
+    Short words go to the library many at a time, parted by spaces: a token stands for a known number of bytes, so the ids
+    fall apart at the words' lengths. Where they don't, the words are encoded one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -56,22 +60,55 @@ class WordIds(dict):
             self.cuts = steps == ["NFC", "Replace", "Lowercase"] and shape == ("Removed", True, "ByteLevel", False, False)
         except (KeyError, TypeError, ValueError):
             self.cuts = False
-        top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])])
+        named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec.get("added_tokens") or [])]
+        top = max(i for _, i in named)
         self.kind = np.uint32 if top >= 1 << 16 else np.uint16
         self.held = 0
+        self.n_bytes = np.ones(top + 1, np.int64)  # one character of a byte-level token is one byte
+        end = spec["model"].get("end_of_word_suffix") or ""
+        for token, i in named:
+            self.n_bytes[i] = max(1, len(token) - len(end) * token.endswith(end))
 
     def of(self, words: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
             self.clear()
             self.held = 0
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), AT_ONCE):
-            part = new[at : at + AT_ONCE]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = ids = np.array(e.ids, self.kind).tobytes()
-                self.held += 4 * len(w) + len(ids) + 200
+        alone, short = [], []
+        for w in words:
+            if w not in self:
+                (short if self.cuts and len(w) <= SHORT and w.split() == [w] else alone).append(w)
+        groups = [short[at : at + TOGETHER] for at in range(0, len(short), TOGETHER)]
+        for group, ids in zip(groups, self.encoded([" ".join(g) for g in groups])):
+            stops = self.stops(group, ids)
+            if stops is None:
+                alone += group
+            else:
+                raw, width = ids.tobytes(), ids.itemsize
+                for w, a, b in zip(group, [0, *stops], stops):
+                    self.keep(w, raw[a * width : b * width])
+        for w, ids in zip(alone, self.encoded(alone)):
+            self.keep(w, ids.tobytes())
         return [self[w] for w in words]
 
+    def encoded(self, texts: list[str]):
+        for at in range(0, len(texts), AT_ONCE):
+            for e in self.library.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False):
+                yield np.array(e.ids, self.kind)
+
+    def stops(self, words: list[str], ids: np.ndarray) -> list[int] | None:
+        """Number of ids up to the end of each word, or None where the bytes of the ids are not those of the words."""
+        form = self.library.normalizer.normalize_str
+        ends = np.cumsum([len(w if w.isascii() else form(w).encode()) for w in words])
+        held = np.cumsum(self.n_bytes[ids])
+        at = np.searchsorted(held, ends)
+        if not len(held) or held[-1] != ends[-1] or (held[at] != ends).any():
+            return None
+        return (at + 1).tolist()
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.held += 4 * len(word) + len(ids) + 200
+
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """(id, n, ids): ids of the whole text and the end id, as little-endian integers of ids' length / n bytes."""

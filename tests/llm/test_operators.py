@@ -449,3 +449,29 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         chain = stage(spark, chain, SF)
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, chain.collect()))
+
+
+def test_words_encoded_together_match_the_library():
+    """Short words go to the library in one text; groups whose bytes do not fall apart at the words are encoded singly."""
+    import random
+
+    import public_tokenizers
+
+    from lotwise.llm.repair import WordIds
+
+    known = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    spans = [(97, 122), (33, 126), (0xC0, 0x24F), (0x300, 0x36F), (0x900, 0x97F), (0x1E00, 0x1EFF), (0x10400, 0x1044F)]
+    words = ["", "x" * 500, "a<|endoftext|>b", "<|startoftext|>", "İx", "ǅ", "á", "́a", "a\x1cb", "a\x85b", "it's", "tab\there"]
+    for _ in range(4_000):
+        lo, hi = rng.choice(spans[:2] if rng.random() < 0.7 else spans)
+        words.append("".join(chr(rng.randint(lo, hi)) for _ in range(rng.randint(1, 12))))
+    words = list(dict.fromkeys(words))
+    alone = [e.ids for e in known.library.encode_batch(words, add_special_tokens=False)]
+    got = [np.frombuffer(b, known.kind).tolist() for b in known.of(words)]
+    assert got == alone
+    plain = [w for w in words if w.isascii() and w.split() == [w]][:100]
+    whole = known.library.encode(" ".join(plain), add_special_tokens=False).ids
+    stops = known.stops(plain, np.array(whole, known.kind))
+    assert stops is not None and stops[-1] == len(whole)
+    assert known.stops(plain[:-1], np.array(whole, known.kind)) is None
