@@ -175,3 +175,15 @@ def otsu(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     best = F.max(F.struct(F.col("between"), -F.col("bin")))
     return h.groupBy(*keys).agg(F.max("n").alias("n"), F.when(F.max("between").isNotNull(), F.max_by(-F.col("bin"), F.struct(F.round("between", 6), -F.col("bin")))).alias("_t"),
                                 F.max("between").alias("between")).select(*keys, "n", F.coalesce(-F.col("_t"), F.lit(0)).alias("threshold"), F.coalesce("between", F.lit(0.0)).alias("between"))
+
+
+def quantised_choice(df: DataFrame, keys: list[str], fold: str, full: str, quantised: str, defect: str, max_gap: float = 1.5,
+                     max_diff: float = 0.05, min_agreement: float = 0.99) -> DataFrame:
+    """Which of two sets of P(good) to deploy per group: the quantised one if its accuracy, as a mean over folds, is at most
+    ``max_gap`` points lower and it agrees with the full one (largest difference, share of equal calls)."""
+    right = lambda p: F.avg(((F.col(p) < 0.5) == (F.col(defect) == 1)).cast("double"))
+    same = F.count_if((F.col(full) < 0.5) == (F.col(quantised) < 0.5))
+    per = df.groupBy(*keys, fold).agg(right(full).alias("a"), right(quantised).alias("b"), F.max(F.abs(F.col(full) - F.col(quantised))).alias("d"), same.alias("same"), F.count(F.lit(1)).alias("n"))
+    out = per.groupBy(*keys).agg((100 * (F.avg("a") - F.avg("b"))).alias("gap_points"), F.max("d").alias("worst_diff"), (F.sum("same") / F.sum("n")).alias("agreement"))
+    fit = (F.round("gap_points", 9) <= max_gap) & (F.col("worst_diff") <= max_diff) & (F.col("agreement") >= min_agreement)
+    return out.withColumn("deployed", F.when(fit, "quantised").otherwise("full"))

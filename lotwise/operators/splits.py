@@ -118,3 +118,32 @@ def calibration_draw(df: DataFrame, source: str, photo: str, key: str, defect: s
     cal = sample_k(rows.where("chosen"), [source, defect], key, seed, half).select(key, F.lit(True).alias("_cal"))
     rows = rows.join(cal, key, "left")
     return rows.withColumn("role", F.when(F.col("_cal"), "cal").when(F.col("chosen"), "unused").otherwise("test")).drop("_cal", "chosen")
+
+
+def fold_sizes(df: DataFrame, modes: dict[str, Column], trains: Column | None = None) -> DataFrame:
+    """(mode, fold, n_test, n_train) of several ways of folding, without a row per fold and item.
+
+    A mode's column names the fold that an item is tested in (NULL: in none); it is trained on in all other folds of the mode,
+    if ``trains`` holds. So a fold is a rule, and its training size is the total less its own rows. One pass counts the
+    cells of all modes; the modes are summed from that table."""
+    may = F.lit(True) if trains is None else F.coalesce(trains, F.lit(False))
+    cells = df.groupBy(*[c.alias(m) for m, c in modes.items()], may.alias("_may")).agg(F.count(F.lit(1)).alias("_n"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).cast("string").alias("fold")) for m in modes]))
+    own = cells.select(each.alias("f"), "_may", "_n").groupBy("f.mode", "f.fold").agg(
+        F.sum("_n").alias("n_test"), F.coalesce(F.sum(F.when(F.col("_may"), F.col("_n"))), F.lit(0)).alias("_own"))
+    total = cells.agg(F.coalesce(F.sum(F.when(F.col("_may"), F.col("_n"))), F.lit(0)).alias("n")).scalar()
+    return own.where("fold IS NOT NULL").select("mode", "fold", "n_test", (total - F.col("_own")).alias("n_train"))
+
+
+def fold_role(test_fold: Column, fold: Column, trains: Column | None = None) -> Column:
+    """'test', 'train' or 'none': the role of an item in one fold, from the fold it is tested in."""
+    may = F.lit(True) if trains is None else F.coalesce(trains, F.lit(False))
+    return F.when(test_fold.eqNullSafe(fold), "test").when(may, "train").otherwise("none")
+
+
+def fold_leaks(df: DataFrame, modes: dict[str, Column], group: str) -> DataFrame:
+    """(mode, groups, leaking): groups with items on both sides of some fold, that is tested in more than one fold or only in part."""
+    spread = [((F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))).alias(m) for m, c in modes.items()]
+    per = df.groupBy(group).agg(*spread)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.coalesce(F.col(m), F.lit(False)).alias("leak")) for m in modes]))
+    return per.select(each.alias("f")).groupBy("f.mode").agg(F.count(F.lit(1)).alias("groups"), F.count_if("f.leak").alias("leaking"))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import quantiles_long, with_bucket
+from lotwise.functions.scale import attach, hot_groups, quantiles_long, with_bucket
+from lotwise.session import cut_lineage
 
 
 def grid(start: float, stop: float, step: float) -> list[float]:
@@ -130,6 +132,58 @@ def refine_temperature(df: DataFrame, logits: str, y: str, weight: str, lo: floa
     return math.exp((lo + hi) / 2)
 
 
+def minimise_temperature(df: DataFrame, keys: list[str], logits: str, y: str, weight: str, lo: float = -3.0, hi: float = 3.0, tolerance: float = 1e-5) -> DataFrame:
+    """Temperature of the smallest weighted loss per group, log T within ``tolerance``.
+
+    Rounds of one aggregate each: the losses of all trial points of a group's bracket are summed side by side, so a row is
+    read once a round and never repeated; the next bracket is one step to either side of the best point. Between rounds
+    a group is one line. The loss of log T has to fall and then rise, as that of a softmax does. Of equal losses the smallest
+    log T counts. Rows with a NULL among key, logits, class and weight are left out; weights that sum to zero give no line.
+    A group's logits have one length."""
+    rows = df.select(*keys, F.col(logits).cast("array<double>").alias("_z"), F.col(y).cast("int").alias("_y"), F.col(weight).cast("double").alias("_w")).where(
+        " and ".join(f"`{c}` is not null" for c in [*keys, "_z", "_y", "_w"]))
+    hot = hot_groups(rows, keys) if keys else None
+    fields = ", ".join(["_mid double", "_w double", "_l array<double>", *(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)])
+    step, best = (hi - lo) / 24, None
+    offsets, placed = lo + step * np.arange(25), rows.withColumn("_mid", F.lit(0.0))
+    while True:
+        sums = placed.mapInPandas(_loss_sums(keys, offsets), fields).groupBy(*keys).agg(
+            F.first("_mid").alias("_mid"), F.sum("_w").alias("_w"), *[F.sum(F.get("_l", F.lit(i))).alias(f"_l{i}") for i in range(len(offsets))]).where("_w > 0")
+        points = F.array(*[F.struct(F.round(F.col(f"_l{i}") / F.col("_w"), 13).alias("nll"), (F.col("_mid") + float(o)).alias("log_t")) for i, o in enumerate(offsets)])
+        best = cut_lineage(sums.select(*keys, F.array_min(points).alias("b")).select(*keys, "b.log_t", "b.nll"))
+        if step <= tolerance:
+            return best.select(*keys, "log_t", F.exp("log_t").alias("temperature"), "nll")
+        mid = best.select(*keys, F.col("log_t").alias("_mid"))
+        placed = attach(rows, mid, keys, hot) if keys else rows.withColumn("_mid", mid.scalar())
+        step /= 10
+        offsets = step * np.arange(-10, 11)
+
+
+def _loss_sums(keys: list[str], offsets: np.ndarray):
+    """Sums of an Arrow batch per group: weight and, for every trial point, weight times loss."""
+
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            z = np.stack(f["_z"].to_numpy())
+            t = np.exp(f["_mid"].to_numpy()[:, None] + offsets)
+            e = np.exp((z - z.max(1, keepdims=True))[:, None, :] / t[:, :, None])
+            y = f["_y"].to_numpy()
+            own = np.take_along_axis(e, np.maximum(y, 0)[:, None, None], 2)[:, :, 0] / e.sum(2)
+            p = np.where(y[:, None] >= 0, own, 1 - e[:, :, 0] / e.sum(2))  # an untyped defect: any class but the first
+            loss = -np.log(np.clip(p, 1e-12, 1.0)) * f["_w"].to_numpy()[:, None]
+            group = f.groupby(keys, sort=False).ngroup().to_numpy() if keys else np.zeros(len(f), np.int64)
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            out = f.iloc[order[starts]][["_mid", *keys]].copy()
+            out["_w"] = np.add.reduceat(f["_w"].to_numpy()[order], starts)
+            out["_l"] = list(np.add.reduceat(loss[order], starts))
+            yield out[["_mid", "_w", "_l", *keys]]
+
+    return run
+
+
 def best_stump(df: DataFrame, features: dict[str, Column], positive: Column, cuts: int = 197) -> DataFrame:
     """Balanced accuracy of every single-feature rule: percentile cuts of each feature, in both directions.
 

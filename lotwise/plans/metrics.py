@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise import constants as C
@@ -201,6 +202,27 @@ def count_error(t):
         "grade", "found", "photos", (F.col("found") == 4).alias("exact"), (F.abs(F.col("found") - 4) <= 2).alias("within2"))
 
 
+@query("count_error_ranked", """WITH c AS (SELECT l_orderkey, count(*) AS n, min(l_returnflag) AS grade FROM lineitem GROUP BY l_orderkey), h AS (SELECT grade, n-4 AS error, count(*) AS photos FROM c GROUP BY grade, error)
+ SELECT grade, error, photos, CAST(row_number() OVER (PARTITION BY grade ORDER BY photos DESC, error) AS INTEGER) AS place FROM h""")
+def count_error_ranked(t):
+    """Count errors of each grade, the most frequent first; equal ones by the smaller error."""
+    c = t.lineitem.groupBy("l_orderkey").agg((F.count(F.lit(1)) - 4).alias("error"), F.min("l_returnflag").alias("grade"))
+    h = c.groupBy("grade", "error").agg(F.count(F.lit(1)).alias("photos"))  # a histogram: few lines
+    return h.withColumn("place", F.row_number().over(Window.partitionBy("grade").orderBy(F.desc("photos"), "error")))
+
+
+@query("choose_quantised", f"""WITH {SCORES}, q AS (SELECT kind, source, p_good AS p, floor(p_good*32+0.5e0)/32 AS pq, defect FROM scores),
+ s AS (SELECT kind, source, avg(((p < 0.5e0) = (defect=1))::INT) AS a, avg(((pq < 0.5e0) = (defect=1))::INT) AS b, max(abs(p-pq)) AS d, count(*) AS n, count(*) FILTER (WHERE (p < 0.5e0) = (pq < 0.5e0)) AS same FROM q GROUP BY kind, source),
+ f AS (SELECT kind, 100*(avg(a)-avg(b)) AS gap, max(d) AS worst, sum(same)/CAST(sum(n) AS DOUBLE) AS agreement FROM s GROUP BY kind)
+ SELECT kind, {r6('gap')} AS gap_points, {r6('worst')} AS worst_diff, {r6('agreement')} AS agreement, CASE WHEN round(gap,9) <= 1.5e0 AND worst <= 0.02e0 AND agreement >= 0.98e0 THEN 'quantised' ELSE 'full' END AS deployed FROM f""")
+def choose_quantised(t):
+    """The quantised scores (steps of 1/32) are deployed where the mean accuracy over held-out sources falls by no more than
+    1.5 points and the two sets of scores are alike."""
+    s = t.scores().withColumn("pq", F.floor(F.col("p_good") * 32 + 0.5) / 32)
+    out = M.quantised_choice(s, ["kind"], "source", "p_good", "pq", "defect", max_diff=0.02, min_agreement=0.98)
+    return rnd(out, ["kind", "deployed"], "gap_points", "worst_diff", "agreement").select("kind", "gap_points", "worst_diff", "agreement", "deployed")
+
+
 @query("count_error_summary", f"""WITH c AS (SELECT l_orderkey, count(*) AS n, min(l_returnflag) AS grade FROM lineitem GROUP BY l_orderkey)
  SELECT grade, count(*) AS photos, count(*) FILTER (WHERE n=4) AS exact, count(*) FILTER (WHERE abs(n-4)<=2) AS within2, {r6('avg(abs(n-4))')} AS mean_abs, {r6('avg(n)')} AS mean_n, min(n) AS min_n, max(n) AS max_n FROM c GROUP BY GROUPING SETS ((grade), ())""")
 def count_error_summary(t):

@@ -11,7 +11,7 @@ from lotwise.operators import robust as R
 from lotwise.operators import vectors as X
 from lotwise.plans import photos as PH
 from lotwise.plans.metrics import rnd
-from lotwise.plans.registry import query
+from lotwise.plans.registry import REGISTRY, query
 from lotwise.plans.sqltext import EMB, ITEMS, LOTS, r6
 from lotwise.plans.vectors import KNN_LOO, UNIT, loo_distance
 
@@ -151,9 +151,10 @@ BANK = """bk AS (SELECT * FROM un WHERE y=0 AND e[64] > 0), kq AS (SELECT q.vec_
  kb AS (SELECT vec_id, avg(d) AS d FROM kq WHERE rn <= 5 GROUP BY vec_id), tb AS (SELECT quantile_cont(d, 0.95) AS tau FROM kb JOIN emb USING (vec_id) WHERE y=0 AND e[64] <= 0)"""
 
 
-def bank_distance(t):
-    e = t.emb().select(F.col("vec_id").alias("id"), F.col("e").alias("vec"), "y")
-    return X.knn_distance(e.select("id", "vec"), e.where((F.col("y") == 0) & (F.element_at("vec", 64) > 0)).select("id", "vec"), 5).select(F.col("qid").alias("vec_id"), F.col("distance").alias("d"))
+def bank_distance(t, first: int = 1):
+    """Mean distance to the five nearest bank items, by the vector's entries from ``first`` on."""
+    e = t.emb().select(F.col("vec_id").alias("id"), F.slice("e", first, 64).alias("vec"), "y", (F.element_at("e", 64) > 0).alias("half"))
+    return X.knn_distance(e.select("id", "vec"), e.where((F.col("y") == 0) & F.col("half")).select("id", "vec"), 5).select(F.col("qid").alias("vec_id"), F.col("distance").alias("d"))
 
 
 @query("photo_scores", f"""WITH {EMB}, {UNIT}, {BANK} SELECT photo, {r6('avg((list_max(p) < 0.3e0)::INT)')} AS low_conf, {r6('median(-(list_max(logits)+ln(list_sum(list_transform(logits, lambda x: exp(x-list_max(logits)))))))')} AS energy,
@@ -170,6 +171,24 @@ def photo_scores(t):
     return rnd(out, ["photo"], "low_conf", "energy", "bank_knn", "unfamiliar_share")
 
 
+FEATURE_BANK = f"""WITH {EMB}, un AS (SELECT *, list_transform(e[17:64], lambda x: x/sqrt(list_dot_product(e[17:64], e[17:64]))) AS u FROM emb), {BANK}
+ SELECT photo, {r6('median(d)')} AS feature_knn, {r6('avg((d > tau)::INT)')} AS feature_unfamiliar FROM emb JOIN kb USING (vec_id), tb GROUP BY photo"""
+
+
+@query("photo_scores_full", f"""SELECT p.photo, low_conf, energy, bank_knn, feature_knn, feature_unfamiliar, maha_all, maha_colour, maha_shape
+ FROM ({REGISTRY['photo_scores'].sql}) p JOIN ({FEATURE_BANK}) f USING (photo) JOIN ({REGISTRY['mahalanobis_score'].sql}) m USING (photo)""")
+def photo_scores_full(t):
+    """All eight scores of a photo: calls, energy, distance to a bank of embeddings and to one of features (with the
+    share of items unfamiliar to it), and three distances to the cloud of good items."""
+    e = t.emb().select("vec_id", "photo", "y", (F.element_at("e", 64) > 0).alias("half"))
+    x = e.join(bank_distance(t, 17), "vec_id")
+    tau = one_row(exact_quantiles(x.where("y = 0 and not half"), [], "d", {"tau": 0.95}))["tau"]
+    share = x.groupBy("photo").agg(F.avg((F.col("d") > tau).cast("double")).alias("feature_unfamiliar"))
+    feature = share.join(exact_medians(x, ["photo"], ["d"], suffix=""), "photo").withColumnRenamed("d", "feature_knn")
+    feature = rnd(feature, ["photo"], "feature_knn", "feature_unfamiliar")
+    return photo_scores(t).drop("unfamiliar_share").join(feature, "photo").join(mahalanobis_score(t), "photo")
+
+
 @query("gate_calibrate", f"""WITH {LOTS}, s AS (SELECT lot, line, avg((code=2)::INT) AS score, avg((code=1)::INT) AS rate FROM lots GROUP BY lot, line), k AS (SELECT *, CASE WHEN line <= 2 AND rate < 0.2e0 THEN 'pass' WHEN line = 3 AND rate > 0.4e0 THEN 'refuse' ELSE 'test' END AS part FROM s),
  o AS (SELECT max(score) FILTER (WHERE part='pass') AS top, min(score) FILTER (WHERE part='refuse') AS low FROM k), r AS (SELECT 'fixed' AS rule, 0.15e0 AS tau, FALSE AS incl FROM o UNION ALL SELECT 'calibrated', CASE WHEN low > top THEN top+0.5e0*(low-top) ELSE top END, FALSE FROM o UNION ALL SELECT 'refuse_all', low, TRUE FROM o)
  SELECT rule, part, {r6('max(tau)')} AS tau, count(*) AS groups, count(*) FILTER (WHERE CASE WHEN incl THEN score >= tau ELSE score > tau END) AS refused FROM k, r GROUP BY rule, part""")

@@ -99,6 +99,52 @@ def fold_leak_check(t):
     return long.groupBy("fold_by").agg(F.count_if("leak").alias("leaking"), F.count(F.lit(1)).alias("groups"))
 
 
+HELD_OUT = (1, 7)
+FOLDS = f"""fo AS (SELECT item, photo, source % 4 <> 3 AS lic, 's'||source AS source, 'p'||photo AS by_photo, {GROUPS} AS capture, CASE WHEN (x0+x1)/2/114.0e0 >= 0.5e0 THEN 'right' ELSE 'left' END AS half,
+ CASE WHEN source % 4 = 3 THEN 'unlicensed' END AS licensed, CASE WHEN source IN {HELD_OUT} THEN 'held' END AS listed FROM items)"""
+MODES = ["source", "by_photo", "capture", "half", "licensed", "listed"]
+
+
+def fold_modes() -> dict:
+    """The fold an item is tested in: its source, photo, capture group or half; what has no licence; what is on a list."""
+    s = F.col("source").cast("string")
+    return {
+        "source": F.concat(F.lit("s"), s),
+        "by_photo": F.concat(F.lit("p"), F.col("photo").cast("string")),
+        "capture": F.when(F.col("source").isin(3, 4), "twins").otherwise(F.concat(F.lit("s"), s)),
+        "half": F.when((F.col("x0") + F.col("x1")) / 2 / 114.0 >= 0.5, "right").otherwise("left"),
+        "licensed": F.when(F.col("source") % 4 == 3, "unlicensed"),
+        "listed": F.when(F.col("source").isin(*HELD_OUT), "held"),
+    }
+
+
+_LONG = f"""fl AS (SELECT item, photo, lic, mode, fold FROM (SELECT item, photo, lic, unnest(['{"','".join(MODES)}']) AS mode, unnest([{', '.join(MODES)}]) AS fold FROM fo))"""
+
+
+@query("fold_sizes", f"""WITH {ITEMS}, {FOLDS}, {_LONG}, tt AS (SELECT mode, count(*) FILTER (WHERE lic) AS al FROM fl GROUP BY mode)
+ SELECT mode, fold, count(*) AS n_test, max(al) - count(*) FILTER (WHERE lic) AS n_train FROM fl JOIN tt USING (mode) WHERE fold IS NOT NULL GROUP BY mode, fold""")
+def fold_sizes(t):
+    """Test and training size of every fold of six ways of folding; only licensed items are trained on."""
+    return P.fold_sizes(t.items(), fold_modes(), F.col("source") % 4 != 3)
+
+
+@query("fold_roles", f"""WITH {ITEMS}, {FOLDS} SELECT item, source AS by_source, capture AS by_capture, half AS by_half, CASE WHEN licensed IS NOT NULL THEN 'test' WHEN lic THEN 'train' ELSE 'none' END AS in_licensed,
+ CASE WHEN listed IS NOT NULL THEN 'test' WHEN lic THEN 'train' ELSE 'none' END AS in_listed, CASE WHEN half='left' THEN 'test' WHEN lic THEN 'train' ELSE 'none' END AS in_left, CASE WHEN lic THEN 'train' ELSE 'none' END AS in_final FROM fo""")
+def fold_roles(t):
+    """The folds every item is tested in, and its role in four folds of a single test set each; the final fold tests nothing."""
+    m, may = fold_modes(), F.col("source") % 4 != 3
+    role = lambda mode, fold: P.fold_role(m[mode] if mode else F.lit(None).cast("string"), F.lit(fold), may)
+    return t.items().select("item", m["source"].alias("by_source"), m["capture"].alias("by_capture"), m["half"].alias("by_half"), role("licensed", "unlicensed").alias("in_licensed"),
+                            role("listed", "held").alias("in_listed"), role("half", "left").alias("in_left"), role(None, "final").alias("in_final"))
+
+
+@query("fold_leaks", f"""WITH {ITEMS}, {FOLDS}, {_LONG}, g AS (SELECT mode, photo, count(DISTINCT coalesce(fold, '-')) AS k FROM fl GROUP BY mode, photo)
+ SELECT mode, count(*) AS groups, count(*) FILTER (WHERE k > 1) AS leaking FROM g GROUP BY mode""")
+def fold_leaks(t):
+    """Photos that six ways of folding put on both sides of a fold."""
+    return P.fold_leaks(t.items(), fold_modes(), "photo")
+
+
 @query("calibration_draw", f"""WITH {LOTS}, b AS (SELECT item, lot, year*10+line%5 AS photo, code AS y FROM lots WHERE code <> 2), per AS (SELECT lot, photo, count(*) FILTER (WHERE y=0) AS g, count(*) FILTER (WHERE y=1) AS d, {h('photo', 'cal')} AS o FROM b GROUP BY lot, photo),
  r1 AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY lot ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS gb FROM per), r2 AS (SELECT *, g > 0 AND gb < 10 AS fst FROM r1),
  r3 AS (SELECT *, coalesce(sum(d) FILTER (WHERE fst) OVER (PARTITION BY lot),0) AS d0, coalesce(sum(CASE WHEN fst THEN 0 ELSE d END) OVER (PARTITION BY lot ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS db FROM r2),

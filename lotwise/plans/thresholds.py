@@ -36,6 +36,25 @@ def fit_temperature(t):
     return rnd(H.fit_temperature(weighted_emb(t), [], "logits", "y", "w"), ["log_t"], "temperature", "nll")
 
 
+def _brackets(rounds: int) -> str:
+    """The smallest loss by brackets that shrink tenfold: each round looks at the points around the last round's best."""
+    out, points = [], "t0 AS (SELECT source, -3+0.25e0*i AS log_t FROM (SELECT DISTINCT source FROM wemb) s, range(25) r(i))"
+    for n in range(rounds):
+        if n:
+            points = f"t{n} AS (SELECT source, log_t+(i-10)*{0.25 / 10**n!r}::DOUBLE AS log_t FROM b{n - 1}, range(21) r(i))"
+        out.append(f"""{points}, x{n} AS (SELECT e.source, y, w, log_t, list_transform(logits, lambda v: exp((v-list_max(logits))/exp(log_t))) AS ex FROM wemb e JOIN t{n} USING (source)),
+ g{n} AS (SELECT source, log_t, round(sum(-w*ln(greatest(1e-12, least(1.0e0, CASE WHEN y>=0 THEN ex[greatest(y,0)+1]/list_sum(ex) ELSE 1-ex[1]/list_sum(ex) END))))/sum(w), 13) AS nll FROM x{n} GROUP BY source, log_t),
+ b{n} AS (SELECT source, log_t, nll FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nll, log_t) AS rn FROM g{n}) WHERE rn=1)""")
+    return ", ".join(out)
+
+
+@query("fit_temperature_fine", f"""WITH {EMB}, {EW}, {_brackets(6)} SELECT source, round(log_t, 4) AS log_t, {r6('nll')} AS nll FROM b5""")
+def fit_temperature_fine(t):
+    """Continuous temperature per source: log T to 1e-5 by shrinking brackets, reported to four digits."""
+    f = H.minimise_temperature(weighted_emb(t), ["source"], "logits", "y", "w")
+    return f.select("source", F.round("log_t", 4).alias("log_t"), fn.r6("nll").alias("nll"))
+
+
 _BIN = """bx AS (SELECT source, kind, w, greatest(1-p_good, p_good) AS conf, (1-p_good >= 0.5e0) = (defect=1) AS ok FROM ws), th AS (SELECT round(0.5e0+0.01e0*i, 2) AS threshold FROM range(51) r(i))"""
 _CURVE = """curve AS (SELECT kind, threshold, sum(CASE WHEN conf >= threshold-1e-12 THEN w ELSE 0 END)/sum(w) AS coverage, count(*) FILTER (WHERE conf >= threshold-1e-12) AS answered,
  sum(w) FILTER (WHERE ok AND conf >= threshold-1e-12) AS k, sum(w) FILTER (WHERE conf >= threshold-1e-12) AS a FROM bx, th GROUP BY kind, threshold)"""
