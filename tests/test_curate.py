@@ -267,3 +267,28 @@ def test_hash_within_counts_other_files(spark):
     df = spark.createDataFrame(rows, "s string, h string, p string, o int")
     assert [tuple(r) for r in U.hash_within(df, "h", "s", "p", "o").collect()] == [("s", 2)]
     assert [tuple(r) for r in U.hash_cross_source(df, "h", "s").collect()] == [("s+t", 1)]
+
+
+@pytest.mark.parametrize("tag", [False, True])
+def test_pruned_groups_over_one_tile(spark, tag):
+    """A group of many tiles goes through cells; the answers are those of the plain search."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(260, 6))
+    v[30:50] = v[30]
+    groups, tags, ids = np.where(np.arange(260) < 200, "hot", "cold"), np.where(v[:, 0] > 0, "x", "y"), rng.permutation(900)[:260]
+    df = spark.createDataFrame([(int(i), str(g), str(t), [float(x) for x in a]) for i, g, t, a in zip(ids, groups, tags, v)], "id long, grp string, tag string, vec array<double>")
+    got = X.nearest(df, df, 3, by=["grp"], tag="tag" if tag else None, chunk=3).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert {(r.qid, r.bid) for r in got} == plain_nearest([int(i) for i in ids], u, 3, groups, tags if tag else None)
+
+
+def test_a_query_travels_once_per_pack(spark):
+    """Vectors without structure visit every cell; before, a query was written once for each of about 100 cells."""
+    v = np.random.default_rng(8).normal(size=(600, 32))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "vec": list(v)}))
+    bank = X.PrunedBank(df, 5, chunk=20)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {(r.qid, r.bid) for r in bank.nearest(df).collect()}
+    assert got == plain_nearest(list(range(600)), u, 5)
+    packs = bank.cells.select("_pack").distinct().count()
+    assert bank.cells.count() > 80 and packs <= 3 and bank.second.count() <= packs * 600
