@@ -45,6 +45,8 @@ def share_design(sizes: list[int] = SIZES, shares: list[float] = SHARES) -> list
 def build_lots(items: DataFrame, unit: str, defect: str, design: list[tuple[int, int]], reps: int, seed: Column, refill: bool = False) -> DataFrame:
     """One row per lot. Cells a pool cannot fill are skipped, or (``refill``) filled by going round the pool, flagged."""
     pools = items.groupBy(unit).agg(F.count_if(F.col(defect) == 0).alias("n_good"), F.count_if(F.col(defect) == 1).alias("n_bad"))
+    # a small table of pools makes very many lots: spread it by number, or adaptive execution joins it into one task
+    pools = pools.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), unit)
     lots = pools.withColumn("_s", F.explode(seed)).withColumn("_c", F.explode(cells(design))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     lots = lots.select(unit, "n_good", "n_bad", F.col("_s").alias("seed"), F.col("_c.size").alias("size"), F.col("_c.nd").alias("nd"), "rep")
     short = (F.col("size") - F.col("nd") > F.col("n_good")) | (F.col("nd") > F.col("n_bad"))
@@ -55,8 +57,8 @@ def build_lots(items: DataFrame, unit: str, defect: str, design: list[tuple[int,
     return lots.withColumns({"lot_id": name, "truth": band_of_share(F.col("nd") / F.col("size"))})
 
 
-def pick_items(lots: DataFrame, pool: DataFrame, unit: str, defect: str, key: str, carry: list[str]) -> DataFrame:
-    """One row per picked item: an equi-join of computed positions with the ranked pool, spread over all positions."""
+def _positions(lots: DataFrame, defect: str) -> DataFrame:
+    """Lots with one row per place (``_i`` from 0): which half of the pool it is filled from, and the position there."""
     h = F.md5("lot_id")
     digits = lambda a, n: F.conv(F.substring(h, a, n), 16, 10)
     u = digits(1, 12).cast("double") / float(2 ** 48)
@@ -66,10 +68,26 @@ def pick_items(lots: DataFrame, pool: DataFrame, unit: str, defect: str, key: st
     n = F.when(bad, F.col("n_bad")).otherwise(F.col("n_good"))
     j = F.when(bad, F.col("_i")).otherwise(F.col("_i") - F.col("nd"))
     x = x.withColumns({defect: bad.cast("int"), "_n": n, "_j": j})
-    x = x.withColumn("pos", F.pmod(F.floor(F.col("_u") * F.col("_n")) + F.col("_j") * F.pmod(F.col("_p"), F.col("_n")), F.col("_n")) + 1)
+    return x.withColumn("pos", F.pmod(F.floor(F.col("_u") * F.col("_n")) + F.col("_j") * F.pmod(F.col("_p"), F.col("_n")), F.col("_n")) + 1)
+
+
+def pick_items(lots: DataFrame, pool: DataFrame, unit: str, defect: str, key: str, carry: list[str]) -> DataFrame:
+    """One row per picked item: an equi-join of computed positions with the ranked pool, spread over all positions."""
     keep = [c for c in lots.columns if c not in ("n_good", "n_bad")]
-    x = x.select(*keep, defect, "pos")
-    return x.join(pool.select(unit, defect, "pos", key, *carry), [unit, defect, "pos"])
+    x = _positions(lots, defect).select(*keep, defect, "pos")
+    # one unit's line becomes all its lots' places, which no estimate knows: never let that side be broadcast
+    return x.hint("merge").join(pool.select(unit, defect, "pos", key, *carry), [unit, defect, "pos"])
+
+
+def pick_counts(lots: DataFrame, pool: DataFrame, unit: str, keys: list[str], defect: str, key: str) -> DataFrame:
+    """Per ``keys`` (the unit first): lots, picks, picked defects, different items and the sum of the picked keys.
+
+    Places that fall on one position are counted where they are made, so what is shuffled follows the pools, not the lots."""
+    times = _positions(lots, defect).groupBy(*keys, defect, "pos").agg(F.count(F.lit(1)).alias("_t"), F.count_if(F.col("_i") == 0).alias("_l"))
+    picked = times.hint("merge").join(pool.select(unit, defect, "pos", key), [unit, defect, "pos"])
+    t = F.col("_t")
+    return picked.groupBy(*keys).agg(
+        F.sum("_l").alias("lots"), F.sum(t).alias("n"), F.sum(t * F.col(defect)).alias("defects"), F.countDistinct(key).alias("items"), F.sum(t * F.col(key)).alias("checksum"))
 
 
 def score_lots(picks: DataFrame, keys: list[str], p_good: str, candidates: list[float] = C.T_CANDIDATES, td: float = C.T_DEFECT) -> DataFrame:

@@ -70,8 +70,8 @@ def tray_replacement(t):
     """500 lots per small pool (167, 167, 166): what it cannot fill without repeats is filled by going round, and flagged."""
     items = t.scores().where(~F.col("touching")).select("event_id", F.col("user").cast("int").alias("unit"), "defect", "p_good")
     lots = O.build_lots(items, "unit", "defect", _REPL, 167, F.array(F.lit("s0")), refill=True).where("nd < 15 OR rep < 166")
-    p = O.pick_items(lots, O.ranked_pool(items, "unit", "defect", "event_id", "pool"), "unit", "defect", "event_id", [])
-    return p.groupBy("unit", "nd", "replaced", "truth").agg(F.countDistinct("rep").alias("lots"), F.count(F.lit(1)).alias("n"), F.sum("defect").alias("defects"), F.countDistinct("event_id").alias("items"), F.sum("event_id").alias("checksum"))
+    pool = O.ranked_pool(items, "unit", "defect", "event_id", "pool")
+    return O.pick_counts(lots, pool, "unit", ["unit", "nd", "replaced", "truth"], "defect", "event_id")
 
 
 @query("tray_fixed", f"WITH {lots_sql(FIXED, 200, unit='CAST(CASE WHEN p_good >= 0.6e0 THEN 2 ELSE 1 END AS INTEGER)')} SELECT unit, size, nd, rep, truth, {SUM_SQL} FROM pick GROUP BY unit, size, nd, rep, truth")

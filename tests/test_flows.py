@@ -212,3 +212,19 @@ def test_late_events_stay_out_of_closed_windows(spark, tmp_path):
         spark.createDataFrame(b, SCHEMAS["events"]).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
     out = T.drain(T.window_verdict(land_stream(spark, str(tmp_path)), late="1 hour")).orderBy("start").collect()
     assert (out[0].total, out[0].start.day) == (2, 1)
+
+
+def test_pick_counts_are_those_of_the_picked_items(spark):
+    """Places counted by position give the same figures as one row per pick, from fewer rows and without a broadcast."""
+    from lotwise.operators import lots as O
+
+    items = spark.createDataFrame([(i, i % 3, int(i % 4 == 0)) for i in range(120)], "key long, unit int, defect int")
+    lots = O.build_lots(items, "unit", "defect", [(50, 0), (50, 6)], 30, F.array(F.lit("s0")), refill=True)
+    pool = O.ranked_pool(items, "unit", "defect", "key", "pool")
+    keys = ["unit", "nd", "replaced"]
+    picked = O.pick_items(lots, pool, "unit", "defect", "key", [])
+    want = picked.groupBy(*keys).agg(F.countDistinct("rep").alias("lots"), F.count(F.lit(1)).alias("n"), F.sum("defect").alias("defects"), F.countDistinct("key").alias("items"), F.sum("key").alias("checksum"))
+    counts = O.pick_counts(lots, pool, "unit", keys, "defect", "key")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect())) and want.count() == 6
+    for df in (picked, counts):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
