@@ -292,3 +292,15 @@ def test_a_query_travels_once_per_pack(spark):
     assert got == plain_nearest(list(range(600)), u, 5)
     packs = bank.cells.select("_pack").distinct().count()
     assert bank.cells.count() > 80 and packs <= 3 and bank.second.count() <= packs * 600
+
+
+def test_rows_of_one_cell_travel_once_per_tile(spark):
+    """100 rows in one cell at chunk 8: 13 x 13 blocks meet in one tile and leave one line (169 tiles of 8 rows before)."""
+    v = np.random.default_rng(2).normal(size=(100, 4))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(100), "vec": list(v)}))
+    cells = X.CosineCells(df, -0.99, chunk=8)
+    assert cells.cells.count() == 1
+    block = lambda left, right, sim: pd.DataFrame({"tiles": [1], "blocks": [1], "pairs": [sim.size]})
+    merge = lambda out: pd.DataFrame({"tiles": [1], "blocks": [out["blocks"].sum()], "pairs": [out["pairs"].sum()]})
+    r = cells.run(block, "tiles long, blocks long, pairs long", merge=merge).collect()
+    assert [(x.tiles, x.blocks, x.pairs) for x in r] == [(1, 169, 10000)]
