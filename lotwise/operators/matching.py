@@ -18,7 +18,7 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def iou_pairs(found: DataFrame, truth: DataFrame, photo: str, found_id: str, truth_id: str, min_iou: float = 0.5, cell: float = 32.0) -> DataFrame:
+def iou_pairs(found: DataFrame, truth: DataFrame, photo: str, found_id: str, truth_id: str, min_iou: float = 0.5, cell: float = 128.0) -> DataFrame:
     """(found, annotation) pairs of one photo whose overlap is large enough.
 
     From one half up the annotation's centre must lie in the found box, so an annotation needs only the grid cell of its
@@ -103,13 +103,19 @@ def _greedy_rounds(pairs: DataFrame, photo: str, found_id: str, truth_id: str) -
     return done.where("_st = 1").drop("_st")
 
 
+def _in_reach(items: DataFrame, radius: float, cell: float) -> DataFrame:
+    """Items once per cell that holds a place within ``radius``."""
+    x = items.withColumn("_gx", F.explode(_cells(F.col("cx") - radius, F.col("cx") + radius, cell)))
+    return x.withColumn("_gy", F.explode(_cells(F.col("cy") - radius, F.col("cy") + radius, cell)))
+
+
 def nearest_point(items: DataFrame, points: DataFrame, photo: str, item_id: str, point_id: str, radius: float) -> DataFrame:
-    """Nearest reference point of the same photo within a radius; items without one get NULL."""
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cx, cy = F.floor(F.col("cx") / radius), F.floor(F.col("cy") / radius)
-    a = items.select(photo, item_id, "cx", "cy", F.explode(near).alias("_dx")).withColumn("_dy", F.explode(near))
-    a = a.select(photo, item_id, "cx", "cy", (cx + F.col("_dx")).alias("_gx"), (cy + F.col("_dy")).alias("_gy"))
-    b = points.select(photo, point_id, F.col("cx").alias("px"), F.col("cy").alias("py"), cx.alias("_gx"), cy.alias("_gy"))
+    """Nearest reference point of the same photo within a radius; items without one get NULL.
+
+    A cell is four radii wide, so an item mostly needs one or two cells, four at a corner."""
+    cell = 4 * radius
+    a = _in_reach(items.select(photo, item_id, "cx", "cy"), radius, cell)
+    b = points.select(photo, point_id, F.col("cx").alias("px"), F.col("cy").alias("py"), F.floor(F.col("cx") / cell).alias("_gx"), F.floor(F.col("cy") / cell).alias("_gy"))
     d2 = F.pow(F.col("cx") - F.col("px"), 2) + F.pow(F.col("cy") - F.col("py"), 2)
     hit = a.hint("merge").join(b, [photo, "_gx", "_gy"]).withColumn("_d2", d2).where(F.sqrt("_d2") < radius)
     best = hit.groupBy(photo, item_id).agg(F.min(F.struct(F.col("_d2"), F.col(point_id))).alias("_b"))

@@ -304,3 +304,17 @@ def test_rows_of_one_cell_travel_once_per_tile(spark):
     merge = lambda out: pd.DataFrame({"tiles": [1], "blocks": [out["blocks"].sum()], "pairs": [out["pairs"].sum()]})
     r = cells.run(block, "tiles long, blocks long, pairs long", merge=merge).collect()
     assert [(x.tiles, x.blocks, x.pairs) for x in r] == [(1, 169, 10000)]
+
+
+def test_nearest_point_asks_few_cells(spark):
+    """The nearest point as by brute force, with at most four rows per item (nine before)."""
+    rng = np.random.default_rng(6)
+    a, b = rng.uniform(-100, 200, (60, 2)), rng.uniform(-100, 200, (80, 2))
+    items = spark.createDataFrame([(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(a)], "photo int, item int, cx double, cy double")
+    points = spark.createDataFrame([(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(b)], "photo int, point int, cx double, cy double")
+    got = {r.item: r.point for r in J.nearest_point(items, points, "photo", "item", "point", 30.0).collect()}
+    for i, p in enumerate(a):
+        d = sorted((float(np.hypot(*(p - q))), j) for j, q in enumerate(b) if j % 2 == i % 2)
+        assert got[i] == (d[0][1] if d[0][0] < 30 else None)
+    asked = J._in_reach(items, 30.0, 120.0).groupBy("item").count().toPandas()["count"]
+    assert asked.max() <= 4 and asked.sum() < 60 * 3
