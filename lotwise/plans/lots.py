@@ -222,7 +222,7 @@ def detector_eval(t):
     x = cut_lineage(odd_trays(t).withColumn("grp", F.concat_ws("-", "cond", F.col("tray").cast("string"))))
     e = x.select("grp", "id", "vec")
     d = X.knn_distance(e, e, C.KNN_K, by=["grp"]).withColumnRenamed("qid", "id")
-    u = R.unusual(x.join(d, ["grp", "id"]), ["grp"], FEATURES, "distance", R.floors_of(hand(t), FEATURES), sizes=x)
+    u = R.unusual(x.drop("vec", "vec_id").join(d, ["grp", "id"]), ["grp"], FEATURES, "distance", R.floors_of(hand(t), FEATURES), sizes=x)  # neighbours are found: the vectors stay behind
     u = cut_lineage(u.select("cond", "grp", "odd", F.round("z_both", 9).alias("z_both")))
     a = M.auroc(u, ["cond", "grp"], "z_both", "odd")
     f = u.groupBy("cond", "grp").agg(F.avg(F.when(F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("rec"), F.avg(F.when(~F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("ffr"),
