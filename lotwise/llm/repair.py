@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed files.
 
-Texts become ids (the library encodes each distinct word once while it is held in a worker's ``CACHE_BYTES``), documents are dealt by ascending id, and runs of about
-``SHARD_IDS`` ids become shards. A shard is compressed by Re-Pair: frequent pairs of neighbours are replaced by new
+Texts become ids (the library encodes each distinct word once while it is held in a worker's ``CACHE_BYTES``), documents
+are dealt by ascending id, and runs of about ``SHARD_IDS`` ids become shards. A shard is compressed by Re-Pair: frequent pairs of neighbours are replaced by new
 symbols, again and again; a round takes the ``PAIRS`` most frequent pairs at once, left to right where they overlap,
 and the rounds end when no pair occurs ``LEAST`` times or after ``ROUNDS`` (how far to compress; any number decodes to
 the same ids). Stored per shard, one row of the file: the rules, every rule's expansion length, the remaining sequence
@@ -31,20 +31,25 @@ ROUNDS = 8
 PAIRS = 512
 LEAST = 8
 STRIDE = 256
-SLICE_BYTES = 4 << 20
-CACHE_BYTES = 48 << 20
+SLICE_BYTES = 8 << 20
+CACHE_BYTES = 24 << 20  # a slice is looked up in all of it, so a larger one costs more than it saves
 AT_ONCE = 64  # texts that the library encodes in one call
 TOGETHER = 128  # short words that make one such text
-SHORT = 64
+SHORT = 64  # bytes
+MARKS = ".,;:!?"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the pattern that the cuts at words and marks are right for
 
 
-class WordIds(dict):
-    """Ids of a text without spaces (little-endian bytes), as the tokenizers library gives them.
+class WordIds:
+    """Ids of texts without spaces, as the tokenizers library gives them.
 
     A file that normalises by NFC, replacing and lower-casing and then takes words by a pattern keeps nothing across a
-    space, so texts are cut there and each distinct word is encoded once; with a file of another build texts stay whole.
-    Short words go to the library many at a time, parted by spaces: a token stands for a known number of bytes, so the ids
-    fall apart at the words' lengths. Where they don't, the words are encoded one by one."""
+    space or line end, so texts are cut there and each distinct word is encoded once while it is held; with a file of another
+    build texts stay whole. A mark of ``MARKS`` that ends a word behind a letter is a piece of its own in that pattern, so it is
+    cut off. Words of letters of ASCII and Latin-1 alone are equal but for case, composed already and one piece each: they go
+    to the file's model without its normaliser and pattern. Short words go to the library many at a time, parted by
+    spaces: a token stands for a known number of bytes, so the ids fall apart at the words' lengths. Where they don't, the
+    words are encoded one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -57,57 +62,143 @@ class WordIds(dict):
             steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
             cut, level = spec["pre_tokenizer"]["pretokenizers"]
             shape = (cut["behavior"], cut["invert"], level["type"], level["add_prefix_space"], level["use_regex"])
-            self.cuts = steps == ["NFC", "Replace", "Lowercase"] and shape == ("Removed", True, "ByteLevel", False, False)
+            self.cuts = steps == ["NFC", "Replace", "Lowercase"] and cut["pattern"]["Regex"] == PATTERN and shape == ("Removed", True, "ByteLevel", False, False)
         except (KeyError, TypeError, ValueError):
             self.cuts = False
+        if self.cuts:
+            by_space = {"type": "Sequence", "pretokenizers": [{"type": "CharDelimiterSplit", "delimiter": " "}, level]}
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": by_space, "added_tokens": []}))
         named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec.get("added_tokens") or [])]
         top = max(i for _, i in named)
         self.kind = np.uint32 if top >= 1 << 16 else np.uint16
-        self.held = 0
         self.n_bytes = np.ones(top + 1, np.int64)  # one character of a byte-level token is one byte
         end = spec["model"].get("end_of_word_suffix") or ""
         for token, i in named:
             self.n_bytes[i] = max(1, len(token) - len(end) * token.endswith(end))
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids, self.counts = pa.array([], pa.string()), np.zeros(0, self.kind), np.zeros(0, np.int64)
 
     def of(self, words: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
+        """Of each word the ids, little-endian."""
+        ids, counts = self.coded(pa.array(words, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])]
+
+    def coded(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one word after the other, and how many each has."""
+        if self.words.nbytes + self.ids.nbytes + self.counts.nbytes > CACHE_BYTES:
             self.clear()
-            self.held = 0
-        alone, short = [], []
-        for w in words:
-            if w not in self:
-                (short if self.cuts and len(w) <= SHORT and w.split() == [w] else alone).append(w)
-        groups = [short[at : at + TOGETHER] for at in range(0, len(short), TOGETHER)]
-        for group, ids in zip(groups, self.encoded([" ".join(g) for g in groups])):
-            stops = self.stops(group, ids)
-            if stops is None:
-                alone += group
-            else:
-                raw, width = ids.tobytes(), ids.itemsize
-                for w, a, b in zip(group, [0, *stops], stops):
-                    self.keep(w, raw[a * width : b * width])
-        for w, ids in zip(alone, self.encoded(alone)):
-            self.keep(w, ids.tobytes())
-        return [self[w] for w in words]
-
-    def encoded(self, texts: list[str]):
+        if not self.cuts:
+            return self.held(words)
+        n = len(words)
+        cores, mark = _parted(words)
+        parts = pa.concat_arrays([cores, pa.array([*MARKS, ""])]).dictionary_encode()
+        ids, counts = self.held(parts.dictionary)
+        code = np.asarray(parts.indices).astype(np.int64)
+        picks = np.stack([code[:n], code[n + mark]], 1).ravel()
+        return gather(ids, np.cumsum(counts) - counts, counts, picks), counts[picks].reshape(-1, 2).sum(1)
+
+    def held(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            order, ids, counts = self.encoded(words.take(pa.array(new)))
+            at[new[order]] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new[order]))])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        return gather(self.ids, np.cumsum(self.counts) - self.counts, self.counts, at), self.counts[at]
+
+    def encoded(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' order, and in this order their ids and how many each has."""
+        letter, simple, starts, ends = _kinds(words)
+        size = ends - starts
+        short = (size > 0) & (size <= SHORT) & self.cuts
+        plain = short & (_inside(letter, starts, ends) == size)
+        even = short & ~plain & (_inside(simple, starts, ends) == size)
+        done = [self.together(self.plain, words, np.flatnonzero(plain), size)] if plain.any() else []
+        if even.any():
+            done.append(self.together(self.library, words, np.flatnonzero(even), size))
+        rest = np.flatnonzero(~plain & ~even)
+        if len(rest):
+            done.append(self.others(words.take(pa.array(rest)).to_pylist(), rest))
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+    def together(self, library, words: pa.StringArray, at: np.ndarray, size: np.ndarray):
+        """Words that normalising leaves at their ``size`` in bytes."""
+        cuts = pa.array(np.append(np.arange(0, len(at), TOGETHER), len(at)), pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(cuts, words.take(pa.array(at))), " ").to_pylist()
+        ids = np.concatenate(list(self.given(library, texts)))
+        counts = self.apart(ids, size[at])
+        return self.others(words.take(pa.array(at)).to_pylist(), at) if counts is None else (at, ids, counts)
+
+    def others(self, words: list[str], at: np.ndarray):
+        ids, counts = [np.zeros(0, self.kind)] * len(words), [None] * len(words)
+        short = [i for i, w in enumerate(words) if self.cuts and len(w) <= SHORT and w.split() == [w]]
+        groups = [short[k : k + TOGETHER] for k in range(0, len(short), TOGETHER)]
+        for group, found in zip(groups, self.given(self.library, [" ".join([words[i] for i in g]) for g in groups])):
+            stops = self.stops([words[i] for i in group], found)
+            if stops is not None:
+                for i, part in zip(group, np.split(found, stops[:-1])):
+                    ids[i], counts[i] = part, len(part)
+        alone = [i for i, n in enumerate(counts) if n is None]
+        for i, found in zip(alone, self.given(self.library, [words[i] for i in alone])):
+            ids[i], counts[i] = found, len(found)
+        return at, np.concatenate(ids), np.array(counts, np.int64)
+
+    def given(self, library, texts: list[str]):
         for at in range(0, len(texts), AT_ONCE):
-            for e in self.library.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False):
+            for e in library.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False):
                 yield np.array(e.ids, self.kind)
 
     def stops(self, words: list[str], ids: np.ndarray) -> list[int] | None:
-        """Number of ids up to the end of each word, or None where the bytes of the ids are not those of the words."""
+        """Number of ids up to the end of each word, or None where they don't fall apart at the words."""
         form = self.library.normalizer.normalize_str
-        ends = np.cumsum([len(w if w.isascii() else form(w).encode()) for w in words])
-        held = np.cumsum(self.n_bytes[ids])
+        counts = self.apart(ids, np.array([len(w if w.isascii() else form(w).encode()) for w in words]))
+        return None if counts is None else np.cumsum(counts).tolist()
+
+    def apart(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+        """Number of ids of each word, or None where the bytes of the ids are not those of the words."""
+        ends, held = np.cumsum(sizes), np.cumsum(self.n_bytes[ids])
         at = np.searchsorted(held, ends)
         if not len(held) or held[-1] != ends[-1] or (held[at] != ends).any():
             return None
-        return (at + 1).tolist()
-
-    def keep(self, word: str, ids: bytes) -> None:
-        self[word] = ids
-        self.held += 4 * len(word) + len(ids) + 200
+        return np.diff(at, prepend=-1)
+
+
+def _kinds(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per byte: is it of a letter of ASCII or Latin-1, and is it of one or of visible ASCII; where each word starts and ends."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    byte = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    before = np.concatenate(([np.uint8(0)], byte[:-1])) if len(byte) else byte
+    second = (before == 0xC3) & (byte != 0x97) & (byte != 0xB7)  # not the signs for times and divided by
+    latin = second.copy()
+    latin[:-1] |= second[1:]
+    letter = latin | ((byte | 32) - np.uint8(97) < 26)
+    return letter, letter | ((byte > 32) & (byte < 127)), ends[:-1], ends[1:]
+
+
+def _inside(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(flags)))
+    return total[ends] - total[starts]
+
+
+def _parted(words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Words without the mark at their end, lower-cased if they are all letters, and the mark's place in ``MARKS`` (or their number)."""
+    letter, _, starts, ends = _kinds(words)
+    mark = np.full(len(words), len(MARKS), np.int64)
+    long = np.flatnonzero(ends - starts > 1)
+    if len(long):
+        byte = np.frombuffer(words.buffers()[2], np.uint8)[np.frombuffer(words.buffers()[1], np.int32)[words.offset] :]
+        place = np.full(256, len(MARKS), np.int64)
+        place[list(MARKS.encode())] = np.arange(len(MARKS))
+        mark[long] = np.where(letter[ends[long] - 2], place[byte[ends[long] - 1]], len(MARKS))
+    cut = mark < len(MARKS)
+    cores = pc.if_else(pa.array(cut), pc.utf8_rtrim(words, characters=MARKS), words)
+    own = _inside(letter, starts, ends) == ends - starts - cut
+    return pc.if_else(pa.array(own), pc.utf8_lower(cores), cores), mark
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -120,14 +211,13 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for batch in byte_slices(whole, "text", SLICE_BYTES):
                 text = pc.fill_null(batch.column(1), "")
                 if known.cuts:
-                    words = pc.split_pattern(text, " ")
+                    words = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
                     per, flat = np.asarray(pc.list_value_length(words)).astype(np.int64), words.flatten().dictionary_encode()
                 else:
                     per, flat = np.ones(len(text), np.int64), text.dictionary_encode()
-                found = known.of(flat.dictionary.to_pylist())
-                counts = np.array([len(x) for x in found], np.int64) // width
+                ids, counts = known.coded(flat.dictionary)
                 codes = np.asarray(flat.indices).astype(np.int64)
-                raw = gather(np.frombuffer(b"".join(found), known.kind), np.cumsum(counts) - counts, counts, codes).tobytes()
+                raw = gather(ids, np.cumsum(counts) - counts, counts, codes).tobytes()
                 cuts = np.concatenate(([0], np.cumsum(counts[codes])))[np.concatenate(([0], np.cumsum(per)))] * width
                 rows = [raw[a:b] + end for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // width for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
