@@ -126,9 +126,10 @@ def pool_lots(photos: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- history and ingest
 
-HIST_ROW = "array<struct<ts:timestamp,event_id:long,id:int,value:double>>"
+HIST_ROW = "array<struct<at:long,event_id:long,id:int,value:string>>"  # times as microseconds, NO_TIME for none; pandas would lose a NaN
 HIST_OUT = f"user_id long, version long, kept {HIST_ROW}"
-HIST_STATE = f"version long, wiped_ts timestamp, wiped_id long, kept {HIST_ROW}"
+HIST_STATE = f"version long, wiped_at long, wiped_id long, kept {HIST_ROW}"
+NO_TIME = -(1 << 63)
 
 
 def wipe_request() -> Column:
@@ -150,27 +151,37 @@ def last_n_stream(events: DataFrame, n: int = 5, wipe: Column | None = None) ->
     older than all that stays, so a late wipe that reaches into the list has wiped it too. State is the version, the
     last wipe and at most n records; the batches of a user are folded one after the other."""
     def run(key, batches, state: GroupState):
-        version, wiped_ts, wiped_id, kept = state.get if state.exists else (0, None, None, [])
-        held = pd.DataFrame([tuple(r) for r in kept], columns=["ts", "event_id", "id", "value"])
+        version, wiped_at, wiped_id, kept = state.get if state.exists else (0, None, None, [])
+        wiped, kept = (() if wiped_at is None else (wiped_at, wiped_id)), [tuple(r) for r in kept]  # nothing is before ()
         for pdf in batches:
-            wipes = pdf[pdf["wipe"]].sort_values(["ts", "event_id"]).tail(1)
-            if len(wipes):
-                at = (wipes["ts"].iloc[0].to_pydatetime(), int(wipes["event_id"].iloc[0]))
-                if wiped_ts is None or at > (wiped_ts, wiped_id):
-                    wiped_ts, wiped_id = at
-            new = pdf.loc[~pdf["wipe"], list(held.columns)]
-            both = pd.concat([held, new]) if len(held) else new
-            if wiped_ts is not None:
-                both = both[(both["ts"] > wiped_ts) | ((both["ts"] == wiped_ts) & (both["event_id"] > wiped_id))]
-            held = both.sort_values(["ts", "event_id"], ascending=False).drop_duplicates("id").head(n)
-        rows = [
-            (ts.to_pydatetime(), int(e), None if pd.isna(i) else int(i), None if pd.isna(v) else float(v))
-            for ts, e, i, v in zip(held["ts"], held["event_id"], held["id"], held["value"])
-        ]
-        state.update((version + 1, wiped_ts, wiped_id, rows))
-        yield pd.DataFrame({"user_id": [key[0]], "version": [version + 1], "kept": [[dict(zip(("ts", "event_id", "id", "value"), r)) for r in rows]]})
-
-    return history_events(events, wipe).groupBy("user_id").applyInPandasWithState(run, HIST_OUT, HIST_STATE, "append", GroupStateTimeout.NoTimeout)
+            new = []
+            for line in pdf["row"].tolist():
+                at, no, wipe, k, value = line.split(",")
+                if wipe == "true":
+                    wiped = max(wiped, (int(at), int(no)))
+                else:
+                    new.append((int(at), int(no), k, value))
+            newest = {}
+            for at, no, k, value in sorted(new, key=lambda r: r[:2], reverse=True):
+                if len(newest) == n or (at, no) <= wiped:
+                    break
+                newest.setdefault(k, (at, no, int(k) if k else None, value or None))
+            last = {}
+            for r in sorted([*kept, *newest.values()], key=lambda r: r[:2], reverse=True):
+                if r[:2] > wiped:
+                    last.setdefault(r[2], r)
+            kept = list(last.values())[:n]
+        state.update((version + 1, *(wiped or (None, None)), kept))
+        yield pd.DataFrame({"user_id": [key[0]], "version": [version + 1], "kept": [[dict(zip(("at", "event_id", "id", "value"), r)) for r in kept]]})
+
+    # one column a record: a user costs a conversion per column, however few rows there are
+    number = lambda c: F.coalesce(c, F.lit(NO_TIME)).cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat_ws(",", number(F.unix_micros("ts")), number(F.col("event_id")), text("wipe"), text("id"), text("value"))
+    emitted = history_events(events, wipe).select("user_id", row.alias("row")).groupBy("user_id").applyInPandasWithState(run, HIST_OUT, HIST_STATE, "append", GroupStateTimeout.NoTimeout)
+    known = lambda c: F.when(c != NO_TIME, c)
+    timed = lambda k: F.struct(F.timestamp_micros(known(k["at"])).alias("ts"), known(k["event_id"]).alias("event_id"), k["id"].alias("id"), k["value"].cast("double").alias("value"))
+    return emitted.select("user_id", "version", F.transform("kept", timed).alias("kept"))
 
 
 def current_history(emitted: DataFrame) -> DataFrame:

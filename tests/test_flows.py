@@ -173,6 +173,16 @@ def test_history_by_hand(spark, tmp_path, parts, want):
     assert kept(T.last_n_stream(land(spark, tmp_path, parts))) == want
 
 
+def test_history_of_odd_values(spark, tmp_path):
+    """No time, no event id, no id, and values that are no numbers."""
+    odd = [(1, None, 1, "view", 1.0, '{"k": 1}'), (2, at(2), 1, "view", float("nan"), '{"k": 2}'), (3, at(3), 1, "view", None, "{}"), (4, at(4), 1, "view", float("inf"), '{"k": 4}'),
+           (None, at(1), 1, "view", 0.1 + 0.2, '{"k": 5}'), (6, at(1), 2, "view", None, None), (7, at(2), 2, "view", 5e-324, None)]
+    stream = T.last_n_stream(land(spark, tmp_path, [odd[:3], odd[3:]]))
+    got = {(r.user_id, r.event_id): (r.ts, r.id, repr(r.value)) for r in T.current_history(T.drain(stream)).collect()}
+    utc = {k: (v[0] and v[0].strftime("%H"), *v[1:]) for k, v in got.items()}
+    assert utc == {(1, 1): (None, 1, "1.0"), (1, 2): ("02", 2, "nan"), (1, 3): ("03", None, "None"), (1, 4): ("04", 4, "inf"), (1, None): ("01", 5, repr(0.1 + 0.2)), (2, 7): ("02", None, "5e-324")}
+
+
 @pytest.mark.parametrize("files", [1, 5])
 def test_ingest_forgets_nothing(spark, tables, tmp_path, files):
     rows = [tuple(r) for r in tables.events.limit(200).collect()]
