@@ -383,6 +383,26 @@ def test_vector_dedup_repeated_ids(spark):
     assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (5, 0, 5, True), (5, 2, 1, False), (9, 1, 1, False)]
 
 
+def test_vector_dedup_sends_vectors_of_candidates_only(spark, monkeypatch):
+    """Of unlike vectors nearly none travels; those in single and in double precision still meet."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x = np.vstack([x, x[:5] * 1.0001 + 1e-3]).astype(np.float32).astype(float)
+    x[3000] += 1e-9  # no longer a single-precision vector
+    rows, put = {}, vector_dedup.written
+
+    def counted(df, label):
+        out = put(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(vector_dedup, "written", counted)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect()}
+    assert {i: v for i, v in got.items() if v != (0, i)} == {i: (1, i % 3000) for i in [*range(5), *range(3000, 3005)]}
+    assert rows["vectors-met"] < 400 and rows["vector-candidates"] < 1000
+
+
 def test_quality_bounds_rows_of_one_id(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "fit", lambda samples: seen.extend(samples) or quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0))
