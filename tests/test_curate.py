@@ -306,6 +306,19 @@ def test_rows_of_one_cell_travel_once_per_tile(spark):
     assert [(x.tiles, x.blocks, x.pairs) for x in r] == [(1, 169, 10000)]
 
 
+def test_probes_travel_once_per_pack(spark):
+    """However many cells a probe visits; found pairs as by brute force, over several packs and tiles."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(3000, 6)) + 1.5
+    v[:40] = v[0]  # more copies than a cell holds
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "vec": list(v)}))
+    cells = X.CosineCells(df, 0.99, chunk=8)
+    assert len(cells.home_parts) > 8 and cells.travelled < 9 * 3000, cells.travelled
+    found = cells.run(lambda a, b, sim: pd.DataFrame({"id": b["id"].to_numpy(), "n": (sim >= 0.99).sum(0)}), "id long, n long")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert {r.id: r.n for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()} == dict(enumerate((u @ u.T >= 0.99).sum(1).tolist()))
+
+
 def test_nearest_point_asks_few_cells(spark):
     """The nearest point as by brute force, with at most four rows per item (nine before)."""
     rng = np.random.default_rng(6)
