@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
 from lotwise.functions.scale import CHECK, attach, exact_medians, exact_quantiles, hot_groups, one_row
+from lotwise.operators.vectors import _unit as unit_rows
+from lotwise.operators.vectors import nearest
 from lotwise.session import cut_lineage
 
 MAD = 1.4826
+UNIT_ROWS = 1_000_000  # rows of a unit whose features one task may hold
 
 
 def floors_of(df: DataFrame, features: list[str], share: float = 0.1) -> Column:
@@ -51,17 +55,105 @@ def final_z(df: DataFrame, keys: list[str], scores: dict[str, str], hot=CHECK) -
     return x.withColumns(z).drop(*[f"{c}{s}" for c in cols for s in ("_med", "_mad")])
 
 
+def feature_score(df: DataFrame, keys: list[str], features: list[str], floors: Column, hot=CHECK) -> DataFrame:
+    """Adds hand_score: the features' robust z of a group, clipped, as a root mean square."""
+    return robust_z(df, keys, features, floors, hot).withColumn("hand_score", rms_clipped(features)).drop(*[f"z_{f}" for f in features])
+
+
 def unusual(df: DataFrame, keys: list[str], features: list[str], distance: str, floors: Column, sizes: DataFrame | None = None) -> DataFrame:
     """Adds z_hand (feature outlier), z_emb (distance outlier) and z_both per item of a group.
 
     ``sizes`` is a cheaper table with the same groups, to look for oversized ones."""
     hot = hot_groups(df if sizes is None else sizes, keys)
     df = cut_lineage(df)  # four passes follow
-    x = robust_z(df, keys, features, floors, hot).withColumn("hand_score", rms_clipped(features)).drop(*[f"z_{f}" for f in features])
+    x = feature_score(df, keys, features, floors, hot)
     x = final_z(x, keys, {"hand_score": "z_hand", distance: "z_emb"}, hot)
     return x.withColumn("z_both", 0.5 * (F.col("z_hand") + F.col("z_emb")))
 
 
+def scores_with_inserts(base: DataFrame, inserts: DataFrame, unit: str, features: list[str], floors: Column, k: int) -> DataFrame:
+    """(grp, odd, hand_score, distance) of groups that are a whole unit of ``base`` (unit, id, vec, *features) and a few rows more.
+
+    ``inserts`` (unit, grp, id, vec, *features) are few and go to the tasks. What the groups of a unit share is worked out once:
+    the k nearest rows of a unit's rows among themselves; an insert is nearer or is not. A group's medians and spreads
+    come from one task per unit, which holds the features alone (a unit has at most ``UNIT_ROWS`` rows). So a row of the
+    unit is copied to its groups as two numbers, never with its vector or features."""
+    kinds, spark = dict(base.dtypes), base.sparkSession
+    schema = f"grp {dict(inserts.dtypes)['grp']}, odd boolean, hand_score double, distance double"
+    more = inserts.select(unit, "grp", "id", "vec", *features).collect()
+    if not more:
+        return spark.createDataFrame([], schema)
+    floor = np.array(base.select(floors.alias("f")).limit(1).select("f.*").first() or [0.0] * len(features), dtype=np.float64)
+    number = lambda rows: np.array([[np.nan if r[f] is None else r[f] for f in features] for r in rows], dtype=np.float64).reshape(-1, len(features))
+    near = lambda a, b: np.round(a @ b.T, 13)
+    groups: dict = {}  # unit: group: positions of its inserts
+    for i, r in enumerate(more):
+        groups.setdefault(r[unit], {}).setdefault(r["grp"], []).append(i)
+    added = number(more)
+    vecs = unit_rows(np.array([r["vec"] for r in more], dtype=np.float64).reshape(len(more), -1))
+
+    own = base.select(unit, (F.col("id") * 2).alias("id"), "vec")  # an insert's number is odd
+    asking = spark.createDataFrame([(r[unit], 2 * i + 1, list(r["vec"])) for i, r in enumerate(more)], f"{unit} {kinds[unit]}, id long, vec {kinds['vec']}")
+    found = nearest(own.unionByName(asking), own, k, by=[unit]).groupBy(unit, "qid").agg(F.collect_list("sim").alias("sims"))
+    found = cut_lineage(found)
+
+    def spread_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        middle = np.nanmedian if np.isnan(m).any() else np.median
+        med = middle(m, axis=0)
+        return med, middle(np.abs(m - med), axis=0)
+
+    def spreads(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.asfortranarray(pdf[features].to_numpy(dtype=np.float64))
+        out = [(g, *spread_of(np.vstack([m, added[at]]))) for g, at in groups.get(pdf[unit].iloc[0], {}).items()]
+        return pd.DataFrame(out, columns=["grp", "med", "mad"])
+
+    told = base.select(unit, *features).groupBy(unit).applyInPandas(spreads, f"grp {dict(inserts.dtypes)['grp']}, med array<double>, mad array<double>").collect()  # a line per group
+    stats = {r["grp"]: (np.array(r["med"]), np.array(r["mad"])) for r in told}
+    for own_groups in groups.values():
+        for g, at in own_groups.items():
+            if g not in stats:  # a unit without rows
+                stats[g] = spread_of(added[at])
+
+    def scored(g, sims: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of rows of a group from their similarities (-inf: none) and features."""
+        best = -np.sort(-sims, axis=1)[:, :k]
+        real = np.isfinite(best)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far = np.where(real, 1 - best, 0).sum(1) / real.sum(1)
+            med, mad = stats[g]
+            z = np.clip((m - med) / np.fmax(MAD * mad, floor), -8.0, 8.0)
+            fine = ~np.isnan(z)
+            return np.sqrt(np.where(fine, z * z, 0).sum(1) / fine.sum(1)), far
+
+    def filled(lists) -> np.ndarray:
+        out = np.full((len(lists), k), -np.inf)
+        for i, v in enumerate(lists):
+            if v is not None:
+                out[i, : len(v)] = v
+        return out
+
+    def fan(batches):
+        for pdf in batches:
+            for u, rows in pdf.groupby(unit, sort=False):
+                if u in groups:
+                    a, m, had = unit_rows(np.stack(rows["vec"].to_list())), rows[features].to_numpy(dtype=np.float64), filled(rows["sims"].to_list())
+                    for g, at in groups[u].items():
+                        hand, far = scored(g, np.hstack([had, near(a, vecs[at])]), m)
+                        yield pd.DataFrame({"grp": g, "odd": False, "hand_score": hand, "distance": far})
+
+    met = base.select(unit, (F.col("id") * 2).alias("qid"), "vec", *features).join(found.hint("merge"), [unit, "qid"], "left")
+    had = {r["qid"]: r["sims"] for r in found.where("qid % 2 <> 0").collect()}  # of the inserts
+    lines = []
+    for own_groups in groups.values():
+        for g, at in own_groups.items():
+            ids = np.array([more[i]["id"] for i in at])
+            among = near(vecs[at], vecs[at])
+            among[ids[:, None] == ids[None, :]] = -np.inf
+            hand, far = scored(g, np.hstack([filled([had.get(2 * i + 1) for i in at]), among]), added[at])
+            lines += [(g, True, *(None if np.isnan(v) else float(v) for v in pair)) for pair in zip(hand, far)]
+    return met.mapInPandas(fan, schema).unionByName(spark.createDataFrame(lines, schema))
+
+
 def moment_shape(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Area, second moments (+ 1/12 per pixel), ellipse fill and elongation of a labelled component."""
     fx, fy = F.col(x).cast("double"), F.col(y).cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as C
 from lotwise.functions import core as fn
-from lotwise.functions.scale import hash_rank
+from lotwise.functions.scale import hash_rank, largest_group
 from lotwise.operators import lots as O
 from lotwise.operators import metrics as M
 from lotwise.operators import robust as R
@@ -149,10 +149,11 @@ CONDITIONS = {
 }
 
 
-def odd_trays(t):
+def odd_trays(t, photos: bool = True):
     """Seven conditions x trays: 50 base items (or one whole photo) and three items from another pool.
 
-    A pool is ranked once; tray r takes the positions that follow from its digest."""
+    A pool is ranked once; tray r takes the positions that follow from its digest. Without ``photos`` a whole photo's items
+    are not copied to its trays; the three items then carry its number as ``photo``."""
     e = hand(t)
     trays = t.spark.range(TRAYS).select(F.col("id").cast("int").alias("tray"))
     out = None
@@ -166,12 +167,12 @@ def odd_trays(t):
             r = hash_rank(df.withColumn("_h", P.seeded("vec_id", seed)).withColumn("_one", F.lit(1)), ["_one"], "_h")
             return r.drop("_h", "_one")
         if whole:
-            base = trays.withColumn("photo", F.pmod(start(1), F.lit(n_photos))).join(e, "photo").withColumn("tray_photo", F.col("photo"))
+            base = trays.withColumn("photo", F.pmod(start(1), F.lit(n_photos))).join(e, "photo")
         else:
             rb = ranked(base_pool, f"base{cond}")
             n = rb.agg(F.max("rn_n")).scalar()
             pos = trays.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("rn", F.pmod(start(1) + F.col("_j"), n) + 1)
-            base = pos.join(rb, "rn").drop("rn", "rn_n", "_j").withColumn("tray_photo", F.lit(-1).cast("long"))
+            base = pos.join(rb, "rn").drop("rn", "rn_n", "_j")
         ro = ranked(e.where("label < 4") if pool == "shift" else e.where(pool), f"base{cond}" if pool == "shift" else f"odd{cond}")
         n = ro.agg(F.max("rn_n")).scalar()
         # positions after the base block, so an inserted copy of a base pool is never one of the base items
@@ -179,9 +180,13 @@ def odd_trays(t):
         odd = trays.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(ODD - 1)))).withColumn("rn", F.pmod(first + F.col("_j"), n) + 1).join(ro, "rn").drop("rn", "rn_n", "_j")
         if pool == "shift":
             odd = odd.withColumns({f: F.col(f) * 0.7 - 0.02 for f in FEATURES}).withColumn("vec", F.transform("vec", lambda x: x * 0.7 - 0.02))
-        odd = odd.withColumn("tray_photo", F.lit(-2).cast("long"))
         cols = ["tray", "vec_id", "vec", *FEATURES]
-        both = base.select(*cols, F.lit(False).alias("odd")).unionByName(odd.select(*cols, F.lit(True).alias("odd"))).withColumn("cond", F.lit(cond))
+        both = odd.select(*cols, F.lit(True).alias("odd"))
+        if photos or not whole:
+            both = base.select(*cols, F.lit(False).alias("odd")).unionByName(both)
+        both = both.withColumn("cond", F.lit(cond))
+        if not photos:
+            both = both.withColumn("photo", F.pmod(start(1), F.lit(n_photos)) if whole else F.lit(None).cast("long"))
         out = both if out is None else out.unionByName(both)
     # an item may be in a tray both as base and as insert (conditions on whole photos): the insert gets its own id
     return out.withColumn("id", F.col("vec_id") * 2 + F.col("odd").cast("long"))
@@ -218,15 +223,26 @@ _SHIFT = "CASE WHEN cond='B2' AND odd THEN list_transform({v}, lambda x: x*0.7e0
   count(*) FILTER (WHERE odd AND z_both > 3.5e0) AS hit, count(*) FILTER (WHERE z_both > 3.5e0) AS flags FROM z GROUP BY cond, photo)
  SELECT cond, count(*) AS trays, {r6('avg(auroc)')} AS mean_auroc, {r6('avg(rec)')} AS recall_inserted, {r6('avg(ffr)')} AS false_flag_rate, {r6('sum(hit)/CAST(greatest(sum(flags),1) AS DOUBLE)')} AS precision FROM g GROUP BY cond""")
 def detector_eval(t):
-    """Does the per-group outlier score find the inserted items? AUROC, recall, false flags per tray, then per condition."""
-    x = cut_lineage(odd_trays(t).withColumn("grp", F.concat_ws("-", "cond", F.col("tray").cast("string"))))
-    e = x.select("grp", "id", "vec")
+    """Does the per-group outlier score find the inserted items? AUROC, recall, false flags per tray, then per condition.
+
+    The 1,200 trays on whole photos share 25 photos, so what they share is worked out once per photo."""
+    conds, items, floors = list(CONDITIONS), hand(t), R.floors_of(hand(t), FEATURES)
+    shared = largest_group(items, ["photo"]) <= R.UNIT_ROWS
+    grp = (F.array_position(F.lit(conds), F.col("cond")) - 1) * TRAYS + F.col("tray")
+    x = cut_lineage(odd_trays(t, photos=not shared).withColumn("grp", grp.cast("int")))
+    apart = x.where("photo IS NULL") if shared else x
+    e = apart.select("grp", "id", "vec")
     d = X.knn_distance(e, e, C.KNN_K, by=["grp"]).withColumnRenamed("qid", "id")
-    u = R.unusual(x.drop("vec", "vec_id").join(d, ["grp", "id"]), ["grp"], FEATURES, "distance", R.floors_of(hand(t), FEATURES), sizes=x)  # neighbours are found: the vectors stay behind
-    u = cut_lineage(u.select("cond", "grp", "odd", F.round("z_both", 9).alias("z_both")))
-    a = M.auroc(u, ["cond", "grp"], "z_both", "odd")
-    f = u.groupBy("cond", "grp").agg(F.avg(F.when(F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("rec"), F.avg(F.when(~F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("ffr"),
+    s = R.feature_score(cut_lineage(apart.drop("vec", "vec_id").join(d, ["grp", "id"])), ["grp"], FEATURES, floors).select("grp", "odd", "hand_score", "distance")
+    if shared:
+        base = items.select("photo", F.col("vec_id").alias("id"), "vec", *FEATURES)
+        s = s.unionByName(R.scores_with_inserts(base, x.where("photo IS NOT NULL"), "photo", FEATURES, floors, C.KNN_K))
+    u = R.final_z(cut_lineage(s), ["grp"], {"hand_score": "z_hand", "distance": "z_emb"})
+    u = cut_lineage(u.select("grp", "odd", F.round(0.5 * (F.col("z_hand") + F.col("z_emb")), 9).alias("z_both")))
+    a = M.auroc(u, ["grp"], "z_both", "odd")
+    f = u.groupBy("grp").agg(F.avg(F.when(F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("rec"), F.avg(F.when(~F.col("odd"), (F.col("z_both") > C.UNUSUAL_Z).cast("double"))).alias("ffr"),
                                      F.count_if(F.col("odd") & (F.col("z_both") > C.UNUSUAL_Z)).alias("hit"), F.count_if(F.col("z_both") > C.UNUSUAL_Z).alias("flags"))
-    out = a.join(f, ["cond", "grp"]).groupBy("cond").agg(F.count(F.lit(1)).alias("trays"), F.avg("auroc").alias("mean_auroc"), F.avg("rec").alias("recall_inserted"), F.avg("ffr").alias("false_flag_rate"),
+    cond = F.get(F.lit(conds), F.floor(F.col("grp") / TRAYS).cast("int"))
+    out = a.join(f, ["grp"]).groupBy(cond.alias("cond")).agg(F.count(F.lit(1)).alias("trays"), F.avg("auroc").alias("mean_auroc"), F.avg("rec").alias("recall_inserted"), F.avg("ffr").alias("false_flag_rate"),
                                                         (F.sum("hit") / F.greatest(F.sum("flags"), F.lit(1))).alias("precision"))
     return rnd(out, ["cond", "trays"], "mean_auroc", "recall_inserted", "false_flag_rate", "precision")

@@ -238,3 +238,17 @@ def test_pick_counts_are_those_of_the_picked_items(spark):
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect())) and want.count() == 6
     for df in (picked, counts):
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_trays_share_their_photo(tables, monkeypatch):
+    """Only the inserts of trays on whole photos are copied (the photos before, too, with their vectors), and the result is
+    that of the plain way, which photos over a limit still take."""
+    from lotwise.operators import robust
+    from lotwise.plans import lots
+
+    x = lots.odd_trays(tables, photos=False)
+    n = {r.odd: r.n for r in x.groupBy("odd").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n == {False: 3 * 300 * 50, True: 7 * 300 * 3} and x.where("photo IS NOT NULL AND NOT odd").isEmpty()
+    shared = sorted(map(str, lots.detector_eval(tables).collect()))
+    monkeypatch.setattr(robust, "UNIT_ROWS", 1)
+    assert shared == sorted(map(str, lots.detector_eval(tables).collect()))
